@@ -149,7 +149,7 @@ WITH d AS (
     sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_weight
   FROM w
 ), l AS (
-  SELECT min((total - filled) / open_weight) FILTER (WHERE weight * (total - filled) / open_weight <= 3 * source_size) AS level FROM f
+  SELECT arg_min((total - filled) / open_weight, (3 * source_size / weight, source IS NULL, source)) FILTER (WHERE weight * (total - filled) / open_weight <= 3 * source_size) AS level FROM f
 ), t AS (
   SELECT f.source, source_size, CASE WHEN level IS NULL THEN 3.0 * source_size ELSE least((3 * source_size)::DOUBLE, weight * level) END::DOUBLE AS target FROM f, l
 ), p AS (
