@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quotary.llm import mixing, secrets, sharding
+from quotary.llm import mixing, ngram_join, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_mixing": mixing.op4_mixing,
     "op7_secrets": secrets.op7_secrets,
 }
