@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quotary.llm import mixing, ngram_join, secrets, sharding
+from quotary.llm import mixing, ngram_join, secrets, sharding, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_mixing": mixing.op4_mixing,
+    "op6_topk": topk.op6_topk,
     "op7_secrets": secrets.op7_secrets,
+    "op10_token_counts": tokens.op10_token_counts,
 }
 SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op6_topk": topk.OP6_SQL,
     "op7_secrets": secrets.OP7_SQL,
 }
