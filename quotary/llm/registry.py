@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quotary.llm import mixing, ngram_join, secrets, sharding, tokens, topk
+from quotary.llm import decontaminate, mixing, ngram_join, quality, secrets, sharding, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op6_topk": topk.op6_topk,
     "op7_secrets": secrets.op7_secrets,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
 }
 SQL = {
