@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotary.llm import decontaminate, mixing, ngram_join, quality, secrets, sharding, tokens, topk
+from quotary.llm import decontaminate, html_blocks, mixing, ngram_join, quality, secrets, sharding, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_topk": topk.op6_topk,
     "op7_secrets": secrets.op7_secrets,
+    "op8_html": html_blocks.op8_html,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
 }
