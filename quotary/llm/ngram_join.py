@@ -1,9 +1,10 @@
 """Exact Jaccard similarity join on word n-grams: a blocked sparse product of the document by n-gram incidence.
 
 Documents x n-grams is a sparse 0/1 matrix; the product with its transpose holds all overlap counts. Only parts of it
-can reach the threshold, and size-derived bounds say which: of a row with s n-grams, a partner shares one of any
-s - ceil(t * s) + 1 of them. Each row so contributes only its rarest columns to the search for blocks; the columns'
-global order is by a sketch of their frequency, so columns that many rows share come last. Rows that meet in a column
+can reach the threshold, and size-derived bounds say which: of a row with s n-grams, a partner shares m of any
+s - ceil(t * s) + m of them. Each row so contributes only its rarest columns to the search for blocks, and rows that
+meet others in fewer than m of those are left out; the columns' global order is by a sketch of their frequency, so
+columns that many rows share come last. Rows that meet in a column
 form blocks, a block's product is accumulated over column blocks in numpy, and what stays below the overlap that two
 sizes demand is discarded. Equal rows are collapsed first, and links inside one component need not be known, so a group
 of copies costs links in proportion to its size.
@@ -23,6 +24,13 @@ from quotary.llm.shingles import binary, mixed, shingle_sets, slices
 SKETCH_BITS = 18
 #: Most rows of one block of the product, and its columns at a time: 4 MB dense.
 BLOCK_ROWS, BLOCK_COLUMNS = 256, 4096
+#: Rows of a block of candidates, and bits of a row's parity, whole 64-bit words.
+PAIR_ROWS, PARITY_BITS = 1024, 512
+
+
+def least_shared(size, num: int, den: int):
+    """m: of its rarest columns, so many must be shared for a link; a fixed part of what a row may differ in."""
+    return size * (den - num) // (4 * den) + 1
 
 
 def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
@@ -58,7 +66,7 @@ def _rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, sket
                     if counts is not None and len(h):
                         owner = np.repeat(np.arange(len(sizes)), sizes)
                         h = h[np.lexsort((h, counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))]
-                        keep = sizes - -(-sizes * num // den) + 1
+                        keep = sizes - -(-sizes * num // den) + least_shared(sizes, num, den)
                         packed = [h[e - s : e - s + k].tobytes() if s else b"" for e, s, k in zip(ends, sizes, keep, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(packed, pa.binary())],
@@ -103,10 +111,25 @@ def _meetings(reps: DataFrame) -> DataFrame:
     return reps.select("doc", "size", "prefix").mapInArrow(unpack, long3).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(shared, long3)
 
 
-def _near_pairs(meetings: DataFrame, labels: DataFrame | None, num: int, den: int, seed: int, back: int) -> DataFrame:
+def _promising(meetings: DataFrame, num: int, den: int) -> DataFrame:
+    """The meetings of rows that meet others often enough. A partner may be smaller and then need fewer, hence the bound."""
+    smallest = F.ceil(F.col("size") * num / den)
+    need = F.floor(smallest * (den - num) / (4 * den)) + 1
+    often = meetings.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    return meetings.join(often.select("doc", "size"), ["doc", "size"], "left_semi").select("gram", "doc", "size")
+
+
+def _enough(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of pairs(a, b, size), one row for each meeting, that meet in as many columns as the smaller size demands."""
+    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
+    return met.where(F.col("n") >= F.floor(F.col("size") * (den - num) / (4 * den)) + 1).select("a", "b")
+
+
+def _near_pairs(meetings: DataFrame, labels: DataFrame | None, num: int, den: int, seed: int, back: int, enough: bool = True) -> DataFrame:
     """(a, b): in each n-gram's rows, put in a seeded random order, each row with the first and the `back` rows before it.
 
-    Rows whose component is known to be the same, or whose sizes rule a link out, don't pair. Memory: `back` rows.
+    Rows whose component is known to be the same, or whose sizes rule a link out, don't pair. Memory: `back` rows. This
+    finds most links of large groups at a cost in proportion to their rows; _left_pairs finds the rest.
     """
     rows = meetings.withColumn("comp", F.col("doc"))
     if labels is not None:
@@ -116,7 +139,7 @@ def _near_pairs(meetings: DataFrame, labels: DataFrame | None, num: int, den: in
     def pairs(batches):
         gram, first, last = None, None, []
         for batch in batches:
-            a, b = [], []
+            a, b, size = [], [], []
             for g, d, s, c in zip(*(batch.column(x).to_pylist() for x in ("gram", "doc", "size", "comp")), strict=True):
                 if g != gram:
                     gram, first, last = g, None, []
@@ -124,27 +147,66 @@ def _near_pairs(meetings: DataFrame, labels: DataFrame | None, num: int, den: in
                     if c2 != c and d2 != d and min(s, s2) * den >= max(s, s2) * num:
                         a.append(min(d, d2))
                         b.append(max(d, d2))
+                        size.append(min(s, s2))
                 if first is None:
                     first = (d, s, c)
                 else:
                     last = [*last, (d, s, c)][-back:]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, size)], names=["a", "b", "size"])
 
     n = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "gram").sortWithinPartitions("gram", "r").mapInArrow(pairs, "a long, b long").distinct()
+    met = rows.repartition(n, "gram").sortWithinPartitions("gram", "r").mapInArrow(pairs, "a long, b long, size long")
+    return _enough(met, num, den) if enough else met.select("a", "b").distinct()
+
 
+def parity(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits a set: each n-gram flips one. Where two sets' bits differ, at least one n-gram differs."""
+    out = np.zeros((len(sizes), PARITY_BITS), np.uint8)
+    np.add.at(out, (np.repeat(np.arange(len(sizes)), sizes), (h % np.uint64(PARITY_BITS)).astype(np.int64)), 1)
+    return np.packbits(out & 1, axis=1)
 
-def _left_pairs(meetings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs that meet in an n-gram and may still link two components. Of an n-gram's rows, those outside
-    its largest component are paired with all rows of other components; where all rows are in one, none are."""
+
+def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all pairs that meet in an n-gram, pass the size-derived bounds and may still link two components.
+
+    n-grams whose rows are of one component are done. The rows of any other are dealt into blocks, every block with
+    every other, and a pair of blocks is compared in numpy: sizes, components, and how many n-grams differ at least, by
+    the sets' parities. What passes is emitted in the first n-gram that the two share, if they share enough of them.
+    """
     rows = meetings.join(labels, meetings.doc == labels.node, "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-    rows = materialize(rows, "meetings")
-    sizes = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    open_rows = rows.join(main.select("gram", "main"), "gram")
-    probes = open_rows.where("comp <> main").select("gram", F.col("doc").alias("p"), F.col("size").alias("ps"), F.col("comp").alias("pc"))
-    fits = (F.least("ps", "size") * den >= F.greatest("ps", "size") * num) & (F.col("pc") != F.col("comp")) & (F.col("p") != F.col("doc"))
-    return probes.join(open_rows.drop("main"), "gram").where(fits).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    own = meetings.groupBy("doc").agg(F.array_sort(F.collect_set("gram")).alias("grams"))  # as many as a prefix has at most
+    blocks = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    dealt = rows.join(groups.select("gram", blocks.alias("of")), "gram").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
+    dealt = dealt.join(own, "doc").join(marks, "doc").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.select("gram", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "doc", "size", "comp", "grams", "parity")
+
+    def compare(group: pa.Table) -> pa.Table:
+        gram, doc, size, comp, side = (group.column(c).to_numpy() for c in ("gram", "doc", "size", "comp", "i"))
+        order = np.argsort(size, kind="stable")
+        doc, size, comp, side = doc[order], size[order], comp[order], side[order]
+        bits = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)[order]
+        held = group.column("grams").to_pylist()
+        held = [held[i] for i in order]
+        within = group.column("x")[0].as_py() == group.column("y")[0].as_py()
+        a, b = [], []
+        for i in range(len(doc)):
+            to = np.searchsorted(size, size[i] * den // num, side="right")  # larger ones that aren't too large
+            js = np.arange(i + 1, to)
+            js = js[(comp[js] != comp[i]) & (doc[js] != doc[i])]
+            if not within:
+                js = js[side[js] != side[i]]
+            # a link has an overlap of t / (1 + t) of both sizes, so at most this many n-grams differ
+            both = size[js] + size[i]
+            js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= both - 2 * -(-both * num // (num + den))]
+            for j in js:
+                shared = set(held[i]).intersection(held[j])
+                if min(shared) == gram[0] and len(shared) >= least_shared(int(size[i]), num, den):
+                    a.append(min(doc[i], doc[j]))
+                    b.append(max(doc[i], doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("gram", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -204,7 +266,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                         b.append(ids[max(i, j)])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.join(sets, "doc").groupBy("a", "part").applyInArrow(product, "a long, b long").where("a <> b").distinct()
+    return members.join(sets.select("doc", "grams"), "doc").groupBy("a", "part").applyInArrow(product, "a long, b long").where("a <> b").distinct()
 
 
 def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -223,7 +285,7 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     # equal sets are one row of the matrix; its name is the smallest key
     reps = _rows(slim, "_doc", "_text", n, num, den, sketch).where("size > 0 and doc is not null")
     reps = reps.groupBy("size", "s1", "s2").agg(F.min("doc").alias("doc"), F.min_by("prefix", "doc").alias("prefix"))
-    meetings = materialize(_meetings(reps), "meetings")
+    meetings = materialize(_promising(materialize(_meetings(reps), "meetings"), num, den), "meetings")
     wanted = meetings.select(F.col("doc").alias("_doc")).distinct()
 
     def pack(batches):
@@ -232,9 +294,10 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
                 ids = batch.column("_doc")
                 for at, h, sizes in shingle_sets(binary(batch.column("_text")), n):
                     ends = np.cumsum(sizes)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())], names=["doc", "grams"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary()), pa.array([x.tobytes() for x in parity(h, sizes)], pa.binary())], names=["doc", "grams", "parity"])
 
-    sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, grams binary"), "sets")
+    sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, grams binary, parity binary"), "sets")
+    marks = sets.select("doc", "parity")
     member = materialize(_rows(slim, "_doc", "_text", n, num, den, None).drop("prefix"), "members")
     named = member.where("size > 0 and doc is not null")
     rep = named.groupBy("size", "s1", "s2").agg(F.min("doc").alias("rep"))
@@ -247,7 +310,7 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             pairs = _near_pairs(meetings, None, num, den, seed, back)
         else:
             labels = materialize(components(links), "labels")
-            pairs = _near_pairs(meetings, labels, num, den, seed, back) if back else _left_pairs(meetings, labels, num, den)
+            pairs = _near_pairs(meetings, labels, num, den, seed, back) if back else _left_pairs(meetings, labels, marks, num, den)
         found = _links(pairs, sets, num, den)
         links = materialize(found.unionByName(links if links is not None else tied), "links")
     labels = components(links)
