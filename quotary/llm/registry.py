@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quotary.llm import decontaminate, html_blocks, mixing, ngram_join, quality, secrets, sharding, tokens, topk
+from quotary.llm import decontaminate, html_blocks, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_topk": topk.op6_topk,
     "op7_secrets": secrets.op7_secrets,
     "op8_html": html_blocks.op8_html,
