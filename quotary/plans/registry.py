@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("matching",)
 QUERIES: dict = {}
 SQL: dict = {}
+for _name in MODULES:
+    _module = importlib.import_module(f"quotary.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
