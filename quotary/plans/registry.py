@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matching",)
+MODULES = ("matching", "audience", "timing")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
