@@ -255,7 +255,7 @@ md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\([
 md5(replace(replace(replace(text, 'thereof', 'TO'), 'the', 'T'), 'and', '&')) AS subs, ((length(text) - length(replace(text, 'the ', ''))) // 4)::BIGINT AS n_the FROM documents""",
     "ordered_pairs": f"WITH {_NEXT}, p AS (SELECT conv_id, turn, {_PAIRS('text')} AS a, {_PAIRS('n')} AS b, {words('lower(text)')} AS wa, {words('lower(n)')} AS wb FROM c), q AS (SELECT conv_id, turn, CASE WHEN len(wa) = 1 THEN wa ELSE a END AS a, CASE WHEN len(wb) = 1 THEN wb ELSE b END AS b FROM p) SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN floor(len(list_intersect(a, b))::DOUBLE / len(a) * 10000 + 0.5) / 10000 ELSE 0.0 END AS share FROM q",
     "turn_jaccard": f"WITH {_NEXT}, p AS (SELECT conv_id, turn, {_LOW('text')} AS a, {_LOW('n')} AS b FROM c) SELECT conv_id, turn, CASE WHEN len(a) > 0 AND len(b) > 0 THEN floor(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) * 10000 + 0.5) / 10000 ELSE 0.0 END AS jaccard FROM p",
-    "run_positions": f"WITH w AS (SELECT conv_id, turn, {words('text')} AS w FROM conversations), p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i:i + least(len(w), 3) - 1] = w[greatest(len(w) - 2, 1):len(w)]) AS at FROM w) SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN -1 ELSE at[1] - 1 END::BIGINT AS at FROM p",
+    "run_positions": f"WITH w AS (SELECT conv_id, turn, {words('text')} AS w FROM conversations), p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i:i + least(len(w), 3) - 1] = w[greatest(len(w) - 2, 1):len(w)]) AS ps FROM w) SELECT conv_id, turn, (CASE WHEN len(w) = 0 THEN -1 ELSE ps[1] - 1 END)::BIGINT AS at FROM p",
     "page_fields": """SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title,
 len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::BIGINT AS links, regexp_extract_all(html, '<a href="([^"]*)"', 1)[1] AS first_link FROM pages""",
     "page_text": f"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '{WS}', ' ', 'g'))) AS digest FROM pages""",
