@@ -9,7 +9,10 @@ from quotary.functions import text as X
 from quotary.operators import audience as A
 from quotary.sources.tables import table
 
-NOW = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+
+def now():
+    """The report's moment, a parameter of every rolling count."""
+    return F.to_timestamp(F.lit("2024-01-31 00:00:00"))
 
 
 def views(spark: SparkSession, d: str) -> DataFrame:
@@ -32,12 +35,12 @@ def counted_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def places(spark: SparkSession, d: str) -> DataFrame:
     """A3, P25: countries and cities, all time and last week, without data centres."""
-    return A.places(views(spark, d).where("not hosting"), "country", "city", NOW).drop("level")
+    return A.places(views(spark, d).where("not hosting"), "country", "city", now()).drop("level")
 
 
 def new_places(spark: SparkSession, d: str) -> DataFrame:
     """Places by when they were first seen, in the last 29 days of the report."""
-    return A.first_seen(views(spark, d), "city").where(F.col("first_ts") >= NOW - F.make_interval(days=F.lit(29))).select("city", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
+    return A.first_seen(views(spark, d), "city").where(F.col("first_ts") >= now() - F.make_interval(days=F.lit(29))).select("city", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
 
 
 def top_places(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +95,7 @@ def returning_users(spark: SparkSession, d: str) -> DataFrame:
 
 def headline(spark: SparkSession, d: str) -> DataFrame:
     """A10, A22, R11."""
-    return A.headline(views(spark, d), NOW, "user_id")
+    return A.headline(views(spark, d), now(), "user_id")
 
 
 def totals_snapshot(spark: SparkSession, d: str) -> DataFrame:
