@@ -29,8 +29,8 @@ LIMIT = 1024
 #: Characters of one block of text, and of one chunk of it.
 BLOCK, CHUNK = 1 << 20, 512
 
-#: Compiled states that are kept from one block to the next: about 240 MB.
-MOST_STATES = 150_000
+#: Compiled states that are kept from one block to the next: about 150 MB.
+MOST_STATES = 100_000
 
 # Classes of characters: letter, number, space, other blank, anything else, and those of the contractions.
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE, STOP = range(7)
@@ -152,18 +152,18 @@ class Merger:
         self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in merges}
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
         self.made = {a + b: (a, b) for a, b in reversed(merges)}
-        self.joins: dict[tuple[bytes, bytes], bool] = {}
+        self.wholes: dict[bytes, bool] = {}
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.by_start: dict[bytes, list[bytes]] = {}
         for t in self.tokens:
             for i in range(2, len(t)):
                 self.by_start.setdefault(t[:i], []).append(t)
-        self.classes: dict[tuple[bytes, bytes], bytes] = {}
-        self.alike: dict[tuple, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
         """Forget the compiled states; they are made again when met."""
+        self.classes: dict[tuple[bytes, bytes], bytes] = {}
+        self.alike: dict[tuple, bytes] = {}
         self.states: dict[tuple, int] = {}
         self.what: list[tuple] = []
         self.next = np.full((1024, 256), -1, np.int32)
@@ -210,17 +210,15 @@ class Merger:
         They aren't if some merge across the junction comes up while both of its parts stand. Of merges of one rank the
         leftmost is done first, hence the tie.
         """
-        got = self.joins.get((a, b))
-        if got is None:
-            rank = self.rank.get
-            got = self.joins[a, b] = not any((r := rank((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in self.spine(a, 1) for y, y_ends in self.spine(b, 0))
-        return got
+        rank = self.rank.get
+        ends = self.spine(b, 0)
+        return not any((r := rank((x, y))) is not None and r < x_ends and r <= y_ends for x, x_ends in self.spine(a, 1) for y, y_ends in ends)
 
     def whole(self, t: bytes) -> bool:
         """Whether merging makes the single token t of its bytes (a merge list may hold tokens that it never makes)."""
-        got = self.joins.get((b"", t), None)
+        got = self.wholes.get(t)
         if got is None:
-            got = self.joins[b"", t] = self.merged(t) == [t]
+            got = self.wholes[t] = self.merged(t) == [t]
         return got
 
     def kind(self, last: bytes, begun: bytes) -> bytes:
