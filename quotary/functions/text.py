@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 #: What separates words.
 BLANKS = r"[\x20\x09-\x0D]+"
 LATIN_KEY = r"[^a-z0-9à-ÿ]"
+#: The ordered replacements of the script's light normalisation, and of the deeper fold of its spellings.
+SCRIPT_STEPS = [("[ؐ-ؚ]", ""), ("ٰ", "ا"), ("[ً-ٟ]", ""), ("ـ", ""), ("[ۖ-ۭ]", ""), ("ٱ", "ا"), ("[آأإ]", "ا"), (r"[.,!?;:؟،؛\"'`(){}\[\]«»﴾﴿…—–-]", "")]
+FOLD_STEPS = [("[ءئ]", ""), ("ؤ", "و"), ("وو", "و"), ("(^|\\s)الل(?!ه)", "$1ال")]
+
+
+def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
 
 
 def words(text: Column) -> Column:
@@ -31,8 +38,7 @@ def strip_markup(text: Column) -> Column:
 
 def normalize_script(text: Column) -> Column:
     """combining signs, vowel marks, stretching and annotation signs go, forms of alef become one, punctuation goes."""
-    steps = [("[ؐ-ؚ]", ""), ("ٰ", "ا"), ("[ً-ٟ]", ""), ("ـ", ""), ("[ۖ-ۭ]", ""), ("ٱ", "ا"), ("[آأإ]", "ا"), (r"[.,!?;:؟،؛\"'`(){}\[\]«»﴾﴿…—–-]", "")]
-    return F.trim(reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text))
+    return F.trim(_replaced(text, SCRIPT_STEPS))
 
 
 def _vocative(text: Column) -> Column:
@@ -41,8 +47,7 @@ def _vocative(text: Column) -> Column:
 
 
 def _folded(text: Column) -> Column:
-    steps = [("[ءئ]", ""), ("ؤ", "و"), ("وو", "و"), ("(^|\\s)الل(?!ه)", "$1ال")]
-    return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
+    return _replaced(text, FOLD_STEPS)
 
 
 def _ends(text: Column) -> Column:
