@@ -73,15 +73,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014): each is one grouped minimum, combined before
     its shuffle, and one equi-join that adaptive execution may split, so a hub with millions of links isn't one task's
-    work. It ends when the links no longer change, after a number of rounds that is logarithmic in the longest path.
+    work. It ends when all links point straight at the smallest node, after a number of rounds that is logarithmic in
+    the longest path.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    links, seen = materialize(links, "links"), None
-    while True:
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
-            break
-        seen = now
+    links = materialize(links, "links")
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -89,3 +86,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = materialize(small.where("u <> v").distinct(), "links")
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each node points at one node at most, and none that is pointed at points on."""
+    roles = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("to")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("to")))
+    return roles.groupBy("node").agg(F.sum("out").alias("out"), F.max("to").alias("to")).where("out > 1 or (out > 0 and to > 0)").isEmpty()

@@ -25,7 +25,7 @@ SKETCH_BITS = 18
 #: Most rows of one block of the product, and its columns at a time: 4 MB dense.
 BLOCK_ROWS, BLOCK_COLUMNS = 256, 4096
 #: Rows of a block of candidates, and bits of a row's parity, whole 64-bit words.
-PAIR_ROWS, PARITY_BITS = 1024, 512
+PAIR_ROWS, PARITY_BITS = 1024, 256
 
 
 def least_shared(size, num: int, den: int):
@@ -52,7 +52,8 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, sketch) -> DataFrame:
-    """(doc, size, s1, s2, prefix): set size, 128 bits that stand for the set, and its rarest n-grams as packed hashes."""
+    """(doc, size, s1, s2, prefix, parity): set size, 128 bits that stand for the set, its rarest n-grams as packed hashes
+    and its parity; without a sketch the last two are empty."""
 
     def rows(batches):
         counts = sketch.value if sketch else None
@@ -62,18 +63,19 @@ def _rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, sket
                 for at, h, sizes in shingle_sets(binary(batch.column(text)), n):
                     ends = np.cumsum(sizes)
                     sums = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(c)), dtype=np.uint64)])[np.concatenate([[0], ends])]) for c in (1, 2)]
-                    packed = [b""] * len(sizes)
+                    packed, marks = [b""] * len(sizes), [b""] * len(sizes)
                     if counts is not None and len(h):
+                        marks = [x.tobytes() for x in parity(h, sizes)]
                         owner = np.repeat(np.arange(len(sizes)), sizes)
                         h = h[np.lexsort((h, counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))]
                         keep = sizes - -(-sizes * num // den) + least_shared(sizes, num, den)
                         packed = [h[e - s : e - s + k].tobytes() if s else b"" for e, s, k in zip(ends, sizes, keep, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(packed, pa.binary())],
-                        names=["doc", "size", "s1", "s2", "prefix"],
+                        [ids.slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(packed, pa.binary()), pa.array(marks, pa.binary())],
+                        names=["doc", "size", "s1", "s2", "prefix", "parity"],
                     )
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(rows, "doc long, size long, s1 long, s2 long, prefix binary")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(rows, "doc long, size long, s1 long, s2 long, prefix binary, parity binary")
 
 
 def _meetings(reps: DataFrame) -> DataFrame:
@@ -166,47 +168,98 @@ def parity(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(out & 1, axis=1)
 
 
+def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the block pairs (x, y) of their n-gram in which they're compared, a pair of blocks together and by size.
+
+    groups(gram, n): a group of up to PAIR_ROWS rows is one block; a larger one is dealt into blocks, each of which meets
+    each other one, so no task holds more than two blocks at once.
+    """
+    of = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    d = rows.join(groups.select("gram", of.alias("of")), "gram").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
+    d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).drop("of", "j")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(n, "gram", "x", "y").sortWithinPartitions("gram", "x", "y", "size")
+
+
+def _whole_groups(batches):
+    """Arrow tables of whole groups (gram, x, y), from batches in their order: the last group waits for its rest."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        keys = [t.column(c).to_numpy() for c in ("gram", "x", "y")]
+        other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def _passing(t: pa.Table, num: int, den: int, apart: np.ndarray | None = None):
+    """(i, j) arrays of the rows of one group that may link: sizes within the threshold of each other, not both of one
+    block of two, of different `apart` values, and by their parities no more n-grams differ than a link allows."""
+    g, x, y, side, doc, size = (t.column(c).to_numpy() for c in ("gram", "x", "y", "i", "doc", "size"))
+    bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(g), -1)
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    group = np.cumsum(first)
+    live, k = np.arange(len(g)), 0
+    while len(live):
+        k += 1
+        live = live[live + k < len(g)]
+        j = live + k
+        live = live[(group[j] == group[live]) & (size[j] * num <= size[live] * den)]  # by size: beyond it none fits
+        i, j = live, live + k
+        ok = (doc[i] != doc[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
+        if apart is not None:
+            ok &= apart[i] != apart[j]
+        i, j = i[ok], j[ok]
+        # a link has an overlap of t / (1 + t) of both sizes, so at most this many n-grams differ
+        both = size[i] + size[j]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= both - 2 * -(-both * num // (num + den))
+        if near.any():
+            yield i[near], j[near]
+
+
+def _near_rows(meetings: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc): the rows that meet one in some n-gram to which, by sizes and parities, they may be linked."""
+    groups = meetings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    def near(batches):
+        for t in _whole_groups(batches):
+            docs = t.column("doc").to_numpy()
+            found = np.zeros(len(docs), bool)
+            for i, j in _passing(t, num, den):
+                found[i] = found[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(docs[found]))], names=["doc"])
+
+    return _dealt(meetings.join(marks, ["doc", "size"]), groups).mapInArrow(near, "doc long").distinct()
+
+
 def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): all pairs that meet in an n-gram, pass the size-derived bounds and may still link two components.
 
-    n-grams whose rows are of one component are done. The rows of any other are dealt into blocks, every block with
-    every other, and a pair of blocks is compared in numpy: sizes, components, and how many n-grams differ at least, by
-    the sets' parities. What passes is emitted in the first n-gram that the two share, if they share enough of them.
+    n-grams whose rows are of one component are done: rows of two components share none of those, so the others tell in
+    how many n-grams a pair meets, and pairs that meet too rarely are out.
     """
     rows = meetings.join(labels, meetings.doc == labels.node, "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
     groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    own = meetings.groupBy("doc").agg(F.array_sort(F.collect_set("gram")).alias("grams"))  # as many as a prefix has at most
-    blocks = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
-    dealt = rows.join(groups.select("gram", blocks.alias("of")), "gram").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
-    dealt = dealt.join(own, "doc").join(marks, "doc").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    dealt = dealt.select("gram", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "doc", "size", "comp", "grams", "parity")
-
-    def compare(group: pa.Table) -> pa.Table:
-        gram, doc, size, comp, side = (group.column(c).to_numpy() for c in ("gram", "doc", "size", "comp", "i"))
-        order = np.argsort(size, kind="stable")
-        doc, size, comp, side = doc[order], size[order], comp[order], side[order]
-        bits = np.frombuffer(b"".join(group.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)[order]
-        held = group.column("grams").to_pylist()
-        held = [held[i] for i in order]
-        within = group.column("x")[0].as_py() == group.column("y")[0].as_py()
-        a, b = [], []
-        for i in range(len(doc)):
-            to = np.searchsorted(size, size[i] * den // num, side="right")  # larger ones that aren't too large
-            js = np.arange(i + 1, to)
-            js = js[(comp[js] != comp[i]) & (doc[js] != doc[i])]
-            if not within:
-                js = js[side[js] != side[i]]
-            # a link has an overlap of t / (1 + t) of both sizes, so at most this many n-grams differ
-            both = size[js] + size[i]
-            js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= both - 2 * -(-both * num // (num + den))]
-            for j in js:
-                shared = set(held[i]).intersection(held[j])
-                if min(shared) == gram[0] and len(shared) >= least_shared(int(size[i]), num, den):
-                    a.append(min(doc[i], doc[j]))
-                    b.append(max(doc[i], doc[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("gram", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    def pairs(batches):
+        for t in _whole_groups(batches):
+            doc, size, comp = (t.column(c).to_numpy() for c in ("doc", "size", "comp"))
+            met = [np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), np.minimum(size[i], size[j])], axis=1) for i, j in _passing(t, num, den, comp)]
+            if met:
+                got, n = np.unique(np.concatenate(met), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(got[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], names=["a", "b", "size", "n"])
+
+    met = _dealt(rows.join(marks, ["doc", "size"]), groups).mapInArrow(pairs, "a long, b long, size long, n long")
+    met = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    return met.where(F.col("n") >= F.floor(F.col("size") * (den - num) / (4 * den)) + 1).select("a", "b")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -284,9 +337,14 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     sketch = spark.sparkContext.broadcast(_sketch(slim, "_text", n))
     # equal sets are one row of the matrix; its name is the smallest key
     reps = _rows(slim, "_doc", "_text", n, num, den, sketch).where("size > 0 and doc is not null")
-    reps = reps.groupBy("size", "s1", "s2").agg(F.min("doc").alias("doc"), F.min_by("prefix", "doc").alias("prefix"))
+    reps = reps.groupBy("size", "s1", "s2").agg(F.min("doc").alias("doc"), F.min_by(F.struct("prefix", "parity"), "doc").alias("r"))
+    reps = materialize(reps.select("size", "s1", "s2", "doc", "r.prefix", "r.parity"), "rows")
     meetings = materialize(_promising(materialize(_meetings(reps), "meetings"), num, den), "meetings")
-    wanted = meetings.select(F.col("doc").alias("_doc")).distinct()
+    marks = reps.select("doc", "size", "parity")  # two rows for a key with two texts: both are tried
+    near = materialize(_near_rows(meetings, marks, num, den), "near")
+    meetings = materialize(meetings.join(near, "doc", "left_semi").select("gram", "doc", "size"), "meetings")
+    marks = materialize(marks.join(near, "doc", "left_semi"), "marks")
+    wanted = near.select(F.col("doc").alias("_doc"))
 
     def pack(batches):
         for whole in batches:
@@ -294,13 +352,12 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
                 ids = batch.column("_doc")
                 for at, h, sizes in shingle_sets(binary(batch.column("_text")), n):
                     ends = np.cumsum(sizes)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary()), pa.array([x.tobytes() for x in parity(h, sizes)], pa.binary())], names=["doc", "grams", "parity"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())], names=["doc", "grams"])
 
-    sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, grams binary, parity binary"), "sets")
-    marks = sets.select("doc", "parity")
-    member = materialize(_rows(slim, "_doc", "_text", n, num, den, None).drop("prefix"), "members")
+    sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, grams binary"), "sets")
+    member = materialize(_rows(slim, "_doc", "_text", n, num, den, None).drop("prefix", "parity"), "members")
     named = member.where("size > 0 and doc is not null")
-    rep = named.groupBy("size", "s1", "s2").agg(F.min("doc").alias("rep"))
+    rep = reps.select("size", "s1", "s2", F.col("doc").alias("rep"))
     links, labels = None, None
     # a key with several texts ties their classes together
     several = named.groupBy("doc").agg(F.count_distinct("size", "s1", "s2").alias("n")).where("n > 1").select("doc")
