@@ -240,14 +240,15 @@ def _near_rows(meetings: DataFrame, marks: DataFrame, num: int, den: int) -> Dat
     return _dealt(meetings.join(marks, ["doc", "size"]), groups).mapInArrow(near, "doc long").distinct()
 
 
-def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int, enough: bool = True, done: int = 1) -> DataFrame:
     """(a, b): all pairs that meet in an n-gram, pass the size-derived bounds and may still link two components.
 
     n-grams whose rows are of one component are done: rows of two components share none of those, so the others tell in
-    how many n-grams a pair meets, and pairs that meet too rarely are out.
+    how many n-grams a pair meets, and pairs that meet too rarely are out. Without `enough` one meeting will do; then
+    n-grams of up to `done` rows, all pairs of which have been verified before, may be left out.
     """
     rows = meetings.join(labels, meetings.doc == labels.node, "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-    groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("n") > done))
 
     def pairs(batches):
         for t in _whole_groups(batches):
@@ -258,6 +259,8 @@ def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: i
                 yield pa.RecordBatch.from_arrays([*(pa.array(got[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], names=["a", "b", "size", "n"])
 
     met = _dealt(rows.join(marks, ["doc", "size"]), groups).mapInArrow(pairs, "a long, b long, size long, n long")
+    if not enough:
+        return met.select("a", "b").distinct()
     met = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
     return met.where(F.col("n") >= F.floor(F.col("size") * (den - num) / (4 * den)) + 1).select("a", "b")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotary.llm.common import components, materialize, table
-from quotary.llm.ngram_join import _links, _meetings, _near_pairs
+from quotary.llm.ngram_join import _left_pairs, _links, _meetings, _near_pairs, parity
 from quotary.llm.shingles import binary, mixed, shingle_sets, slices, word_hashes
 
 #: Words of a shingle and the similarity of near-duplicate paragraphs, as num / den.
@@ -101,8 +101,8 @@ def _pieces(docs: DataFrame) -> DataFrame:
 
 
 def _paragraphs(docs: DataFrame, what: str) -> DataFrame:
-    """The lines of PARAGRAPH words or more: (doc, start, end, node, size, prefix) with packed band keys, or (node, grams)
-    with packed shingles. `node` stands for the set of shingles."""
+    """The lines of PARAGRAPH words or more: (doc, start, end, node, size, prefix) with packed band keys, or (node, size,
+    grams, parity) with packed shingles. `node` stands for the set of shingles."""
     places = what == "bands"
 
     def cut(batches):
@@ -128,9 +128,11 @@ def _paragraphs(docs: DataFrame, what: str) -> DataFrame:
                         cells = [pa.array(x[at : at + len(sizes)], pa.int64()) for x in (doc, start, end)]
                         yield pa.RecordBatch.from_arrays([*cells, node, pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary())], names=["doc", "start", "end", "node", "size", "prefix"])
                     else:
-                        yield pa.RecordBatch.from_arrays([node, pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())], names=["node", "grams"])
+                        grams = [h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
+                        marks = [x.tobytes() for x in parity(h, sizes)]
+                        yield pa.RecordBatch.from_arrays([node, pa.array(sizes.astype(np.int64)), pa.array(grams, pa.binary()), pa.array(marks, pa.binary())], names=["node", "size", "grams", "parity"])
 
-    return docs.mapInArrow(cut, "doc long, start long, end long, node long, size long, prefix binary" if places else "node long, grams binary")
+    return docs.mapInArrow(cut, "doc long, start long, end long, node long, size long, prefix binary" if places else "node long, size long, grams binary, parity binary")
 
 
 def _shared(units: DataFrame) -> DataFrame:
@@ -159,10 +161,16 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     met = meetings.select(F.col("doc").alias("node")).distinct()
     holders = nodes.join(met, "node", "left_semi").select(F.col("holder").alias("doc")).distinct()
     sets = _paragraphs(slim.join(holders, "doc", "left_semi"), "sets").join(met, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets.select(F.col("node").alias("doc"), "grams"), "sets")
-    links, labels = None, None
-    for seed, back in ((1, 1), (2, 4)):
-        found = _links(_near_pairs(meetings, labels, NUM, DEN, seed, back, enough=False), sets, NUM, DEN)
+    sets = materialize(sets.select(F.col("node").alias("doc"), "size", "grams", "parity"), "sets")
+    marks = sets.select("doc", "size", "parity")
+    links, labels, full = None, None, 1
+    for seed, back in ((1, 1), (2, 4), (3, 0)):
+        if back:
+            pairs = _near_pairs(meetings, labels, NUM, DEN, seed, back, enough=False)
+            full = back + 2  # in bands of up to so many rows, every pair is among these
+        else:
+            pairs = _left_pairs(meetings, labels, marks, NUM, DEN, enough=False, done=full)
+        found = _links(pairs, sets, NUM, DEN)
         links = materialize(found if links is None else found.unionByName(links), "links")
         labels = materialize(components(links), "labels")
     clustered = lines.select("doc", "start", "end", "node").join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")

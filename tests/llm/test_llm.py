@@ -236,6 +236,35 @@ def test_repeated_passages_are_caught_and_clean_documents_left(spark):
         assert any(r["doc_id"] == b and a in r["kept_ids"] and r["n_words"] >= 20 for r in got)
 
 
+def test_no_pair_of_paragraphs_that_share_a_band_is_missed(spark):
+    rng = random.Random(11)
+    base, docs = [f"word{i}" for i in range(60)], {}
+    for c in range(150):  # variants of one template: 0.7 between clusters, 0.84 inside them
+        center = list(base)
+        for at in rng.sample(range(5, 55), 2):
+            center[at] = f"c{c}x{at}"
+        copy = list(center)
+        copy[rng.randrange(6, 54)] = f"d{c}"
+        docs[c], docs[c + 1000] = center, copy
+    sets = {i: {tuple(w[k : k + 5]) for k in range(56)} for i, w in docs.items()}
+    keys = {}
+    for i, w in docs.items():
+        for _, h, sizes in shingles.shingle_sets([" ".join(w).encode()], 5):
+            keys[i] = set(substrings.signatures(h, sizes)[0].tolist())
+    top = {i: i for i in docs}
+    for i in sorted(docs):
+        for j in sorted(docs):
+            if i < j and keys[i] & keys[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top[i], top[j]))
+                top = {k: a if v == b else v for k, v in top.items()}
+    expected = {i: t for i, t in top.items() if t < i}
+    assert len(expected) >= 140
+    got = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).where("start = 0").collect()
+    # no piece begins at the first word: what begins there is a whole paragraph
+    assert {r["doc_id"] for r in got} == set(expected)
+    assert all(expected[r["doc_id"]] in r["kept_ids"] for r in got)
+
+
 def test_substrings_on_odd_rows(spark):
     got = substrings.repeated_passages(odd_docs(spark).withColumn("start", F.lit(0)))
     assert [(r["doc_id"], r["kept_id"]) for r in got.collect()] == [(7, 6)]
