@@ -42,6 +42,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements over which no implied end reaches.
 SCOPE = frozenset("article aside body div footer form header main nav ol section table td th ul dl".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+#: Elements whose content isn't markup either, and what ends them, wherever it stands.
+LITERAL = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "iframe", "noscript")}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
@@ -55,7 +57,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = in_link = 0
-    raw = ""
+    page, at, raw = page or "", 0, ""
 
     def close() -> None:
         nonlocal linked
@@ -65,8 +67,14 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         end, tag, rest = m.group(1), (m.group(2) or "").lower(), m.group(3)
+        if tag in LITERAL and not end and not rest.rstrip().endswith("/"):
+            found = LITERAL[tag].search(page, at)
+            at = found.start() if found else len(page)
+            continue
         if raw:
             if tag == raw and end:
                 raw = ""

@@ -336,6 +336,16 @@ def test_main_text_of_all_pages(spark):
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
 
 
+def test_what_scripts_hold_is_not_read_as_markup():
+    for name in ("script", "style"):
+        for inner in ("for(i=0;i<n.length;i++){f(i)}", "if (a<b) c = 'x", 's = "<!--"; t = "it\'s"', "<![CDATA[ a", "<!-- a<b", 'q = "</p>" + "<' + name + '>"', "</" + name + "x>"):
+            for last in (f"</{name}>", f"</{name.upper()} >", f"</{name}\n>"):
+                page = f"<body><p>Before.<{name} type=x>{inner}{last}<p>After \"it\".</p><{name}>1</{name}><p>Last.</body>"
+                assert [text for _, text, _ in html_blocks.blocks(page)] == ["Before.", 'After "it".', "Last."], (inner, last)
+    assert [text for _, text, _ in html_blocks.blocks("<p>One.<script>a<b")] == ["One."]
+    assert [text for _, text, _ in html_blocks.blocks('<p>One.<svg><script>a<b</script><a title="</svg>">x</a></svg><p>Two.')] == ["One.", "Two."]
+
+
 def test_html_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, PAGE, "x"), (1, None, PAGE, "x"), (None, "u", None, "x"), (2, "u", "", "x"), (3, "u", "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     got = html_blocks.with_main_text(pages, html_blocks.fit(pages)).collect()
