@@ -24,8 +24,10 @@ from quotary.llm.shingles import binary, mixed, shingle_sets, slices
 SKETCH_BITS = 18
 #: Most rows of one block of the product, and its columns at a time: 4 MB dense.
 BLOCK_ROWS, BLOCK_COLUMNS = 256, 4096
-#: Rows of a block of candidates, and bits of a row's parity, whole 64-bit words.
-PAIR_ROWS, PARITY_BITS = 1024, 256
+#: Rows of a block of candidates; rows of an n-gram up to which it's tried whether any of them may link.
+PAIR_ROWS, SMALL = 1024, 64
+#: Bits of a row's parity, whole 64-bit words: of all its n-grams, and of those that other rows have too.
+PARITY_BITS, MARK_BITS = 256, 512
 
 
 def least_shared(size, num: int, den: int):
@@ -78,8 +80,8 @@ def _rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, sket
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(rows, "doc long, size long, s1 long, s2 long, prefix binary, parity binary")
 
 
-def _meetings(reps: DataFrame) -> DataFrame:
-    """(gram, doc, size) of the prefixes, of n-grams in which at least two rows meet."""
+def _unpacked(reps: DataFrame) -> DataFrame:
+    """(gram, doc, size): the prefixes of packed hashes, one row each."""
 
     def unpack(batches):
         for batch in batches:
@@ -92,25 +94,15 @@ def _meetings(reps: DataFrame) -> DataFrame:
                         [pa.array(np.concatenate(grams)), pa.array(np.repeat(part.column("doc").to_numpy(), n)), pa.array(np.repeat(part.column("size").to_numpy(), n))], names=["gram", "doc", "size"]
                     )
 
-    def shared(batches):
-        """Rows come sorted by n-gram: a row is kept if a neighbour has its n-gram. One row is carried over."""
-        held = None
-        for batch in batches:
-            g, d, s = (batch.column(c).to_numpy() for c in ("gram", "doc", "size"))
-            if held is not None:
-                g, d, s = (np.concatenate([[a], b]) for a, b in zip(held[:3], (g, d, s), strict=True))
-            same = g[1:] == g[:-1]
-            keep = np.concatenate([[held is not None and held[3]], same]) | np.concatenate([same, [False]])
-            held = (g[-1], d[-1], s[-1], bool(len(same) and same[-1]) or bool(len(g) == 1 and held is not None and held[3]))
-            keep[-1] = False
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (g, d, s)], names=["gram", "doc", "size"])
-        if held is not None and held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:3]], names=["gram", "doc", "size"])
-
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long3 = "gram long, doc long, size long"
-    return reps.select("doc", "size", "prefix").mapInArrow(unpack, long3).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(shared, long3)
+    return reps.select("doc", "size", "prefix").mapInArrow(unpack, "gram long, doc long, size long")
+
+
+def _meetings(reps: DataFrame) -> DataFrame:
+    """(gram, doc, size) of the prefixes, of n-grams in which at least two rows meet. Counts are combined before their
+    shuffle and the join is an equi-join that adaptive execution may split, so no n-gram has to be one task."""
+    grams = _unpacked(reps)
+    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return grams.join(met.select("gram"), "gram", "left_semi")
 
 
 def _promising(meetings: DataFrame, num: int, den: int) -> DataFrame:
@@ -127,56 +119,82 @@ def _enough(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return met.where(F.col("n") >= F.floor(F.col("size") * (den - num) / (4 * den)) + 1).select("a", "b")
 
 
-def _near_pairs(meetings: DataFrame, labels: DataFrame | None, num: int, den: int, seed: int, back: int, enough: bool = True) -> DataFrame:
-    """(a, b): in each n-gram's rows, put in a seeded random order, each row with the first and the `back` rows before it.
+def _labelled(meetings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """meetings with `comp`: the component that a row is known to be of, its own id at first."""
+    if labels is None:
+        return meetings.withColumn("comp", F.col("doc"))
+    return meetings.join(labels, meetings.doc == labels.node, "left").select(*meetings.columns, F.coalesce("component", "doc").alias("comp"))
 
-    Rows whose component is known to be the same, or whose sizes rule a link out, don't pair. Memory: `back` rows. This
-    finds most links of large groups at a cost in proportion to their rows; _left_pairs finds the rest.
-    """
-    rows = meetings.withColumn("comp", F.col("doc"))
-    if labels is not None:
-        rows = meetings.join(labels, meetings.doc == labels.node, "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-    rows = rows.withColumn("r", F.xxhash64(F.lit(seed), "doc"))
 
-    def pairs(batches):
-        gram, first, last = None, None, []
-        for batch in batches:
-            a, b, size = [], [], []
-            for g, d, s, c in zip(*(batch.column(x).to_pylist() for x in ("gram", "doc", "size", "comp")), strict=True):
-                if g != gram:
-                    gram, first, last = g, None, []
-                for d2, s2, c2 in last if first is None else [first, *last]:
-                    if c2 != c and d2 != d and min(s, s2) * den >= max(s, s2) * num:
-                        a.append(min(d, d2))
-                        b.append(max(d, d2))
-                        size.append(min(s, s2))
-                if first is None:
-                    first = (d, s, c)
-                else:
-                    last = [*last, (d, s, c)][-back:]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, size)], names=["a", "b", "size"])
+def _hub_pairs(meetings: DataFrame, labels: DataFrame | None, num: int, den: int, seeds: tuple[int, ...], enough: bool = True) -> DataFrame:
+    """(a, b): in each n-gram, each row with a few rows that all its rows are compared with: the one with the fewest
+    n-grams of its own (in a group of edited copies, the least edited one: what links with any links with it) and,
+    for each seed, a random one.
 
-    n = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(n, "gram").sortWithinPartitions("gram", "r").mapInArrow(pairs, "a long, b long, size long")
+    `meetings(gram, doc, size, own)`. Rows whose component is known to be the same, or whose sizes rule a link out, don't
+    pair. A grouped minimum finds the hubs and an equi-join brings them, so the cost is in proportion to the rows however
+    large a group is. This finds most links; _left_pairs finds the rest.
+    """
+    rows = _labelled(meetings, labels)
+    me = F.struct("doc", "size", "comp")
+    hubs = [F.min_by(me, F.struct("own", "doc")), *[F.min_by(me, F.xxhash64(F.lit(x), "doc")) for x in seeds]]
+    groups = rows.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*hubs)).alias("hubs")).where("lo <> hi").select("gram", "hubs")
+    met = rows.join(groups, "gram").select("doc", "size", "comp", F.explode("hubs").alias("hub")).where("doc <> hub.doc and comp <> hub.comp")
+    fits = F.least("size", "hub.size") * den >= F.greatest("size", "hub.size") * num
+    met = met.where(fits).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b"), F.least("size", "hub.size").alias("size"))
     return _enough(met, num, den) if enough else met.select("a", "b").distinct()
 
 
-def parity(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits a set: each n-gram flips one. Where two sets' bits differ, at least one n-gram differs."""
-    out = np.zeros((len(sizes), PARITY_BITS), np.uint8)
-    np.add.at(out, (np.repeat(np.arange(len(sizes)), sizes), (h % np.uint64(PARITY_BITS)).astype(np.int64)), 1)
+def parity(h: np.ndarray, sizes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """So many bits a set: each n-gram flips one. Where two sets' bits differ, at least one n-gram differs."""
+    out = np.zeros((len(sizes), bits), np.uint8)
+    np.add.at(out, (np.repeat(np.arange(len(sizes)), sizes), (h % np.uint64(bits)).astype(np.int64)), 1)
     return np.packbits(out & 1, axis=1)
 
 
+def _marks(sets: DataFrame) -> DataFrame:
+    """(doc, size, own, parity) of sets(doc, grams): how many of a row's n-grams no other row has, and the parity of the
+    others. What two rows have of their own differs for certain, and so do as many of the others as their parities tell."""
+
+    def unpack(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                grams = [np.frombuffer(g, np.int64) for g in part.column("grams").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(part.column("doc").to_numpy(), [len(g) for g in grams]))], names=["gram", "doc"])
+
+    def mark(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                grams = [np.frombuffer(g, np.uint64) for g in part.column("grams").to_pylist()]
+                own = [np.array(x or [], np.int64).view(np.uint64) for x in part.column("own").to_pylist()]
+                own = [x[np.isin(x, g)] for x, g in zip(own, grams, strict=True)]  # a key may have several texts
+                n, k = (np.array([len(x) for x in y], np.int64) for y in (grams, own))
+                bits = parity(np.concatenate(grams), n, MARK_BITS) ^ parity(np.concatenate(own), k, MARK_BITS)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array(k), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc", "size", "own", "parity"])
+
+    held = sets.select("doc", "grams").mapInArrow(unpack, "gram long, doc long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
+    own = held.where("n = 1").groupBy("doc").agg(F.collect_list("gram").alias("own"))  # no longer than the row's own set
+    return sets.select("doc", "grams").join(own, "doc", "left").mapInArrow(mark, "doc long, size long, own long, parity binary")
+
+
 def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with the block pairs (x, y) of their n-gram in which they're compared, a pair of blocks together and by size.
+    """rows(gram, doc, comp, ...) with the block pairs (x, y) of their n-gram in which they're compared, by size.
 
-    groups(gram, n): a group of up to PAIR_ROWS rows is one block; a larger one is dealt into blocks, each of which meets
-    each other one, so no task holds more than two blocks at once.
+    groups(gram, n, main, n_main): a group of up to PAIR_ROWS rows is one block. Of a larger one, the rows of its largest
+    component, which need no comparing with each other, and the others are dealt into blocks apart; a block of the others
+    meets every block. So no task holds more than two blocks at once, and few strangers in a large group cost little.
     """
-    of = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
-    d = rows.join(groups.select("gram", of.alias("of")), "gram").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("of")).cast("int"))
-    d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).drop("of", "j")
+    dealt = F.lit(PAIR_ROWS)
+    of_main = F.when(F.col("n") <= dealt, 0).otherwise(F.ceil(F.col("n_main") / dealt)).cast("int")
+    of_rest = F.when(F.col("n") <= dealt, 1).otherwise(F.ceil((F.col("n") - F.col("n_main")) / dealt)).cast("int")
+    d = rows.join(groups.select("gram", "main", of_main.alias("of_main"), of_rest.alias("of_rest")), "gram")
+    in_main = (F.col("of_main") > 0) & (F.col("comp") == F.col("main"))
+    spread = F.xxhash64("doc")
+    d = d.withColumn("i", F.when(in_main, F.pmod(spread, F.greatest("of_main", F.lit(1)))).otherwise(F.col("of_main") + F.pmod(spread, F.col("of_rest"))).cast("int"))
+    d = d.withColumn("j", F.explode(F.sequence(F.when(in_main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)))
+    d = d.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")}).drop("of_main", "of_rest", "main", "j")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return d.repartition(n, "gram", "x", "y").sortWithinPartitions("gram", "x", "y", "size")
 
@@ -201,8 +219,8 @@ def _whole_groups(batches):
 
 def _passing(t: pa.Table, num: int, den: int, apart: np.ndarray | None = None):
     """(i, j) arrays of the rows of one group that may link: sizes within the threshold of each other, not both of one
-    block of two, of different `apart` values, and by their parities no more n-grams differ than a link allows."""
-    g, x, y, side, doc, size = (t.column(c).to_numpy() for c in ("gram", "x", "y", "i", "doc", "size"))
+    block of two, of different `apart` values, and by own n-grams and parities no more n-grams differ than a link allows."""
+    g, x, y, side, doc, size, own = (t.column(c).to_numpy() for c in ("gram", "x", "y", "i", "doc", "size", "own"))
     bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(g), -1)
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
@@ -214,20 +232,22 @@ def _passing(t: pa.Table, num: int, den: int, apart: np.ndarray | None = None):
         j = live + k
         live = live[(group[j] == group[live]) & (size[j] * num <= size[live] * den)]  # by size: beyond it none fits
         i, j = live, live + k
-        ok = (doc[i] != doc[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
+        # a link has an overlap of t / (1 + t) of both sizes, so at most this many n-grams differ
+        both = size[i] + size[j]
+        spare = both - 2 * -(-both * num // (num + den)) - own[i] - own[j]
+        ok = (spare >= 0) & (doc[i] != doc[j]) & ((x[i] == y[i]) | (side[i] != side[j]))
         if apart is not None:
             ok &= apart[i] != apart[j]
         i, j = i[ok], j[ok]
-        # a link has an overlap of t / (1 + t) of both sizes, so at most this many n-grams differ
-        both = size[i] + size[j]
-        near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= both - 2 * -(-both * num // (num + den))
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= spare[ok]
         if near.any():
             yield i[near], j[near]
 
 
 def _near_rows(meetings: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc): the rows that meet one in some n-gram to which, by sizes and parities, they may be linked."""
-    groups = meetings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(doc): the rows that meet one in some n-gram to which, by sizes and parities, they may be linked; rows of n-grams
+    with more than SMALL rows stay untried. marks(doc, size, own, parity)."""
+    groups = meetings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
     def near(batches):
         for t in _whole_groups(batches):
@@ -237,18 +257,24 @@ def _near_rows(meetings: DataFrame, marks: DataFrame, num: int, den: int) -> Dat
                 found[i] = found[j] = True
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(docs[found]))], names=["doc"])
 
-    return _dealt(meetings.join(marks, ["doc", "size"]), groups).mapInArrow(near, "doc long").distinct()
+    sized = meetings.join(groups, "gram")
+    tried = sized.where(F.col("n").between(2, SMALL)).join(marks, ["doc", "size"])
+    tried = tried.select("gram", "doc", "size", "own", "parity", *[F.lit(0).alias(c) for c in "ixy"])
+    n = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = tried.repartition(n, "gram").sortWithinPartitions("gram", "size").mapInArrow(near, "doc long")
+    return found.unionByName(sized.where(F.col("n") > SMALL).select("doc")).distinct()
 
 
-def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int, enough: bool = True, done: int = 1) -> DataFrame:
+def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int, enough: bool = True) -> DataFrame:
     """(a, b): all pairs that meet in an n-gram, pass the size-derived bounds and may still link two components.
 
     n-grams whose rows are of one component are done: rows of two components share none of those, so the others tell in
-    how many n-grams a pair meets, and pairs that meet too rarely are out. Without `enough` one meeting will do; then
-    n-grams of up to `done` rows, all pairs of which have been verified before, may be left out.
+    how many n-grams a pair meets, and pairs that meet too rarely are out. Without `enough` one meeting will do.
     """
-    rows = meetings.join(labels, meetings.doc == labels.node, "left").select("gram", "doc", "size", F.coalesce("component", "doc").alias("comp"))
-    groups = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("n") > done))
+    rows = _labelled(meetings.select("gram", "doc", "size"), labels)
+    by = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
+    groups = by.groupBy("gram").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    groups = groups.select("gram", "n", F.col("top.comp").alias("main"), F.col("top.k").alias("n_main"))
 
     def pairs(batches):
         for t in _whole_groups(batches):
@@ -258,7 +284,8 @@ def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: i
                 got, n = np.unique(np.concatenate(met), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(got[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], names=["a", "b", "size", "n"])
 
-    met = _dealt(rows.join(marks, ["doc", "size"]), groups).mapInArrow(pairs, "a long, b long, size long, n long")
+    open_rows = rows.join(groups.select("gram"), "gram", "left_semi")
+    met = _dealt(open_rows.join(marks, ["doc", "size"]), groups).mapInArrow(pairs, "a long, b long, size long, n long")
     if not enough:
         return met.select("a", "b").distinct()
     met = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
@@ -343,10 +370,8 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     reps = reps.groupBy("size", "s1", "s2").agg(F.min("doc").alias("doc"), F.min_by(F.struct("prefix", "parity"), "doc").alias("r"))
     reps = materialize(reps.select("size", "s1", "s2", "doc", "r.prefix", "r.parity"), "rows")
     meetings = materialize(_promising(materialize(_meetings(reps), "meetings"), num, den), "meetings")
-    marks = reps.select("doc", "size", "parity")  # two rows for a key with two texts: both are tried
+    marks = reps.select("doc", "size", F.lit(0).cast("long").alias("own"), "parity")  # two rows for a key with two texts: both are tried
     near = materialize(_near_rows(meetings, marks, num, den), "near")
-    meetings = materialize(meetings.join(near, "doc", "left_semi").select("gram", "doc", "size"), "meetings")
-    marks = materialize(marks.join(near, "doc", "left_semi"), "marks")
     wanted = near.select(F.col("doc").alias("_doc"))
 
     def pack(batches):
@@ -358,6 +383,8 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
                     yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())], names=["doc", "grams"])
 
     sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, grams binary"), "sets")
+    marks = materialize(_marks(sets.where(F.octet_length("grams") > 0)), "marks")
+    meetings = materialize(meetings.join(marks.select("doc", "size", "own"), ["doc", "size"]).select("gram", "doc", "size", "own"), "meetings")
     member = materialize(_rows(slim, "_doc", "_text", n, num, den, None).drop("prefix", "parity"), "members")
     named = member.where("size > 0 and doc is not null")
     rep = reps.select("size", "s1", "s2", F.col("doc").alias("rep"))
@@ -365,12 +392,9 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     # a key with several texts ties their classes together
     several = named.groupBy("doc").agg(F.count_distinct("size", "s1", "s2").alias("n")).where("n > 1").select("doc")
     tied = named.join(several, "doc", "left_semi").join(rep, ["size", "s1", "s2"]).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    for seed, back in ((1, 1), (2, 6), (3, 0)):
-        if links is None:
-            pairs = _near_pairs(meetings, None, num, den, seed, back)
-        else:
-            labels = materialize(components(links), "labels")
-            pairs = _near_pairs(meetings, labels, num, den, seed, back) if back else _left_pairs(meetings, labels, marks, num, den)
+    for seeds in ((1,), (2, 3, 4), ()):
+        labels = materialize(components(links), "labels") if links is not None else None
+        pairs = _hub_pairs(meetings, labels, num, den, seeds) if seeds else _left_pairs(meetings, labels, marks, num, den)
         found = _links(pairs, sets, num, den)
         links = materialize(found.unionByName(links if links is not None else tied), "links")
     labels = components(links)
