@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value made once: what stands in a lambda's body is made anew for each element otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """words between blanks; none for null."""
     return F.coalesce(F.filter(F.split(text, BLANKS), lambda w: w != ""), F.array().cast("array<string>"))

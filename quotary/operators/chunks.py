@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotary.functions.text import latin_key, words
+from quotary.operators.grams import gram_hashes
 
 
 def fixed_chunks(docs: DataFrame, doc: str, text: str, size: int = 30) -> DataFrame:
@@ -15,16 +16,48 @@ def fixed_chunks(docs: DataFrame, doc: str, text: str, size: int = 30) -> DataFr
     return i.select(doc, "chunk_idx", (F.col("chunk_idx") * size).alias("c_start"), F.least((F.col("chunk_idx") + 1) * size, F.col("n")).alias("c_end"))
 
 
-def find_repeats(docs: DataFrame, doc: str, text: str, n: int = 5, within: int = 30) -> DataFrame:
+def find_repeats(docs: DataFrame, doc: str, text: str, n: int = 5, within: int = 30, whole: int = 8, own: int = 3, formula: tuple[str, ...] = (), deliberate: str = "(?!)") -> DataFrame:
     """(doc, from_pos, again_pos, n_words): X18. Runs of n words or more that the document says again `within` words on.
-    Each n-gram is compared with its next occurrence only."""
-    w = docs.select(doc, F.transform(words(F.col(text)), latin_key).alias("w")).where(F.size("w") >= n)
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    g = w.select(doc, F.posexplode(each).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
-    again = g.withColumn("again", F.lead("pos").over(Window.partitionBy(doc, "gram").orderBy("pos"))).where(F.col("again") - F.col("pos") <= n + within).where(F.col("again") - F.col("pos") >= n)
-    shift = again.withColumn("d", F.col("again") - F.col("pos"))
-    isle = shift.withColumn("_i", F.col("pos") - F.row_number().over(Window.partitionBy(doc, "d").orderBy("pos")))
-    return isle.groupBy(doc, "d", "_i").agg(F.min("pos").alias("from_pos"), F.min("again").alias("again_pos"), (F.max("pos") + n - F.min("pos")).alias("n_words")).drop("d", "_i")
+
+    From the start, the first place of the next words that says n words again; the run grows while its words are equal and
+    it doesn't reach the repeat. Reading goes on past the run. A run counts if it has `whole` words or the repeat follows at
+    most one word after it, if `own` of its words are no formula and it isn't said so on purpose. Repeats are looked up
+    inside the row's own array of hashes; only places that repeat leave it."""
+    w = docs.select(doc, F.explode(F.array(F.transform(words(F.col(text)), latin_key))).alias("w")).where(F.size("w") >= 2 * n)
+    g = w.select(doc, "w", F.explode(F.array(F.transform(gram_hashes(F.col("w"), n), lambda x: x["h"]))).alias("g"))
+    ahead = lambda i: F.array_position(F.slice("g", i + n + 1, within + 1), F.get("g", i))
+    plain = lambda i: ~F.exists(F.slice("w", i + 1, n), lambda x: x == "")
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("g") - n - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), ahead(i).cast("int").alias("k"))), lambda x: (x["k"] > 0) & plain(x["i"]))
+    hit = g.select(doc, "w", F.explode(F.array(at)).alias("at")).where(F.size("at") > 0)
+
+    def grown(x: Column) -> Column:
+        """The run's length: n, and the equal words that follow before the repeat begins."""
+        i, j = x["i"], x["i"] + n + x["k"] - 1
+        pairs = F.zip_with(F.slice("w", i + n + 1, j - i - n), F.slice("w", j + n + 1, j - i - n), lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False)))
+        stop = F.array_position(pairs, False)
+        return F.struct(i.alias("i"), j.alias("j"), (n + F.when(stop > 0, stop - 1).otherwise(F.size(pairs))).cast("int").alias("n"))
+
+    runs = hit.select(doc, "w", F.explode(F.array(F.transform("at", grown))).alias("runs"))
+    none = F.array().cast("array<struct<i:int,j:int,n:int>>")
+    step = lambda s, x: F.when(x["i"] < s["to"], s).otherwise(F.struct((x["i"] + x["n"]).alias("to"), F.concat(s["out"], F.array(x)).alias("out")))
+    taken = runs.select(doc, "w", F.explode(F.aggregate("runs", F.struct(F.lit(0).alias("to"), none.alias("out")), step, lambda s: s["out"])).alias("r"))
+    said = F.slice("w", F.col("r.j") + 1, F.col("r.n"))
+    words_of_its_own = F.size(F.filter(said, lambda x: ~x.isin(*formula))) if formula else F.size(said)
+    good = ((F.col("r.n") >= whole) | (F.col("r.j") - F.col("r.i") - F.col("r.n") <= 1)) & (words_of_its_own >= own) & ~F.array_join(said, " ").rlike(deliberate)
+    return taken.where(good).select(doc, F.col("r.i").cast("long").alias("from_pos"), F.col("r.j").cast("long").alias("again_pos"), F.col("r.n").cast("long").alias("n_words"))
+
+
+def broken_off(rows: DataFrame, key: str, order: str, text: str, ending: str = r"(\.\.\.|…)$", share: float = 0.6) -> DataFrame:
+    """(key, order, n): X18. Rows that break off, by their ending, and whose last sentence the next row says again: of its
+    words but the last, two at least, `share` stand among as many words and three more of the next row's beginning."""
+    nxt = F.lead(text).over(Window.partitionBy(key).orderBy(order))
+    r = rows.withColumn("_next", nxt).where(F.trim(text).rlike(ending) & F.col("_next").isNotNull())
+    last = F.regexp_replace(F.element_at(F.split(F.trim(text), r"[.،؟!:؛]\s"), -1), ending, "")
+    r = r.select(key, order, "_next", F.explode(F.array(F.transform(words(last), latin_key))).alias("_t"))
+    head = F.transform(F.slice(words(F.col("_next")), 1, F.size("_t") + 3), latin_key)
+    whole = F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0)))
+    n = F.size(F.filter(whole, lambda x: F.array_contains(head, x)))
+    return r.where((F.size(whole) >= 2) & (n >= F.greatest(F.lit(2.0), F.size(whole) * share))).select(key, order, n.cast("long").alias("n"))
 
 
 def pack(sizes: Column, least: int, most: int) -> Column:

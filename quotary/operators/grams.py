@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotary.functions.text import latin_key, words
+from quotary.functions.text import latin_key, let, words
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -20,12 +22,27 @@ def grams(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     return keyed.select(key, F.posexplode(each).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def gram_join(doc_grams: DataFrame, canon_grams: DataFrame, doc: str, passage: str, most_passages: int = 150) -> DataFrame:
-    """(doc, passage, p, q): document position p and passage position q of each shared gram.
+def gram_hashes(keys: Column, n: int) -> Column:
+    """array<struct<h, c>>: for each place in an array of keys a 64-bit and a 32-bit hash of the n keys that begin there, 96
+    bits that stand for the n-gram. Each key is hashed once."""
+    some = lambda f, a, i: f(*[F.get(a, i + k) for k in range(n)])
+    starts = lambda a: F.when(F.size(a) >= n, F.sequence(F.lit(0), F.size(a) - n)).otherwise(F.array().cast("array<int>"))
+    return let(F.transform(keys, lambda w: F.xxhash64(w)), lambda a: F.transform(starts(a), lambda i: F.struct(some(F.xxhash64, a, i).alias("h"), some(F.hash, a, i).alias("c"))))
+
+
+def hashed_grams(df: DataFrame, keys: list[str], text: str, n: int = 4, key: Callable[[Column], Column] = latin_key) -> DataFrame:
+    """(keys, pos, h, c): the n-grams of a text as hashes, by position."""
+    # an array in a node of its own, so that the keys are made once a row
+    rows = df.select(*keys, F.explode(F.array(F.transform(words(F.col(text)), key))).alias("_w")).where(F.size("_w") >= n)
+    return rows.select(*keys, F.posexplode(gram_hashes(F.col("_w"), n)).alias("pos", "g")).select(*keys, F.col("pos").cast("long").alias("pos"), "g.h", "g.c")
+
+
+def gram_join(docs: DataFrame, canon: DataFrame, doc: str, passage: list[str], most_passages: int = 150) -> DataFrame:
+    """(doc, passage, p, q): document position p and passage position q of each shared gram (J1, J2), of hashed grams.
 
     Grams in more than `most_passages` passages are left out: they tell nothing and would be the join's hot keys. Which
-    side is broadcast is left to the sizes that Spark finds.
+    side is broadcast is left to the sizes that Spark finds; rows are two hashes and two numbers.
     """
-    common = canon_grams.groupBy("gram").agg(F.count_distinct(passage).alias("df")).where(F.col("df") <= most_passages).select("gram")
-    canon = canon_grams.join(common, "gram", "left_semi").select("gram", passage, F.col("pos").alias("q"))
-    return doc_grams.select(doc, "gram", F.col("pos").alias("p")).join(canon, "gram").select(doc, passage, "p", "q")
+    common = canon.groupBy("h", "c").agg(F.count_distinct(F.struct(*passage)).alias("df")).where(F.col("df") <= most_passages).select("h", "c")
+    held = canon.join(common, ["h", "c"], "left_semi").select("h", "c", *passage, F.col("pos").alias("q"))
+    return docs.select(doc, "h", "c", F.col("pos").alias("p")).join(held, ["h", "c"]).select(doc, *passage, "p", "q")

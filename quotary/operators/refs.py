@@ -9,42 +9,97 @@ from quotary.functions.text import half_up, latin_key, words
 
 
 def word_sets(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, n, w): distinct word keys of each row, with their number."""
+    """(keys, w): the distinct word keys of each row that has any."""
     w = F.array_distinct(F.filter(F.transform(words(F.col(text)), latin_key), lambda x: x != ""))
-    return df.select(*keys, w.alias("_w")).select(*keys, F.size("_w").alias("n"), F.explode("_w").alias("w"))
-
-
-def overlaps(texts: DataFrame, keys: list[str], text: str, canon: DataFrame, passage: str, canon_text: str) -> DataFrame:
-    """(keys, passage, s, n, m): shared distinct words of every pair that shares one, and both sizes, by a join on words."""
-    a, b = word_sets(texts, keys, text), word_sets(canon, [passage], canon_text).withColumnRenamed("n", "m")
-    return a.join(b, "w").groupBy(*keys, passage).agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return df.select(*keys, F.explode(F.array(w)).alias("w")).where(F.size("w") > 0)
+
+
+def alike_pairs(texts: DataFrame, keys: list[str], text: str, canon: DataFrame, passage: str, canon_text: str, least: float, contained: bool = True) -> DataFrame:
+    """(keys, passage, s, n, m): shared distinct words and both sizes of the pairs that share `least` of the text's distinct
+    words or more, or, if `contained`, of which the text has all of the passage's.
+
+    Of a text's n words such a partner misses few, so it has one of any n - ceil(least * n) + 1 of them. Words that no
+    passage has go first there, then those of the fewest passages: a text with too few known words meets nothing, and
+    words that many passages have are left out. A contained passage is met by its rarest word. No word's texts are paired
+    with all of its passages unless it's among the rarest of both.
+    """
+    a, b = word_sets(texts, keys, text), word_sets(canon, [passage], canon_text).select(passage, F.col("w").alias("set"))
+    posting = b.select(passage, F.explode("set").alias("word"))
+    df = posting.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    known = a.select(*keys, F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word")
+    ranked = known.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("k"))
+    spare = F.size("k") - F.ceil(F.col("n") * least) + 1
+    pairs = ranked.where(spare > 0).select(*keys, F.explode(F.slice("k", F.lit(1), spare.cast("int"))).alias("x")).select(*keys, F.col("x.word").alias("word")).join(posting, "word").select(*keys, passage)
+    if contained:
+        rarest = posting.join(df, "word").groupBy(passage).agg(F.min(F.struct("df", "word")).alias("x")).select(passage, F.col("x.word").alias("word"))
+        pairs = pairs.unionByName(known.select(*keys, "word").join(rarest, "word").select(*keys, passage))
+    sets = pairs.distinct().join(a, keys).join(b, passage)
+    shared = sets.select(*keys, passage, F.size(F.array_intersect("w", "set")).alias("s"), F.size("w").alias("n"), F.size("set").alias("m"))
+    return shared.where((F.col("s") >= least * F.col("n")) | (F.lit(contained) & (F.col("s") == F.col("m"))))
 
 
 def best_match(texts: DataFrame, keys: list[str], text: str, canon: DataFrame, passage: str, canon_text: str, floor: float = 0.4, majority: float = 0.75) -> DataFrame:
-    """(keys, passage, score): J3, T3. All words contained scores 1, a majority its share, else Jaccard; the first of
-    equals; scores under the floor give no row."""
-    o = overlaps(texts, keys, text, canon, passage, canon_text)
-    raw = F.when(F.col("s") == F.col("n"), F.lit(1.0)).when(F.col("s") >= majority * F.col("n"), F.col("s") / F.col("n")).otherwise(F.col("s") / (F.col("n") + F.col("m") - F.col("s")))
+    """(keys, passage, score): J3, T3. The Jaccard similarity of distinct words; 0.8 at least where one side holds all of the
+    other's, 0.7 at least where a majority of three words or more of the text's is there. The first of equals; scores under the
+    floor give no row."""
+    o = alike_pairs(texts, keys, text, canon, passage, canon_text, floor)
+    jaccard = F.col("s") / (F.col("n") + F.col("m") - F.col("s"))
+    whole = (F.col("s") == F.col("n")) | (F.col("s") == F.col("m"))
+    raw = F.when(whole, F.greatest(jaccard, F.lit(0.8))).when((F.col("n") >= 3) & (F.col("s") >= majority * F.col("n")), F.greatest(jaccard, F.lit(0.7))).otherwise(jaccard)
     order = Window.partitionBy(*keys).orderBy(F.col("raw").desc(), passage)
     return o.withColumn("raw", raw).where(F.col("raw") >= floor).withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, passage, half_up(F.col("raw")).alias("score"))
 
 
-def like_any(texts: DataFrame, keys: list[str], text: str, canon: DataFrame, passage: str, canon_text: str, alike: float, inside: float) -> DataFrame:
-    """(keys, passage, formula, part): P5, P6. Texts that are one of the given ones by Jaccard, or lie in one by share."""
-    o = overlaps(texts, keys, text, canon, passage, canon_text)
-    formula = F.col("s") / (F.col("n") + F.col("m") - F.col("s")) >= alike
-    part = F.col("s") >= inside * F.col("n")
-    return o.withColumns({"formula": formula, "part": part}).where("formula or part").select(*keys, passage, "formula", "part")
+#: Asides of the speaker, up to four words after the word that opens them, and bracketed ones.
+ASIDES = r"\s+(?:أي|يعني)\s+\S+(?:\s+\S+){0,3}|\([^)]*\)"
+
+
+def best_body(texts: DataFrame, keys: list[str], text: str, canon: DataFrame, passage: str, canon_text: str, short: int = 6, asides: str = ASIDES) -> DataFrame:
+    """(keys, passage, score): J4. Asides are left out. Of a text under `short` words all must be in the passage, and the score is
+    their share of the passage's words, 0.08 or more. Of a longer one the score is Jaccard's, 0.8 at least if one holds
+    the other word for word, 0.65 at least for a majority of 0.75; 0.5 or more. The first of equals."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.col(text), asides, " "), r"\s+", " "))
+    key_list = lambda t: F.filter(F.transform(words(t), latin_key), lambda x: x != "")
+    t = texts.select(*keys, bare.alias("_t"), F.explode(F.array(key_list(bare))).alias("_w")).where(F.size("_w") > 0)
+    c = canon.select(passage, F.col(canon_text).alias("_c"), F.explode(F.array(key_list(F.col(canon_text)))).alias("_a"))
+    o = alike_pairs(t, keys, "_t", canon, passage, canon_text, 0.5).join(t.select(*keys, "_w"), keys).join(c.select(passage, "_a"), passage)
+    joined = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    hits = F.size(F.filter("_w", lambda w: F.array_contains("_a", w)))
+    jaccard = F.col("s") / (F.col("n") + F.col("m") - F.col("s"))
+    holds = F.contains(joined("_w"), joined("_a")) | F.contains(joined("_a"), joined("_w"))
+    longer = F.when(holds, F.greatest(jaccard, F.lit(0.8))).when(hits >= 0.75 * F.size("_w"), F.greatest(jaccard, F.lit(0.65))).otherwise(jaccard)
+    few = F.size("_w") < short
+    raw = F.when(few, F.when(F.col("s") == F.col("n"), F.size("_w") / F.size("_a"))).otherwise(longer)
+    good = o.withColumn("raw", raw).where(F.col("raw") >= F.when(few, 0.08).otherwise(0.5))
+    order = Window.partitionBy(*keys).orderBy(F.col("raw").desc(), passage)
+    return good.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, passage, half_up(F.col("raw")).alias("score"))
 
 
-def cross_check(claims: DataFrame, matches: DataFrame, keys: list[str], claimed: str, matched: str) -> DataFrame:
-    """(keys, claimed, matched, confidence, verdict): J5, J6. Both agree 0.95, claim only 0.85, they differ 0.75."""
-    j = claims.join(matches.select(*keys, matched), keys, "left")
-    missing, same = F.col(matched).isNull(), F.col(matched) == F.col(claimed)
+def like_any(texts: DataFrame, keys: list[str], text: str, canon: DataFrame, passage: str, canon_text: str, alike: float, inside: float, known: float) -> DataFrame:
+    """(keys, formula, part, joined): P5, P6. Texts that are one of the given ones by Jaccard, lie in one by their share, or of
+    whose words a share of `known` stands in all of them together."""
+    o = alike_pairs(texts, keys, text, canon, passage, canon_text, min(alike, inside), contained=False)
+    formula = F.col("s") / (F.col("n") + F.col("m") - F.col("s")) >= alike
+    one = o.groupBy(*keys).agg(F.bool_or(formula).alias("formula"), F.bool_or(F.col("s") >= inside * F.col("n")).alias("part"))
+    every = word_sets(canon, [passage], canon_text).select(F.explode("w").alias("word")).distinct()
+    a = word_sets(texts, keys, text).select(*keys, F.size("w").alias("n"), F.explode("w").alias("word")).join(every, "word")
+    joined = a.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("k")).select(*keys, (F.col("k") >= known * F.col("n")).alias("joined")).where("joined")
+    both = one.join(joined, keys, "full_outer")
+    return both.select(*keys, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("formula", "part", "joined")]).where("formula or part or joined")
+
+
+def cross_check(claims: DataFrame, matches: DataFrame, keys: list[str], claimed: str, matched: str, score: str) -> DataFrame:
+    """(keys, claimed, matched, chosen, confidence, verdict): J5, J6. Where a claim and the best match name one passage, 0.95
+    at least; a claim alone 0.85 and stays as it is; a match alone its own score; where they differ the claim stays at 0.75,
+    unless the match's score is 0.95 or more: then it's chosen."""
+    j = claims.select(*keys, claimed).join(matches.select(*keys, matched, score), keys, "full_outer")
+    alone, lost, same = F.col(matched).isNull(), F.col(claimed).isNull(), F.col(matched) == F.col(claimed)
+    sure = F.col(score) >= 0.95
     return j.select(
         *keys, claimed, matched,
-        F.when(missing, 0.85).when(same, 0.95).otherwise(0.75).alias("confidence"),
-        F.when(missing, "claim only").when(same, "agree").otherwise("disagree").alias("verdict"),
+        F.when(lost | (~same & sure), F.col(matched)).otherwise(F.col(claimed)).alias("chosen"),
+        F.when(alone, 0.85).when(lost, F.col(score)).when(same, F.greatest(F.lit(0.95), score)).otherwise(0.75).alias("confidence"),
+        F.when(alone, "claim only").when(lost, "match only").when(same, "agree").otherwise("disagree").alias("verdict"),
     )
 
 
@@ -60,20 +115,52 @@ def drop_contained(df: DataFrame, key: str, text: str, rank: str, seed: int = 3)
     return df.join(lost, key, "left_anti")
 
 
-def locate_unique(docs: DataFrame, doc: str, text: str, canon: DataFrame, passage: str, canon_text: str, lengths: range) -> DataFrame:
-    """(doc, passage, pos, n): J10. The shortest of a passage's prefixes, by words, that stands exactly once in a document."""
-    dw = docs.select(doc, F.transform(words(F.col(text)), latin_key).alias("w"))
-    cw = canon.select(passage, F.transform(words(F.col(canon_text)), latin_key).alias("w"))
-    sizes = F.array(*[F.lit(n) for n in lengths])
-    prefix = cw.withColumn("n", F.explode(sizes)).where(F.size("w") >= F.col("n")).select(passage, "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("gram"))
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
-    at = dw.withColumn("n", F.explode(sizes)).where(F.size("w") >= F.col("n")).select(doc, "n", F.posexplode(each).alias("pos", "gram"))
-    once = at.join(prefix, ["n", "gram"]).groupBy(doc, passage, "n").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos")).where("c = 1")
-    return once.groupBy(doc, passage).agg(F.min(F.struct("n", "pos")).alias("m")).select(doc, passage, F.col("m.pos").cast("long").alias("pos"), F.col("m.n").cast("long").alias("n"))
-
-
-def classify_inline(spans: DataFrame, chunk: DataFrame, doc: str, least: float = 0.5) -> DataFrame:
-    """Spans with the chunks that they overlap; a share of `least` inside a chunk makes the span part of it."""
-    over = spans.join(chunk, doc).where("w_start < c_end and w_end > c_start")
+def locate_unique(docs: DataFrame, doc: str, text: str, canon: DataFrame, passage: str, canon_text: str, first: int = 5, back: int = 0) -> DataFrame:
+    """(doc, passage, pos, n): J10. The shortest prefix of a passage, `first` words or more (all of a shorter passage of three),
+    that stands exactly once in a document.
+
+    Places of the shortest prefix are joined by its hash. At each place the passage is compared as far as it runs in common:
+    the prefix of n words stands once when one place only runs n words or more. With `back`, passages not found so are tried
+    from their second to their `back + 1`st word, by `first` words; their place is that of their first word."""
+    from quotary.operators.grams import gram_hashes
+
+    rows = docs.select(doc, F.explode(F.array(F.transform(words(F.col(text)), latin_key))).alias("w"))
+    known = canon.select(passage, F.explode(F.array(F.transform(words(F.col(canon_text)), latin_key))).alias("a")).where(F.size("a") >= 3)
+
+    def places(k: int) -> DataFrame:
+        """(doc, passage, pos, run): where the passage's words from k on stand, and for how long they do."""
+        got = []
+        for n in (3, 4, first) if k == 0 else (first,):
+            some = known.where(F.size("a") - k >= n if n == first else F.size("a") == n)
+            want = some.select(passage, "a", F.explode(gram_hashes(F.slice("a", F.lit(k + 1), F.lit(n)), n)).alias("g")).select(passage, "a", "g.h", "g.c")
+            at = rows.where(F.size("w") >= n).select(doc, F.posexplode(gram_hashes(F.col("w"), n)).alias("pos", "g")).select(doc, "pos", "g.h", "g.c")
+            got.append(at.join(want, ["h", "c"]).select(doc, passage, "a", "pos"))
+        hit = got[0]
+        for x in got[1:]:
+            hit = hit.unionByName(x)
+        hit = hit.join(rows, doc)
+        rest = F.slice("a", F.lit(k + 1), F.size("a"))
+        differs = F.array_position(F.zip_with(rest, F.slice("w", F.col("pos") + 1, F.size(rest)), lambda x, y: F.coalesce(x != y, F.lit(True))), True)
+        return hit.select(doc, passage, F.size(rest).alias("size"), "pos", F.when(differs > 0, differs - 1).otherwise(F.size(rest)).alias("run"))
+
+    def once(p: DataFrame, k: int) -> DataFrame:
+        order = Window.partitionBy(doc, passage).orderBy(F.col("run").desc(), "pos")
+        q = p.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.coalesce(F.lead("run").over(order), F.lit(0)))
+        n = F.greatest(F.col("_next") + 1, F.least(F.lit(first), F.col("size")))
+        fits = F.col("run") >= n if k == 0 else F.col("_next") == 0
+        return q.where("_r = 1").where(fits).select(doc, passage, F.greatest(F.col("pos") - k, F.lit(0)).cast("long").alias("pos"), (n if k == 0 else F.lit(first)).cast("long").alias("n"))
+
+    found = once(places(0), 0)
+    for k in range(1, back + 1):
+        found = found.unionByName(once(places(k), k).join(found.select(doc, passage), [doc, passage], "left_anti"))
+    return found
+
+
+def classify_inline(spans: DataFrame, chunk: DataFrame, doc: str, size: int, least: float = 0.5) -> DataFrame:
+    """Spans with the chunks of `size` words that they overlap; a share of `least` inside a chunk makes the span part
+    of it. The chunks that a span touches are known from its places: an equi-join on their numbers."""
+    last = F.floor((F.col("w_end") - 1) / size)
+    touched = spans.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("w_start") / size), last)))
+    over = touched.join(chunk, [doc, "chunk_idx"])
     share = half_up((F.least("w_end", "c_end") - F.greatest("w_start", "c_start")) / (F.col("w_end") - F.col("w_start")))
     return over.withColumn("share", share).withColumn("inline", F.col("share") >= least)

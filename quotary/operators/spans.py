@@ -21,10 +21,14 @@ def chain_hits(hits: DataFrame, keys: list[str], n: int = 4, max_step: int = 6,
 
 
 def merge_spans(spans: DataFrame, keys: list[str], start: str = "w_start", end: str = "w_end", gap: int = 0, carry: str | None = None) -> DataFrame:
-    """(keys, start, end, parts[, ids]): W2, W3. Spans that overlap or lie at most `gap` apart are one; `carry` is collected."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """(keys, start, end, parts[, ids]): W2, W3. Spans that overlap or touch are one, and so are those at most `gap` apart that
+    carry the same as the span before them; what they carry is collected."""
+    order = Window.partitionBy(*keys).orderBy(start, end, *([carry] if carry else []))
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    isle = F.sum(F.when(F.col(start) <= reach + gap, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    joins = F.col(start) <= reach
+    if gap and carry:
+        joins = joins | ((F.col(start) <= reach + gap) & (F.col(carry) == F.lag(carry).over(order)))
+    isle = F.sum(F.when(joins, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     aggs = [F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")]
     if carry:
         aggs.append(F.array_sort(F.collect_set(carry)).alias("ids"))

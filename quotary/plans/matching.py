@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotary.functions import text as X
+from quotary.functions.lang import LATIN
 from quotary.operators import chunks, grams, refs, spans
-from quotary.plans.sql import CHAIN, HITS, key, keyed, words
+from quotary.plans.sql import CHAIN, HITS, REPEATS, keyed, words
 from quotary.sources.tables import table
 
 
+def doc_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+
+
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    docs = grams.grams(table(spark, d, "documents"), "doc_id", "text")
-    canon = grams.grams(table(spark, d, "benchmark"), "item_id", "text")
-    return grams.gram_join(docs, canon, "doc_id", "item_id")
+    docs = grams.hashed_grams(table(spark, d, "documents"), ["doc_id"], "text")
+    canon = grams.hashed_grams(table(spark, d, "benchmark"), ["item_id"], "text")
+    return grams.gram_join(docs, canon, "doc_id", ["item_id"])
 
 
 def quoted_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -29,9 +34,10 @@ def gram_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def gram_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     """In how many documents each 4-gram of the canon stands."""
-    docs = grams.grams(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "gram")
-    canon = grams.grams(table(spark, d, "benchmark"), "item_id", "text").select("gram").distinct()
-    return docs.join(canon, "gram").groupBy("gram").agg(F.count_distinct("doc_id").alias("df"), F.count(F.lit(1)).alias("n"))
+    docs = grams.hashed_grams(table(spark, d, "documents"), ["doc_id"], "text").select("doc_id", "h", "c")
+    named = grams.grams(table(spark, d, "benchmark"), "item_id", "text").select("gram").distinct()
+    canon = named.select("gram", F.explode(grams.gram_hashes(F.split("gram", " "), 4)).alias("g")).select("gram", "g.h", "g.c")
+    return docs.join(canon, ["h", "c"]).groupBy("gram").agg(F.count_distinct("doc_id").alias("df"), F.count(F.lit(1)).alias("n"))
 
 
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -67,14 +73,20 @@ def consecutive_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_passage(spark: SparkSession, d: str) -> DataFrame:
-    """For each turn the passage of the highest score."""
-    return refs.best_match(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", table(spark, d, "benchmark"), "item_id", "text", floor=0.05)
+    """For each line of a document the passage of the highest score."""
+    return refs.best_match(doc_lines(spark, d), ["doc_id", "line"], "t", table(spark, d, "benchmark"), "item_id", "text")
+
+
+def best_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """For each line the passage by the rule for short and long texts, bracketed asides left out."""
+    return refs.best_body(doc_lines(spark, d), ["doc_id", "line"], "t", table(spark, d, "benchmark"), "item_id", "text")
 
 
 def cross_check(spark: SparkSession, d: str) -> DataFrame:
-    """Claimed passages against best matches."""
-    claims = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 40).alias("claimed"))
-    return refs.cross_check(claims, best_passage(spark, d), ["conv_id", "turn"], "claimed", "item_id")
+    """The passage of a document's first chain as its claim, against the best match of its lines."""
+    claims = quoted_passages(spark, d).groupBy("doc_id").agg(F.min_by("item_id", F.struct("w_start", "item_id")).alias("claimed"))
+    best = best_passage(spark, d).groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("b")).select("doc_id", (-F.col("b.i")).alias("item_id"), "b.score")
+    return refs.cross_check(claims, best, ["doc_id"], "claimed", "item_id", "score")
 
 
 def dedupe_contained(spark: SparkSession, d: str) -> DataFrame:
@@ -86,19 +98,21 @@ def dedupe_contained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def located_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest prefix of five words or more that stands exactly once in a document."""
-    return refs.locate_unique(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", range(5, 9))
+    """The shortest prefix of five words or more that stands exactly once in a document, else five words from the second
+    to the fifth on that do."""
+    return refs.locate_unique(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", back=4)
 
 
 def restarts(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of five words said again within 30."""
-    return chunks.find_repeats(table(spark, d, "documents"), "doc_id", "text")
+    """Runs of five words said again within 30; short ones only right after each other, and with three words that are no
+    formula."""
+    return chunks.find_repeats(table(spark, d, "documents"), "doc_id", "text", formula=LATIN.formula)
 
 
 def inline_share(spark: SparkSession, d: str) -> DataFrame:
     """Spans against fixed chunks of 30 words; at least half inside one is inline."""
     chunk = chunks.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", 30)
-    return refs.classify_inline(quoted_passages(spark, d), chunk, "doc_id").select("doc_id", "item_id", "w_start", "chunk_idx", "share", "inline")
+    return refs.classify_inline(quoted_passages(spark, d), chunk, "doc_id", 30).select("doc_id", "item_id", "w_start", "chunk_idx", "share", "inline")
 
 
 def refs_per_document(spark: SparkSession, d: str) -> DataFrame:
@@ -108,8 +122,9 @@ def refs_per_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expected_actual(spark: SparkSession, d: str) -> DataFrame:
-    """Expected against found passages of each document, as multisets."""
-    found = quoted_passages(spark, d).select("doc_id", "item_id")
+    """Expected passages, those that stand in a document word for word, against those that its exact stretches of
+    twenty words name, as multisets."""
+    found = exact_stretches(spark, d).where("w_end - w_start >= 20").select("doc_id", "item_id")
     items = table(spark, d, "benchmark").select("item_id", F.array_join(X.words(F.col("text")), " ").alias("b"))
     flat = table(spark, d, "documents").select("doc_id", F.array_join(X.words(F.col("text")), " ").alias("t"))
     near_by = hits(spark, d).select("doc_id", "item_id").distinct()
@@ -142,25 +157,27 @@ def tagged_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def liturgical_share(spark: SparkSession, d: str) -> DataFrame:
-    """documents' lines that are, in words, mostly one of the passages: at least 0.55 alike, or 0.75 inside."""
-    line = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return refs.like_any(line.where(F.size(X.words(F.col("t"))) >= 3), ["doc_id", "line"], "t", table(spark, d, "benchmark"), "item_id", "text", 0.55, 0.75)
+    """documents' lines that are, in words, mostly one of the passages: at least 0.55 alike, or 0.75 inside one, or
+    0.85 inside all together."""
+    line = doc_lines(spark, d).where(F.size(X.words(F.col("t"))) >= 3)
+    return refs.like_any(line, ["doc_id", "line"], "t", table(spark, d, "benchmark"), "item_id", "text", 0.55, 0.75, 0.85)
 
 
-QUERIES = {f.__name__: f for f in (quoted_passages, gram_hits, gram_document_frequency, merged_spans, longest_spans, exact_stretches, uncovered_words, selected_spans, consecutive_items, best_passage, cross_check, dedupe_contained, located_passages, restarts, inline_share, refs_per_document, expected_actual, positions_in_canon, best_offset, tagged_layers, liturgical_share)}
+QUERIES = {f.__name__: f for f in (quoted_passages, gram_hits, gram_document_frequency, merged_spans, longest_spans, exact_stretches, uncovered_words, selected_spans, consecutive_items, best_passage, best_bodies, cross_check, dedupe_contained, located_passages, restarts, inline_share, refs_per_document, expected_actual, positions_in_canon, best_offset, tagged_layers, liturgical_share)}
 
-_MERGED = """m1 AS (SELECT *, max(w_end) OVER (PARTITION BY doc_id ORDER BY w_start, w_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
-m2 AS (SELECT *, sum(CASE WHEN w_start <= reach + {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY w_start, w_end ROWS UNBOUNDED PRECEDING) AS isle FROM m1),
+_MERGED = """m1 AS (SELECT *, max(w_end) OVER (PARTITION BY doc_id ORDER BY w_start, w_end, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, lag(item_id) OVER (PARTITION BY doc_id ORDER BY w_start, w_end, item_id) AS before FROM spans),
+m2 AS (SELECT *, sum(CASE WHEN w_start <= reach OR (before = item_id AND w_start <= reach + {gap}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY w_start, w_end, item_id ROWS UNBOUNDED PRECEDING) AS isle FROM m1),
 merged AS (SELECT doc_id, min(w_start) AS w_start, max(w_end) AS w_end, count(*)::BIGINT AS parts, list_sort(list(DISTINCT item_id)) AS ids FROM m2 GROUP BY doc_id, isle)"""
 _STRETCH = """st0 AS (SELECT *, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS i FROM hits),
 st AS (SELECT doc_id, item_id, min(p) AS w_start, max(p) + 4 AS w_end, min(q) AS q_start FROM st0 GROUP BY doc_id, item_id, d, i HAVING max(p) + 4 - min(p) >= 5)"""
-_TOKENS = f"""ct AS (SELECT conv_id, turn, unnest(list_distinct(list_filter({keyed('text')}, lambda w: w <> ''))) AS w FROM conversations),
-cn AS (SELECT conv_id, turn, count(*) AS n FROM ct GROUP BY ALL),
-bt AS (SELECT item_id, unnest(list_distinct(list_filter({keyed('text')}, lambda w: w <> ''))) AS w FROM benchmark),
-bn AS (SELECT item_id, count(*) AS n FROM bt GROUP BY ALL),
-sh AS (SELECT conv_id, turn, item_id, count(*) AS s FROM ct JOIN bt USING (w) GROUP BY ALL),
-sc AS (SELECT sh.conv_id, sh.turn, sh.item_id, CASE WHEN s = cn.n THEN 1.0 WHEN s >= 0.75 * cn.n THEN s::DOUBLE / cn.n ELSE s::DOUBLE / (cn.n + bn.n - s) END::DOUBLE AS raw FROM sh JOIN cn ON sh.conv_id = cn.conv_id AND sh.turn = cn.turn JOIN bn USING (item_id)),
-best AS (SELECT conv_id, turn, item_id, floor(raw * 100 + 0.5) / 100 AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY raw DESC, item_id) AS r FROM sc WHERE raw >= 0.05) WHERE r = 1)"""
+_LINES = f"""l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l1 AS (SELECT doc_id, (i - 1)::INTEGER AS line, ls[i] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l0)),
+l AS (SELECT doc_id, line, t, list_distinct(list_filter({keyed('t')}, lambda w: w <> '')) AS w FROM l1), lt AS (SELECT doc_id, line, len(w) AS n, unnest(w) AS w FROM l),
+b AS (SELECT item_id, list_distinct(list_filter({keyed('text')}, lambda w: w <> '')) AS w FROM benchmark), bt AS (SELECT item_id, len(w) AS m, unnest(w) AS w FROM b),
+sh AS (SELECT doc_id, line, item_id, count(*) AS s, any_value(n) AS n, any_value(m) AS m FROM lt JOIN bt USING (w) GROUP BY doc_id, line, item_id)"""
+_BEST = f"""{_LINES}, sc AS (SELECT *, s::DOUBLE / (n + m - s) AS j FROM sh),
+sr AS (SELECT *, CASE WHEN s = n OR s = m THEN greatest(j, 0.8::DOUBLE) WHEN n >= 3 AND s >= 0.75 * n THEN greatest(j, 0.7::DOUBLE) ELSE j END AS raw FROM sc),
+best AS (SELECT doc_id, line, item_id, floor(raw * 100 + 0.5) / 100 AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY raw DESC, item_id) AS r FROM sr WHERE raw >= 0.4::DOUBLE) WHERE r = 1)"""
+_ASIDES = r"regexp_replace(t, '\s+(?:أي|يعني)\s+\S+(?:\s+\S+){0,3}|\([^)]*\)', ' ', 'g')"
 
 SQL = {
     "quoted_passages": f"WITH {CHAIN} SELECT * FROM spans",
@@ -176,20 +193,25 @@ g AS (SELECT doc_id, coalesce(lag(w_end) OVER (PARTITION BY doc_id ORDER BY w_st
 SELECT * FROM g WHERE gap_start < gap_end""",
     "consecutive_items": f"""WITH {CHAIN}, u AS (SELECT DISTINCT doc_id, item_id FROM spans), i AS (SELECT *, item_id - row_number() OVER (PARTITION BY doc_id ORDER BY item_id) AS g FROM u)
 SELECT doc_id, min(item_id) AS first, max(item_id) AS last, count(*)::BIGINT AS n FROM i GROUP BY doc_id, g""",
-    "best_passage": f"WITH {_TOKENS} SELECT * FROM best",
-    "cross_check": f"""WITH {_TOKENS} SELECT c.conv_id, c.turn, c.turn % 40 AS claimed, b.item_id,
-CASE WHEN b.item_id IS NULL THEN 0.85 WHEN b.item_id = c.turn % 40 THEN 0.95 ELSE 0.75 END::DOUBLE AS confidence,
-CASE WHEN b.item_id IS NULL THEN 'claim only' WHEN b.item_id = c.turn % 40 THEN 'agree' ELSE 'disagree' END AS verdict
-FROM conversations c LEFT JOIN best b ON c.conv_id = b.conv_id AND c.turn = b.turn""",
+    "best_passage": f"WITH {_BEST} SELECT * FROM best",
+    "best_bodies": f"""WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l1 AS (SELECT doc_id, (i - 1)::INTEGER AS line, ls[i] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l0)),
+l2 AS (SELECT doc_id, line, {_ASIDES} AS t FROM l1), l AS (SELECT doc_id, line, list_filter({keyed('t')}, lambda w: w <> '') AS w FROM l2), lt AS (SELECT doc_id, line, unnest(list_distinct(w)) AS w FROM l),
+b AS (SELECT item_id, list_filter({keyed('text')}, lambda w: w <> '') AS a FROM benchmark), bt AS (SELECT item_id, unnest(list_distinct(a)) AS w FROM b),
+sh AS (SELECT doc_id, line, item_id, count(*) AS s FROM lt JOIN bt USING (w) GROUP BY doc_id, line, item_id),
+f AS (SELECT sh.*, l.w, b.a, len(list_distinct(l.w)) AS n, len(list_distinct(b.a)) AS m FROM sh JOIN l USING (doc_id, line) JOIN b USING (item_id) WHERE s >= 0.5 * len(list_distinct(l.w)) OR s = len(list_distinct(b.a))),
+x AS (SELECT *, s::DOUBLE / (n + m - s) AS j, ' ' || array_to_string(w, ' ') || ' ' AS jw, ' ' || array_to_string(a, ' ') || ' ' AS ja FROM f),
+r AS (SELECT *, len(w) < 6 AS few, CASE WHEN len(w) < 6 THEN CASE WHEN s = n THEN len(w)::DOUBLE / len(a) END WHEN contains(jw, ja) OR contains(ja, jw) THEN greatest(j, 0.8::DOUBLE)
+  WHEN len(list_filter(w, lambda q: list_contains(a, q))) >= 0.75 * len(w) THEN greatest(j, 0.65::DOUBLE) ELSE j END AS raw FROM x)
+SELECT doc_id, line, item_id, floor(raw * 100 + 0.5) / 100 AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY raw DESC, item_id) AS k FROM r WHERE raw >= CASE WHEN few THEN 0.08 ELSE 0.5 END::DOUBLE) WHERE k = 1""",
+    "cross_check": f"""WITH {CHAIN}, {_BEST}, c AS (SELECT doc_id, arg_min(item_id, (w_start, item_id)) AS claimed FROM spans GROUP BY doc_id),
+o AS (SELECT doc_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM best) WHERE r = 1)
+SELECT doc_id, claimed, item_id, CASE WHEN claimed IS NULL OR (claimed <> item_id AND score >= 0.95) THEN item_id ELSE claimed END AS chosen,
+CASE WHEN item_id IS NULL THEN 0.85 WHEN claimed IS NULL THEN score WHEN claimed = item_id THEN greatest(0.95, score) ELSE 0.75 END::DOUBLE AS confidence,
+CASE WHEN item_id IS NULL THEN 'claim only' WHEN claimed IS NULL THEN 'match only' WHEN claimed = item_id THEN 'agree' ELSE 'disagree' END AS verdict FROM c FULL JOIN o USING (doc_id)""",
     "dedupe_contained": f"""WITH w AS (SELECT item_id, {words('text')} AS w FROM benchmark),
 a AS (SELECT item_id, array_to_string(w, ' ') AS text, 0 AS rank FROM w UNION ALL SELECT item_id + 100000, array_to_string(w[1:12], ' '), 1 FROM w)
 SELECT a.item_id, length(a.text)::BIGINT AS n_chars FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.item_id <> a.item_id AND contains(b.text, a.text) AND (length(b.text) > length(a.text) OR (b.rank, b.item_id) < (a.rank, a.item_id)))""",
-    "restarts": f"""WITH g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM (SELECT doc_id, {keyed('text')} AS w FROM documents) WHERE len(w) >= 5),
-k AS (SELECT doc_id, (i - 1)::BIGINT AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM g),
-o AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS again FROM k),
-h AS (SELECT doc_id, pos AS i, again AS j FROM o WHERE again - pos BETWEEN 5 AND 35),
-b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS isle FROM h)
-SELECT doc_id, min(i) AS from_pos, min(j) AS again_pos, (max(i) + 5 - min(i))::BIGINT AS n_words FROM b GROUP BY doc_id, j - i, isle""",
+    "restarts": f"""WITH RECURSIVE {REPEATS} SELECT doc_id, i AS from_pos, j AS again_pos, n AS n_words FROM good""",
     "inline_share": f"""WITH {CHAIN},
 n AS (SELECT doc_id, len({words('text')})::BIGINT AS n FROM documents),
 c AS (SELECT doc_id, i AS chunk_idx, i * 30 AS c_start, least((i + 1) * 30, n) AS c_end FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 30.0) AS BIGINT))) AS i FROM n)),
@@ -201,18 +223,22 @@ n AS (SELECT item_id, len({words('text')})::BIGINT AS n FROM benchmark), t AS (S
 SELECT doc_id, item_id, first, last, floor((last - first)::DOUBLE / n * 100 + 0.5) / 100 AS share FROM t JOIN n USING (item_id)""",
     "best_offset": f"WITH {HITS}, s AS (SELECT doc_id, item_id, p - q AS shift, count(*)::BIGINT AS n FROM hits GROUP BY ALL) SELECT doc_id, item_id, shift, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) AS r FROM s) WHERE r = 1",
     "tagged_layers": f"WITH {CHAIN}, {_STRETCH} SELECT 'chain' AS method, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM spans HAVING count(*) > 0 UNION ALL SELECT 'exact', count(*)::BIGINT, count(DISTINCT doc_id)::BIGINT FROM st HAVING count(*) > 0",
-    "located_passages": f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({keyed('text')}, ' ') || ' ' AS t, {keyed('text')} AS w FROM documents),
-dgr AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram, i - 1 AS pos FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, range(5, 9) AS r(n) WHERE len(w) >= n)),
-b AS (SELECT item_id, n, array_to_string(w[1:n], ' ') AS gram FROM (SELECT item_id, {keyed('text')} AS w FROM benchmark), range(5, 9) AS r(n) WHERE len(w) >= n),
-j AS (SELECT doc_id, item_id, n, min(pos) AS pos FROM dgr JOIN b USING (n, gram) GROUP BY doc_id, item_id, n HAVING count(*) = 1)
-SELECT doc_id, item_id, pos::BIGINT AS pos, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n) AS r FROM j) WHERE r = 1""",
-    "expected_actual": f"""WITH {CHAIN}, it AS (SELECT item_id, array_to_string({words('text')}, ' ') AS b FROM benchmark), fl AS (SELECT doc_id, array_to_string({words('text')}, ' ') AS t FROM documents),
-want AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, item_id FROM hits) JOIN it USING (item_id) JOIN fl USING (doc_id) WHERE contains(t, b)), found AS (SELECT doc_id, item_id FROM spans),
+    "located_passages": f"""WITH d AS (SELECT doc_id, {keyed('text')} AS w FROM documents), b AS (SELECT item_id, {keyed('text')} AS a FROM benchmark WHERE len({words('text')}) >= 3),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) >= 5)),
+bg AS (SELECT item_id, k, array_to_string(a[k + 1:k + 5], ' ') AS gram FROM b, range(0, 5) r(k) WHERE len(a) - k >= 5),
+h AS (SELECT doc_id, item_id, k, pos FROM dg JOIN bg USING (gram)),
+z AS (SELECT h.doc_id, h.item_id, pos, len(a) AS size, len(list_filter(range(1, len(a) + 1), lambda n: pos + n <= len(w) AND w[pos + 1:pos + n] = a[1:n])) AS run FROM h JOIN d USING (doc_id) JOIN b USING (item_id) WHERE k = 0),
+y AS (SELECT *, row_number() OVER o AS r, coalesce(lead(run) OVER o, 0) AS nxt FROM z WINDOW o AS (PARTITION BY doc_id, item_id ORDER BY run DESC, pos)),
+f AS (SELECT doc_id, item_id, pos, greatest(nxt + 1, least(5, size)) AS n FROM y WHERE r = 1 AND run >= greatest(nxt + 1, least(5, size))),
+g AS (SELECT doc_id, item_id, k, min(pos) AS pos FROM h WHERE k > 0 GROUP BY doc_id, item_id, k HAVING count(*) = 1),
+e AS (SELECT doc_id, item_id, arg_min(greatest(pos - k, 0), k) AS pos FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.item_id = g.item_id) GROUP BY ALL)
+SELECT doc_id, item_id, pos::BIGINT AS pos, n::BIGINT AS n FROM f UNION ALL SELECT doc_id, item_id, pos::BIGINT, 5 FROM e""",
+    "expected_actual": f"""WITH {HITS}, {_STRETCH}, it AS (SELECT item_id, array_to_string({words('text')}, ' ') AS b FROM benchmark), fl AS (SELECT doc_id, array_to_string({words('text')}, ' ') AS t FROM documents),
+want AS (SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, item_id FROM hits) JOIN it USING (item_id) JOIN fl USING (doc_id) WHERE contains(t, b)), found AS (SELECT doc_id, item_id FROM st WHERE w_end - w_start >= 20),
 x AS (SELECT 'missing' AS side, * FROM (SELECT * FROM want EXCEPT ALL SELECT * FROM found) UNION ALL SELECT 'unexpected', * FROM (SELECT * FROM found EXCEPT ALL SELECT * FROM want))
 SELECT side, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM x GROUP BY side""",
-    "liturgical_share": f"""WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l1 AS (SELECT doc_id, (i - 1)::INTEGER AS line, ls[i] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l0)),
-l AS (SELECT doc_id, line, list_distinct(list_filter({keyed('t')}, lambda w: w <> '')) AS w FROM l1 WHERE len({words('t')}) >= 3),
-lt AS (SELECT doc_id, line, len(w) AS n, unnest(w) AS w FROM l), b AS (SELECT item_id, list_distinct(list_filter({keyed('text')}, lambda w: w <> '')) AS w FROM benchmark), bt AS (SELECT item_id, len(w) AS n, unnest(w) AS w FROM b),
-s AS (SELECT doc_id, line, item_id, count(*) AS s, any_value(lt.n) AS n, any_value(bt.n) AS m FROM lt JOIN bt USING (w) GROUP BY doc_id, line, item_id)
-SELECT doc_id, line, item_id, s::DOUBLE / (n + m - s) >= 0.55 AS formula, s >= 0.75 * n AS part FROM s WHERE s::DOUBLE / (n + m - s) >= 0.55 OR s >= 0.75 * n""",
+    "liturgical_share": f"""WITH {_LINES}, q AS (SELECT doc_id, line FROM l1 WHERE len({words('t')}) >= 3),
+o AS (SELECT doc_id, line, bool_or(s::DOUBLE / (n + m - s) >= 0.55) AS formula, bool_or(s >= 0.75 * n) AS part FROM sh SEMI JOIN q USING (doc_id, line) GROUP BY doc_id, line),
+k AS (SELECT doc_id, line, count(*) >= 0.85 * any_value(n) AS joined FROM lt SEMI JOIN q USING (doc_id, line) SEMI JOIN bt USING (w) GROUP BY doc_id, line)
+SELECT doc_id, line, coalesce(formula, false) AS formula, coalesce(part, false) AS part, coalesce(joined, false) AS joined FROM o FULL JOIN k USING (doc_id, line) WHERE formula OR part OR joined""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quotary.functions.lang import LATIN
+
 WS = r"[\x20\x09-\x0D]+"
 
 
@@ -33,3 +35,13 @@ brk AS (SELECT *, CASE WHEN lag(p) OVER o IS NULL OR p - lag(p) OVER o > 6 OR ab
   FROM hits WINDOW o AS (PARTITION BY doc_id, item_id ORDER BY p, q)),
 run AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, item_id ORDER BY p, q ROWS UNBOUNDED PRECEDING) AS run FROM brk),
 spans AS (SELECT doc_id, item_id, min(p) AS w_start, max(p) + 4 AS w_end, sum(CASE WHEN b = 1 THEN 4 ELSE least(4, step) END)::BIGINT AS matched, count(*)::BIGINT AS hits FROM run GROUP BY doc_id, item_id, run HAVING sum(CASE WHEN b = 1 THEN 4 ELSE least(4, step) END) >= 8)"""
+
+#: `good(doc_id, i, j, n)`, to stand after WITH RECURSIVE. Reading goes on past each run.
+REPEATS = f"""rw AS (SELECT doc_id, {keyed('text')} AS w FROM documents WHERE len({words('text')}) >= 10),
+rg AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS gram, list_contains(w[i + 1:i + 5], '') AS empty FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM rw)),
+rh AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM rg a JOIN rg b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i BETWEEN a.i + 5 AND a.i + 35 WHERE NOT a.empty GROUP BY a.doc_id, a.i),
+rn AS (SELECT doc_id, i, j, 5 + coalesce(list_min(list_filter(range(0, j - i - 5), lambda k: j + 6 + k > len(w) OR w[i + 6 + k] <> w[j + 6 + k] OR w[i + 6 + k] = '')), j - i - 5) AS n, w FROM rh JOIN rw USING (doc_id)),
+rt AS (SELECT doc_id, min(i) AS i FROM rn GROUP BY doc_id
+  UNION ALL SELECT rt.doc_id, (SELECT min(c.i) FROM rn c WHERE c.doc_id = rt.doc_id AND c.i >= rt.i + (SELECT n FROM rn e WHERE e.doc_id = rt.doc_id AND e.i = rt.i)) FROM rt WHERE rt.i IS NOT NULL),
+good AS (SELECT rn.doc_id, rn.i::BIGINT AS i, rn.j::BIGINT AS j, rn.n::BIGINT AS n FROM rt JOIN rn ON rt.doc_id = rn.doc_id AND rt.i = rn.i
+  WHERE (n >= 8 OR rn.j - rn.i - n <= 1) AND len(list_filter(w[rn.j + 1:rn.j + n], lambda x: x NOT IN {LATIN.formula})) >= 3)"""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotary.functions import text as X
+from quotary.functions.lang import LATIN
 from quotary.operators import audit as U
 from quotary.operators import chunks, grams
-from quotary.plans.sql import WS, key, keyed, words
+from quotary.plans.sql import REPEATS, WS, key, keyed, words
 from quotary.sources.tables import table
 
 
@@ -215,7 +216,7 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
     """Checks of documents as plug-ins, and the gate over all of them."""
     fit = script_fitness(spark, d).where("reason is not null").select("doc_id", F.lit("fitness").alias("check"), F.lit("warn").alias("level"))
     open_ = mid_sentence_share(spark, d).where("warn").select("doc_id", F.lit("open").alias("check"), F.lit("warn").alias("level"))
-    again = chunks.find_repeats(docs(spark, d), "doc_id", "text").select("doc_id").distinct().select("doc_id", F.lit("repeat").alias("check"), F.lit("fail").alias("level"))
+    again = chunks.find_repeats(docs(spark, d), "doc_id", "text", formula=LATIN.formula).select("doc_id").distinct().select("doc_id", F.lit("repeat").alias("check"), F.lit("fail").alias("level"))
     return U.publish_gate([fit, open_, again])
 
 
@@ -234,8 +235,7 @@ _CHUNKS = lambda name, text: f"{name}_n AS (SELECT doc_id, len({words(text)})::B
 _PAIRS = lambda t: f"list_distinct(list_transform(range(1, greatest(len({words(f'lower({t})')}), 1)), lambda i: array_to_string(({words(f'lower({t})')})[i:i + 1], ' ')))"
 _SHARE = "s AS (SELECT doc_id, lang, CASE WHEN length(regexp_replace(text, '[^\\p{L}]', '', 'g')) > 0 THEN floor(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\\p{L}]', '', 'g')) * 10000 + 0.5) / 10000 ELSE 0.0 END AS share FROM documents)"
 _OPEN = f"{_LINES}, op AS (SELECT doc_id, avg((NOT regexp_matches(t, '[.!?]\\s*$'))::INT::DOUBLE) AS o FROM l GROUP BY doc_id)"
-_REP = f"""rg AS (SELECT doc_id, (i - 1)::BIGINT AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM (SELECT doc_id, {keyed('text')} AS w FROM documents) WHERE len(w) >= 5)),
-rr AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS again FROM rg) WHERE again - pos BETWEEN 5 AND 35)"""
+_REP = f"""{REPEATS}, rr AS (SELECT DISTINCT doc_id FROM good)"""
 SQL = {
     "word_counts": f"SELECT doc_id, len({words('text')})::BIGINT AS n_words, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents",
     "word_frequencies": f"SELECT word, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest({keyed('text')}) AS word FROM documents) WHERE word <> '' GROUP BY word",
@@ -282,6 +282,6 @@ SELECT conv_id, turn, len(list_filter(a, lambda w: len(list_filter(b, lambda v:
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, h) - 1 AS idx, n::BIGINT AS n_words FROM p WHERE n > 0""",
     "version_changes": f"""WITH {_CHUNKS('a', 'text')}, {_CHUNKS('b', "array_to_string(list_slice(string_split(text, chr(10)), 1, greatest(len(string_split(text, chr(10))) - 1, 1)), chr(10))")}
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.chunk_idx, b.chunk_idx) AS chunk_idx, a.c_end, b.c_end AS new_end FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.chunk_idx = b.chunk_idx WHERE a.c_end IS DISTINCT FROM b.c_end""",
-    "gate": f"""WITH {_SHARE}, {_OPEN}, {_REP}, k AS (SELECT doc_id, 'warn' AS level FROM s WHERE share < 0.95 UNION ALL SELECT doc_id, 'warn' FROM op WHERE o > 0.25 UNION ALL SELECT doc_id, 'fail' FROM rr)
+    "gate": f"""WITH RECURSIVE {_SHARE}, {_OPEN}, {_REP}, k AS (SELECT doc_id, 'warn' AS level FROM s WHERE share < 0.95 UNION ALL SELECT doc_id, 'warn' FROM op WHERE o > 0.25 UNION ALL SELECT doc_id, 'fail' FROM rr)
 SELECT doc_id, count(*) FILTER (WHERE level = 'fail')::BIGINT AS fails, count(*) FILTER (WHERE level = 'warn')::BIGINT AS warnings, count(*) FILTER (WHERE level = 'fail') = 0 AS passed FROM k GROUP BY doc_id""",
 }
