@@ -104,7 +104,7 @@ def repeats_neighbour(before: Column, after: Column, prev: Column, nxt: Column)
 
 def shown_text(text: Column) -> Column:
     """the paragraphs that are shown: source lines go, a quote mark before a paragraph goes, joined by a blank."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), lambda p: F.trim(p))
     kept = F.filter(parts, lambda p: (p != "") & ~p.rlike("^(📖|📑|📚)"))
     return F.array_join(F.transform(kept, lambda p: F.regexp_replace(p, r"^❝\s*", "")), " ")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotary.functions.text import let, words
 from quotary.operators.grams import gram_hashes
 from quotary.operators.quotes import tolerant_run
+from quotary.sources.scratch import materialize
 
 #: Words into a text up to which a label's passage may begin; words of a partly recited passage; share of a gap that is a card's.
 FROM, PARTLY, SHARE = 6, 4, 0.6
@@ -145,14 +146,16 @@ def assemble(docs: DataFrame, chunks: DataFrame, refs: DataFrame, doc: str) -> D
     inside = refs.join(chunks.select(doc, F.col("start").alias("_s"), F.col("end").alias("_e")), doc).where("_s < end and _e > start")
     share = inside.groupBy(doc, "ref").agg(F.sum(F.least("end", "_e") - F.greatest("start", "_s")).alias("_in"))
     r = refs.join(share, [doc, "ref"], "left").withColumn("inline", F.coalesce(F.col("_in") / F.greatest(F.col("end") - F.col("start"), F.lit(1)) >= 0.5, F.lit(False)))
+    r = materialize(r, "refs")
     cards = r.where("not inline and not merges").select(doc, F.lit("card").alias("kind"), "start", "end", F.array().cast("array<bigint>").alias("chunks"), F.array("ref").alias("refs"), "passage")
     covered = chunks.join(cards.select(doc, F.col("start").alias("_s"), F.col("end").alias("_e")), doc, "left")
-    taken = covered.groupBy(doc, "chunk", "start", "end").agg(F.sum(F.greatest(F.lit(0), F.least("end", "_e") - F.greatest("start", "_s"))).alias("_t"))
+    taken = covered.groupBy(doc, "chunk", "start", "end").agg(F.sum(F.when(F.col("_s").isNotNull(), F.greatest(F.lit(0), F.least("end", "_e") - F.greatest("start", "_s")))).alias("_t"))
     prose = taken.where(F.coalesce("_t", F.lit(0)) < F.col("end") - F.col("start")).select(doc, "chunk", "start", "end")
     # blocks that one reference spans are one: each chunk's first merging reference names its block
     merging = r.where("merges").select(doc, F.col("ref").alias("_m"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     spanned = prose.join(merging, doc).where("_s < end and _e > start").groupBy(doc, "chunk").agg(F.min("_m").alias("_m"))
     named = prose.join(spanned, [doc, "chunk"], "left")
+    named = materialize(named, "prose")
     block = named.groupBy(doc, F.coalesce(F.concat(F.lit("m"), F.col("_m").cast("string")), F.concat(F.lit("c"), F.col("chunk").cast("string"))).alias("_b")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.col("chunk").cast("long"))).alias("chunks"))
     hosted = r.where("inline or merges").select(doc, "ref", F.col("start").alias("_s"), F.col("end").alias("_e")).join(block.select(doc, "_b", "start", "end"), doc).where("_s < end and _e > start").groupBy(doc, "ref").agg(F.min_by("_b", "start").alias("_b"))
     carried = hosted.groupBy(doc, "_b").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
@@ -161,7 +164,7 @@ def assemble(docs: DataFrame, chunks: DataFrame, refs: DataFrame, doc: str) -> D
     rows = block.join(carried, [doc, "_b"], "left").select(doc, F.lit("prose").alias("kind"), "start", "end", "chunks", F.coalesce("refs", none).alias("refs"), F.lit(None).cast("array<string>").alias("passage"))
     # a reference that no block hosts is a card of its own
     alone = r.where("inline or merges").join(hosted.select(doc, "ref"), [doc, "ref"], "left_anti").select(doc, F.lit("card").alias("kind"), "start", "end", F.array().cast("array<bigint>").alias("chunks"), F.array("ref").alias("refs"), "passage")
-    return reconcile(rows.unionByName(cards).unionByName(alone), docs, doc)
+    return reconcile(materialize(rows.unionByName(cards).unionByName(alone), "segments"), docs, doc)
 
 
 def reconcile(segments: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
@@ -176,6 +179,7 @@ def reconcile(segments: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
     begin = F.when(over(F.col("start"), F.col("_pe")) & (F.col("end") > F.col("_pe")) & (F.col("_pk") == "card"), F.col("_pe")).otherwise(F.col("start"))
     stop = F.when((F.col("kind") == "prose") & (F.col("_nk") == "card") & over(F.col("_ns"), F.col("end")) & (F.col("_ne") > F.col("end")) & (F.col("_ns") > F.col("start")), F.col("_ns")).otherwise(F.col("end"))
     s = s.withColumns({"start": begin, "end": stop}).drop("_ps", "_pe", "_pk", "_ns", "_ne", "_nk").where("start < end")
+    s = materialize(s, "trimmed")
     sizes = docs.select(doc, F.size("words").cast("long").alias("_n"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gaps = s.select(doc, F.coalesce(reach, F.lit(0)).alias("a"), F.col("start").alias("b")).where("a < b")

@@ -191,6 +191,8 @@ n AS (SELECT doc_id, len({words('text')})::BIGINT AS n_words FROM documents),
 g AS (SELECT doc_id, coalesce(lag(w_end) OVER (PARTITION BY doc_id ORDER BY w_start), 0) AS gap_start, w_start AS gap_end FROM merged
   UNION ALL SELECT doc_id, max(w_end), any_value(n_words) FROM merged JOIN n USING (doc_id) GROUP BY doc_id)
 SELECT * FROM g WHERE gap_start < gap_end""",
+    "selected_spans": f"""WITH {CHAIN}, s AS (SELECT doc_id, list({{'s': w_start, 'e': w_end}} ORDER BY matched DESC, item_id, w_start, w_end) AS c FROM spans GROUP BY doc_id),
+f AS (SELECT doc_id, unnest(list_reduce(c, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x.e AND y.e > x.s)) > 0 THEN a ELSE list_append(a, x) END, c[1:0])) AS k FROM s) SELECT doc_id, k.s AS w_start, k.e AS w_end FROM f""",
     "consecutive_items": f"""WITH {CHAIN}, u AS (SELECT DISTINCT doc_id, item_id FROM spans), i AS (SELECT *, item_id - row_number() OVER (PARTITION BY doc_id ORDER BY item_id) AS g FROM u)
 SELECT doc_id, min(item_id) AS first, max(item_id) AS last, count(*)::BIGINT AS n FROM i GROUP BY doc_id, g""",
     "best_passage": f"WITH {_BEST} SELECT * FROM best",

@@ -41,15 +41,6 @@ def parsed_badges(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy(part(1).alias("name"), part(2).cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.min(part(3).cast("long")).alias("first"), F.max(part(4).cast("long")).alias("last"))
 
 
-def accepted_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """an excerpt of each passage, from its third to its twentieth word, and whether its place is near a quarter to a half."""
-    w = X.words(F.col("text"))
-    e = table(spark, d, "benchmark").select("item_id", F.array_join(w, " ").alias("t"), F.array_join(F.slice(w, 3, 18), " ").alias("x"))
-    start = (F.expr("locate(x, t)") - 1) / F.length("t")
-    end = start + F.length("x") / F.length("t")
-    return e.select("item_id", ((F.abs(start - 0.1) <= 0.25) & (F.abs(end - 0.5) <= 0.25)).alias("ok"))
-
-
 def lookup_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Lookups that are found, and why the others aren't."""
     asked = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 7 != 0, F.col("conv_id") % 60).alias("item_id"))
@@ -144,15 +135,7 @@ def feedback_intake(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where(F.length(F.trim("text")) > 0).select("conv_id", "turn", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
 
 
-def chained_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Of overlapping spans of a document the one with more matched words, in order of position."""
-    s = matching.quoted_passages(spark, d)
-    w = Window.partitionBy("doc_id").orderBy("w_start", "w_end", "item_id")
-    beaten = F.coalesce((F.lag("w_end").over(w) > F.col("w_start")) & (F.lag("matched").over(w) >= F.col("matched")), F.lit(False))
-    return s.withColumn("beaten", beaten).where("not beaten").select("doc_id", "item_id", "w_start", "matched")
-
-
-QUERIES = {f.__name__: f for f in (openers, note_turns, parsed_dates, parsed_badges, accepted_excerpts, lookup_gaps, claimed_overlap, located_markers, shortest_containing, ranked_pick, review_guards, lines_once, paired_turns, heard_share, unique_anchors, feedback_intake, chained_scores)}
+QUERIES = {f.__name__: f for f in (openers, note_turns, parsed_dates, parsed_badges, lookup_gaps, claimed_overlap, located_markers, shortest_containing, ranked_pick, review_guards, lines_once, paired_turns, heard_share, unique_anchors, feedback_intake)}
 
 _SETS = f"""ct AS (SELECT conv_id, turn, unnest(list_distinct(list_filter({keyed('text')}, lambda w: w <> ''))) AS w FROM conversations), cn AS (SELECT conv_id, turn, count(*) AS n FROM ct GROUP BY ALL),
 bt AS (SELECT item_id, unnest(list_distinct(list_filter({keyed('text')}, lambda w: w <> ''))) AS w FROM benchmark), bn AS (SELECT item_id, count(*) AS m FROM bt GROUP BY ALL),
@@ -163,7 +146,6 @@ SQL = {
     "note_turns": f"SELECT role, count(*)::BIGINT AS n, count(*) FILTER (WHERE regexp_matches(lower(text), '{NOTES}'))::BIGINT AS notes FROM conversations GROUP BY role",
     "parsed_dates": "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders",
     "parsed_badges": "SELECT 'Name ' || l_suppkey AS name, l_linenumber::BIGINT AS grp, count(*)::BIGINT AS n, min(l_orderkey % 100)::BIGINT AS first, max(l_orderkey % 100 + 5)::BIGINT AS last FROM lineitem GROUP BY ALL",
-    "accepted_excerpts": f"WITH e AS (SELECT item_id, array_to_string({words('text')}, ' ') AS t, array_to_string(({words('text')})[3:20], ' ') AS x FROM benchmark), s AS (SELECT *, (instr(t, x) - 1)::DOUBLE / length(t) AS a FROM e) SELECT item_id, abs(a - 0.1) <= 0.25 AND abs(a + length(x)::DOUBLE / length(t) - 0.5) <= 0.25 AS ok FROM s",
     "lookup_gaps": "WITH a AS (SELECT CASE WHEN turn % 7 <> 0 THEN conv_id % 60 END AS k FROM conversations) SELECT CASE WHEN b.item_id IS NOT NULL THEN 'found' WHEN k IS NULL THEN 'no number' ELSE 'not in the edition' END AS result, count(*)::BIGINT AS n FROM a LEFT JOIN benchmark b ON k = b.item_id GROUP BY 1",
     "claimed_overlap": f"WITH {CHAIN} SELECT doc_id, count(*)::BIGINT AS kept FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.item_id <> s.item_id AND o.w_end - o.w_start > s.w_end - s.w_start AND least(s.w_end, o.w_end) - greatest(s.w_start, o.w_start) > 0.3 * (s.w_end - s.w_start)) GROUP BY doc_id",
     "located_markers": f"""WITH dw AS (SELECT doc_id, {keyed('text')} AS w FROM documents), bw AS (SELECT item_id, {keyed('text')} AS w FROM benchmark),
@@ -182,5 +164,4 @@ SELECT a.conv_id, a.turn, floor(sum(least(a, coalesce(b, 0)))::DOUBLE / sum(a) *
     "unique_anchors": f"""WITH {_ONCE('x', 'text')}, {_ONCE('y', "array_to_string(list_slice(string_split(text, chr(10)), 2, len(string_split(text, chr(10)))), chr(10))")},
 j AS (SELECT doc_id, x.p - y.p AS shift, count(*) AS n FROM x JOIN y USING (doc_id, gram) GROUP BY ALL) SELECT doc_id, sum(n)::BIGINT AS anchors, max(n)::BIGINT AS on_main FROM j GROUP BY doc_id""",
     "feedback_intake": "SELECT conv_id, turn, length(trim(text)[1:40])::BIGINT AS n, md5(trim(text)[1:40]) AS digest FROM conversations WHERE length(trim(text)) > 0",
-    "chained_scores": f"WITH {CHAIN}, b AS (SELECT *, coalesce(lag(w_end) OVER o > w_start AND lag(matched) OVER o >= matched, false) AS beaten FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY w_start, w_end, item_id)) SELECT doc_id, item_id, w_start, matched FROM b WHERE NOT beaten",
 }

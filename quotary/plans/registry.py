@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matching", "audience", "timing", "catalog", "texts", "streams", "more")
+MODULES = ("matching", "audience", "timing", "catalog", "texts", "streams", "more", "assembling", "wordings")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
