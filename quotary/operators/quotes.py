@@ -80,7 +80,7 @@ def tolerant_run(want: Column, have: Column, at: Column) -> Column:
     at least; words further apart end it. At least half must be there in full."""
     n = F.size(want)
     kinds = F.zip_with(
-        want, F.slice(have, at.cast("int") + 1, n),
+        want, F.slice(have, F.greatest(at.cast("int"), F.lit(0)) + 1, n),
         lambda w, g: F.when(w == g, 0).when(F.levenshtein(w, g, 2) < 0, 2).when((F.levenshtein(w, g) == 1) & (F.greatest(F.length(w), F.length(g)) >= 4), 0).otherwise(1),
     )
     wrong = F.aggregate(kinds, F.lit(0), lambda s, x: s + F.when(x == 1, 1).otherwise(0))

@@ -31,12 +31,16 @@ def missing_runs(df: DataFrame, key: str, order: str, value: str, least: int) ->
     return isle.groupBy(key, "_isle").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_isle")
 
 
-def settle_lone(df: DataFrame, key: str, order: str, value: str, far: float, out: str) -> DataFrame:
-    """A value farther than `far` from both neighbours takes their mean; one pass over the given values."""
+def settle_lone(df: DataFrame, key: str, order: str, value: str, far: float, ends: Column, out: str, step: float = 0.45) -> DataFrame:
+    """A value over `far` above its neighbour before and below the one after goes next to the one whose sentence it belongs
+    to, `step` from it: to the one after if the row before ends a sentence, to the one before if its own row does. One
+    pass over the given values; other lone values stay."""
     w = Window.partitionBy(key).orderBy(order)
+    df = df.withColumn("_e", ends)
     a, b = F.lag(value).over(w), F.lead(value).over(w)
-    lone = (F.abs(F.col(value) - a) > far) & (F.abs(F.col(value) - b) > far)
-    return df.withColumn(out, F.when(lone, (a + b) / 2).otherwise(F.col(value)))
+    lone = (F.col(value) - a > far) & (b - F.col(value) > far)
+    moved = F.when(F.lag("_e").over(w), b - step).when(F.col("_e"), a + step).otherwise(F.col(value))
+    return df.withColumn(out, F.when(lone, F.round(moved, 3)).otherwise(F.col(value))).drop("_e")
 
 
 def offsets(df: DataFrame, key: str, order: str, size: Column, start: str = "w_start", end: str = "w_end") -> DataFrame:
@@ -62,7 +66,7 @@ def overlapping(df: DataFrame, key: str, order: str, start: str, end: str) -> Da
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, order: str, carry: list[str]) -> DataFrame:
-    """Left rows with the latest right row at or before them: both sides in one sorted series, no pairs."""
+    """Left rows with the latest right row at or before them: both sides in one sorted series, no pairs."""
     a = left.withColumn("_side", F.lit(1))
     b = right.select(key, at, *[F.col(c).alias(f"_r_{c}") for c in carry]).withColumn("_side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)
@@ -71,6 +75,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, order: str, carr
     return held.where("_side = 1").select(*left.columns, *[F.col(f"_h.{c}").alias(f"prev_{c}") for c in carry])
 
 
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, carry: str, out: str) -> DataFrame:
+    """Left rows with the right row nearest to them by absolute distance, the earlier of equals: both sides in one sorted
+    series, in which each left row sees the last right row up to it and the first from it on."""
+    held = F.struct(F.col(at).alias("at"), F.col(carry).alias("c"))
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.select(key, at, held.alias("_h")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, "_side")
+    back = F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("_h", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    r = both.withColumns({"_b": back, "_a": ahead}).where("_side = 1")
+    later = F.coalesce(F.col("_a.at") - F.col(at) < F.col(at) - F.col("_b.at"), F.col("_b").isNull())
+    return r.withColumn(out, F.when(later, F.col("_a.c")).otherwise(F.col("_b.c"))).drop("_side", "_h", "_b", "_a")
+
+
 def largest_gap(df: DataFrame, key: str, order: str, value: str, lo: float = 0.2, hi: float = 0.85) -> DataFrame:
     """(key, at, gap): A21. The largest step to the next row among rows whose share of the series lies in [lo, hi]."""
     w = Window.partitionBy(key).orderBy(value, order)

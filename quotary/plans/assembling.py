@@ -122,9 +122,11 @@ def split_locations(spark: SparkSession, d: str) -> DataFrame:
 def assembled(spark: SparkSession, d: str) -> DataFrame:
     """Documents as blocks of prose chunks and cards, every word in exactly one."""
     docs = table(spark, d, "documents").select("doc_id", F.explode(F.array(keys(F.col("text"), X.latin_key))).alias("words"))
-    cuts = chunks.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", 30).where("chunk_idx % 4 <> 3").select("doc_id", F.col("chunk_idx").alias("chunk"), F.col("c_start").alias("start"), F.col("c_end").alias("end"))
+    longest = matching.longest_spans(spark, d)
+    touched = longest.where("item_id % 3 <> 0").select("doc_id", F.explode(F.sequence(F.floor(F.col("w_start") / 30), F.floor((F.col("w_end") - 1) / 30))).alias("chunk_idx")).distinct()
+    cuts = chunks.fixed_chunks(table(spark, d, "documents"), "doc_id", "text", 30).join(touched, ["doc_id", "chunk_idx"], "left_anti").select("doc_id", F.col("chunk_idx").alias("chunk"), F.col("c_start").alias("start"), F.col("c_end").alias("end"))
     known = canon(spark, d).select("item_id", F.explode(F.array(keys(F.col("text"), X.latin_key))).alias("passage"))
-    refs = matching.longest_spans(spark, d).join(known, "item_id").select("doc_id", F.col("item_id").alias("ref"), (F.col("item_id") % 3 == 0).alias("merges"), "passage", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    refs = longest.join(known, "item_id").select("doc_id", F.col("item_id").alias("ref"), (F.col("item_id") % 3 == 0).alias("merges"), "passage", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
     got = A.assemble(docs, cuts, refs, "doc_id")
     return got.select("doc_id", "block", "kind", "start", "end", F.size("chunks").cast("long").alias("chunks"), F.size("refs").cast("long").alias("refs"))
 

@@ -61,6 +61,9 @@ SQL = {
     "stream_live": "SELECT user_id, sum(CASE event_type WHEN 'signup' THEN 1 ELSE -1 END)::BIGINT AS live FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1",
     "stream_fold": "SELECT user_id, ts::DATE AS day, max(value) AS most, count(*)::BIGINT AS snapshots FROM events GROUP BY ALL",
     "stream_first_seen": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM events GROUP BY 1",
+    "stream_throttle": """WITH l AS (SELECT user_id, list({'t': epoch_us(ts), 'p': event_type = 'purchase'} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(l, lambda s, x: CASE WHEN x.p THEN {'last': s.last, 'n': s.n + 1} WHEN s.last IS NULL OR x.t - s.last >= 21600000000 THEN {'last': x.t, 'n': s.n + 1} ELSE s END, {'last': NULL::BIGINT, 'n': 0::BIGINT}) AS s FROM l)
+SELECT user_id, s.n AS passed FROM f""",
     "stream_rate_limit": "WITH r AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '35999.999999' SECOND PRECEDING AND CURRENT ROW) <= 5 AS ok FROM events) SELECT user_id, count(*) FILTER (WHERE ok)::BIGINT AS allowed, count(*) FILTER (WHERE NOT ok)::BIGINT AS refused FROM r GROUP BY user_id",
     "stream_jobs": "SELECT props, arg_min(user_id, event_id) AS claimed_by, arg_max(event_type, event_id) AS state, count(*)::BIGINT AS changes FROM events GROUP BY props",
 }

@@ -34,8 +34,9 @@ def missing_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, d: str) -> DataFrame:
-    """W11."""
-    return T.settle_lone(series(spark, d), "user_id", "event_id", "value", 40.0, "t").select("user_id", "event_id", F.round("t", 6).alias("t"))
+    """Times in hours; an event over half an hour from both neighbours goes next to its own; purchases end a sentence."""
+    s = series(spark, d).withColumn("h", F.round(F.col("us") / 3.6e9, 3))
+    return T.settle_lone(s, "user_id", "event_id", "h", 0.5, F.col("event_type") == "purchase", "t").select("user_id", "event_id", "t")
 
 
 def segment_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +64,13 @@ def nearest_event(spark: SparkSession, d: str) -> DataFrame:
     return T.as_of(p, v, "user_id", "us", "event_id", ["event_id"]).select("user_id", "event_id", F.col("prev_event_id").alias("view_id"))
 
 
+def closest_view(spark: SparkSession, d: str) -> DataFrame:
+    """Each purchase with the view nearest to it, before or after."""
+    s = series(spark, d)
+    pick = lambda kind: s.where(F.col("event_type") == kind).select("user_id", "us", "event_id")
+    return T.nearest(pick("purchase"), pick("view").withColumnRenamed("event_id", "v"), "user_id", "us", "v", "view_id").select("user_id", "event_id", "view_id")
+
+
 def largest_gap(spark: SparkSession, d: str) -> DataFrame:
     """The largest pause of each user between 20 and 85 % of their events."""
     return T.largest_gap(series(spark, d), "user_id", "event_id", "us")
@@ -103,7 +111,7 @@ def first_of_sources(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", "event_id", F.coalesce("v", F.when(F.col("k") <= 90, F.col("k").cast("double"))).alias("t"), F.when(F.col("v").isNotNull(), "first").when(F.col("k") <= 90, "second").otherwise("none").alias("source"))
 
 
-QUERIES = {f.__name__: f for f in (clamped_times, interpolated, missing_runs, settled, segment_offsets, block_ends, overlapping_blocks, nearest_event, largest_gap, remapped, shifted, bucketed, proportional_times, first_of_sources)}
+QUERIES = {f.__name__: f for f in (clamped_times, interpolated, missing_runs, settled, segment_offsets, block_ends, overlapping_blocks, nearest_event, closest_view, largest_gap, remapped, shifted, bucketed, proportional_times, first_of_sources)}
 
 _E = "s AS (SELECT *, epoch_us(ts) AS us, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN json_extract_string(props, '$.k')::BIGINT % 3 <> 0 THEN value END AS v FROM events)"
 _C = r"c AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS n FROM conversations), o AS (SELECT conv_id, turn, (sum(n) OVER p - n)::BIGINT AS w_start, (sum(n) OVER p)::BIGINT AS w_end FROM c WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"
@@ -114,7 +122,8 @@ a AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER
   WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT user_id, event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN av IS NOT NULL AND bv IS NOT NULL THEN av + (bv - av) * ((i - ai)::DOUBLE / (bi - ai)) ELSE coalesce(av, bv) END, 6) AS t FROM a""",
     "missing_runs": f"WITH {_E}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM s), m AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM i WHERE v IS NULL) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*)::BIGINT AS n FROM m GROUP BY user_id, g HAVING count(*) >= 3",
-    "settled": f"WITH {_E}, n AS (SELECT *, lag(value) OVER o AS a, lead(value) OVER o AS b FROM s WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, round(CASE WHEN abs(value - a) > 40 AND abs(value - b) > 40 THEN (a + b) / 2 ELSE value END, 6) AS t FROM n",
+    "settled": f"WITH {_E}, h AS (SELECT *, round(us / 3.6e9, 3) AS h, event_type = 'purchase' AS e FROM s), n AS (SELECT *, lag(h) OVER o AS a, lead(h) OVER o AS b, lag(e) OVER o AS ae FROM h WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CASE WHEN h - a > 0.5 AND b - h > 0.5 AND ae THEN round(b - 0.45, 3) WHEN h - a > 0.5 AND b - h > 0.5 AND e THEN round(a + 0.45, 3) ELSE h END AS t FROM n",
+    "closest_view": f"WITH {_E}, p AS (SELECT user_id, us, event_id FROM s WHERE event_type = 'purchase'), v AS (SELECT user_id, us, event_id AS v FROM s WHERE event_type = 'view'), j AS (SELECT p.user_id, p.event_id, v, row_number() OVER (PARTITION BY p.user_id, p.event_id ORDER BY abs(p.us - v.us), v.us) AS r FROM p LEFT JOIN v USING (user_id)) SELECT user_id, event_id, v AS view_id FROM j WHERE r = 1",
     "segment_offsets": f"WITH {_C} SELECT * FROM o",
     "block_ends": f"WITH {_E} SELECT user_id, event_id, coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 999.0) AS end_s FROM s",
     "overlapping_blocks": f"WITH {_E}, e AS (SELECT *, us + floor(value * 900)::BIGINT * 1000000 AS e FROM s), g AS (SELECT *, CASE WHEN us < lag(e) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS b FROM e), h AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM g) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*)::BIGINT AS n FROM h GROUP BY user_id, g HAVING count(*) > 1",

@@ -1,4 +1,9 @@
-"""Structured Streaming forms of the audience reports. Every stateful operator takes a watermark that bounds its state."""
+"""Structured Streaming forms of the audience reports.
+
+Windows, totals, the throttle and the rate limit take a watermark that bounds their state. live_counts, first_seen and
+job_states keep one row a key for ever, as any later event may change their answer; fold keeps one a view and day. Their
+state is that of the report itself.
+"""
 
 from __future__ import annotations
 
@@ -112,13 +117,14 @@ def folder(spark: SparkSession) -> str:
 
 def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All that is there now, through the stream: R6's micro-batches with a checkpoint, to Parquet. In complete mode each
-    batch replaces the result; in append mode batches add to it."""
+    batch replaces the result; in append mode each has a folder of its own, named by its number. A batch that is run again
+    after a failure so replaces what it had written."""
     spark, at = stream.sparkSession, folder(stream.sparkSession)
     out = f"{at}/out"
 
-    def write(batch: DataFrame, _: int) -> None:
-        (each(batch) if each else batch).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        (each(batch) if each else batch).write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")

@@ -139,10 +139,16 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_covers_whole_texts_and_odd_rows(spark):
     net = quality.Network(3)
     text = bytes(np.random.default_rng(0).integers(32, 127, 150_000, dtype=np.uint8))
-    means = net.first(quality._padded(text)[None])[1]
-    z = net.second(means)[0]
-    x = np.concatenate([z.max(axis=0), z.mean(axis=0)]) @ net.w["v"] + net.w["c"][0]
-    assert abs(net.score(text) - 1 / (1 + np.exp(-x))) < 1e-4
+    def plain(t):
+        rows, n = quality.stretches([quality._padded(t)])
+        z = net.second(net.first(rows)[1], np.arange(n[0] - quality.REACH + 1))
+        return 1 / (1 + np.exp(-(np.concatenate([z.max(axis=0), z.mean(axis=0)]) @ net.w["v"] + net.w["c"][0])))
+
+    texts = [text, None, b"", b"x", *(text[:k] for k in (15, 16, 17, 47, 48, 49, 3000, 70_000)), text[5:900], b"end"]
+    for batch in (texts, texts[::-1], texts[:1]):
+        assert np.allclose(quality.Scorer([net]).scores(batch), [plain(t or b"") for t in batch], atol=1e-5)
+    other = quality.Network(4)
+    assert np.allclose(np.mean([quality.Scorer([x]).scores(texts) for x in (net, other)], axis=0), quality.Scorer([net, other]).scores(texts), atol=1e-5)
     got = quality.with_score(odd_docs(spark).withColumn("score", F.lit("clash")), [net]).collect()
     assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
     assert len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
@@ -153,15 +159,15 @@ def test_quality_covers_whole_texts_and_odd_rows(spark):
 def test_quality_gradients():
     net, rng = quality.Network(1), np.random.default_rng(2)
     net.w = {k: w.astype(np.float64) for k, w in net.w.items()}
-    data = rng.integers(97, 105, (4, 8 * quality.STRETCH + quality.WINDOW - 1)).astype(np.uint8)
-    weight, y = np.ones((4, 8 - quality.REACH + 1)), np.array([0.0, 1, 1, 0])
-    _, g = net.step(data, weight, y)
+    data = [rng.integers(97, 105, n * quality.STRETCH + quality.WINDOW - 1).astype(np.uint8) for n in (8, 3, 11, 5)]
+    y = np.array([0.0, 1, 1, 0])
+    _, g = net.step(data, y)
     for k, at in (("u", (1, 3, 2)), ("t", (0, 99, 5)), ("v", (3,)), ("a", (2,)), ("b", (1,))):
         old, eps = net.w[k][at], 1e-5
         net.w[k][at] = old + eps
-        up = net.step(data, weight, y)[0]
+        up = net.step(data, y)[0]
         net.w[k][at] = old - eps
-        down = net.step(data, weight, y)[0]
+        down = net.step(data, y)[0]
         net.w[k][at] = old
         assert abs((up - down) / (2 * eps) - g[k][at]) < 1e-4
 
