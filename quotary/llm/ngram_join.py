@@ -98,11 +98,38 @@ def _unpacked(reps: DataFrame) -> DataFrame:
 
 
 def _meetings(reps: DataFrame) -> DataFrame:
-    """(gram, doc, size) of the prefixes, of n-grams in which at least two rows meet. Counts are combined before their
-    shuffle and the join is an equi-join that adaptive execution may split, so no n-gram has to be one task."""
-    grams = _unpacked(reps)
-    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return grams.join(met.select("gram"), "gram", "left_semi")
+    """(gram, doc, size, n) of the prefixes, of n-grams in which at least two rows meet; n is the number of these rows, as far as
+    SMALL + 1. One shuffle and a sort that spills; the sorted rows stream past, SMALL of them held at most."""
+    names = ["gram", "doc", "size"]
+
+    def emit(rows: list[np.ndarray], n: np.ndarray):
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows), pa.array(n.astype(np.int64))], names=[*names, "n"])
+
+    def shared(batches):
+        held, big = None, None  # rows of the last n-gram while they're few; the n-gram that has many
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            size = np.diff(np.append(edge, len(cols[0])))
+            if big is not None and cols[0][0] == big:
+                size[0] += SMALL
+            last = size[-1]
+            big = cols[0][-1] if last > SMALL else None
+            n = np.repeat(np.minimum(size, SMALL + 1), np.diff(np.append(edge, len(cols[0]))))
+            to = len(n) if big is not None else edge[-1]
+            held = None if big is not None else [x[to:] for x in cols]
+            keep = np.flatnonzero(n[:to] > 1)
+            if len(keep):
+                yield emit([x[keep] for x in cols], n[keep])
+        if held is not None and len(held[0]) > 1:
+            yield emit(held, np.full(len(held[0]), len(held[0])))
+
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _unpacked(reps).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(shared, "gram long, doc long, size long, n long")
 
 
 def _promising(meetings: DataFrame, num: int, den: int) -> DataFrame:
@@ -110,7 +137,7 @@ def _promising(meetings: DataFrame, num: int, den: int) -> DataFrame:
     smallest = F.ceil(F.col("size") * num / den)
     need = F.floor(smallest * (den - num) / (4 * den)) + 1
     often = meetings.groupBy("doc", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
-    return meetings.join(often.select("doc", "size"), ["doc", "size"], "left_semi").select("gram", "doc", "size")
+    return meetings.join(often.select("doc", "size"), ["doc", "size"], "left_semi").select("gram", "doc", "size", "n")
 
 
 def _enough(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -153,8 +180,9 @@ def parity(h: np.ndarray, sizes: np.ndarray, bits: int = PARITY_BITS) -> np.ndar
 
 
 def _marks(sets: DataFrame) -> DataFrame:
-    """(doc, size, own, parity) of sets(doc, grams): how many of a row's n-grams no other row has, and the parity of the
-    others. What two rows have of their own differs for certain, and so do as many of the others as their parities tell."""
+    """(doc, size, own, parity) of sets(doc, size, parity, grams): how many of a row's n-grams no other row has, and the parity
+    of the others. What two rows have of their own differs for certain, and so do as many of the others as their parities
+    tell. Of a key with several texts none are taken for its own."""
 
     def unpack(batches):
         for batch in batches:
@@ -167,16 +195,15 @@ def _marks(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                grams = [np.frombuffer(g, np.uint64) for g in part.column("grams").to_pylist()]
                 own = [np.array(x or [], np.int64).view(np.uint64) for x in part.column("own").to_pylist()]
-                own = [x[np.isin(x, g)] for x, g in zip(own, grams, strict=True)]  # a key may have several texts
-                n, k = (np.array([len(x) for x in y], np.int64) for y in (grams, own))
-                bits = parity(np.concatenate(grams), n, MARK_BITS) ^ parity(np.concatenate(own), k, MARK_BITS)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array(k), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc", "size", "own", "parity"])
+                k = np.array([len(x) for x in own], np.int64)
+                bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), np.uint8).reshape(len(k), -1) ^ parity(np.concatenate(own), k, MARK_BITS)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("size"), pa.array(k), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc", "size", "own", "parity"])
 
     held = sets.select("doc", "grams").mapInArrow(unpack, "gram long, doc long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
-    own = held.where("n = 1").groupBy("doc").agg(F.collect_list("gram").alias("own"))  # no longer than the row's own set
-    return sets.select("doc", "grams").join(own, "doc", "left").mapInArrow(mark, "doc long, size long, own long, parity binary")
+    several = sets.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
+    own = held.where("n = 1").groupBy("doc").agg(F.collect_list("gram").alias("own")).join(several, "doc", "left_anti")  # no longer than the row's own set
+    return sets.select("doc", "size", "parity").join(own, "doc", "left").mapInArrow(mark, "doc long, size long, own long, parity binary")
 
 
 def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -247,8 +274,6 @@ def _passing(t: pa.Table, num: int, den: int, apart: np.ndarray | None = None):
 def _near_rows(meetings: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """(doc): the rows that meet one in some n-gram to which, by sizes and parities, they may be linked; rows of n-grams
     with more than SMALL rows stay untried. marks(doc, size, own, parity)."""
-    groups = meetings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-
     def near(batches):
         for t in _whole_groups(batches):
             docs = t.column("doc").to_numpy()
@@ -257,12 +282,11 @@ def _near_rows(meetings: DataFrame, marks: DataFrame, num: int, den: int) -> Dat
                 found[i] = found[j] = True
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(docs[found]))], names=["doc"])
 
-    sized = meetings.join(groups, "gram")
-    tried = sized.where(F.col("n").between(2, SMALL)).join(marks, ["doc", "size"])
+    tried = meetings.where(F.col("n") <= SMALL).join(marks, ["doc", "size"])
     tried = tried.select("gram", "doc", "size", "own", "parity", *[F.lit(0).alias(c) for c in "ixy"])
     n = int(meetings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = tried.repartition(n, "gram").sortWithinPartitions("gram", "size").mapInArrow(near, "doc long")
-    return found.unionByName(sized.where(F.col("n") > SMALL).select("doc")).distinct()
+    return found.unionByName(meetings.where(F.col("n") > SMALL).select("doc")).distinct()
 
 
 def _left_pairs(meetings: DataFrame, labels: DataFrame, marks: DataFrame, num: int, den: int, enough: bool = True) -> DataFrame:
@@ -380,10 +404,11 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
                 ids = batch.column("_doc")
                 for at, h, sizes in shingle_sets(binary(batch.column("_text")), n):
                     ends = np.cumsum(sizes)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array([h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], pa.binary())], names=["doc", "grams"])
+                    grams, marks = [h[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)], [x.tobytes() for x in parity(h, sizes, MARK_BITS)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array(marks, pa.binary()), pa.array(grams, pa.binary())], names=["doc", "size", "parity", "grams"])
 
-    sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, grams binary"), "sets")
-    marks = materialize(_marks(sets.where(F.octet_length("grams") > 0)), "marks")
+    sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, size long, parity binary, grams binary"), "sets")
+    marks = materialize(_marks(sets.where("size > 0")), "marks")
     meetings = materialize(meetings.join(marks.select("doc", "size", "own"), ["doc", "size"]).select("gram", "doc", "size", "own"), "meetings")
     member = materialize(_rows(slim, "_doc", "_text", n, num, den, None).drop("prefix", "parity"), "members")
     named = member.where("size > 0 and doc is not null")
