@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.conf.get("quotary.scratch.dir", None)
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("quotary.scratch.dir", named)
     return named
@@ -43,6 +45,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest_bits(digest: Column) -> Column:
+    """A hex digest's first 60 bits as a 64-bit integer spread over all values, in the order of the digests."""
+    return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)") * 16 - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 def rank_within(df: DataFrame, group: list[str], order: list[Column], out: str, buckets: int = 64) -> DataFrame:
     """Gapless rank from 0 within each group, without one task holding a group.
 

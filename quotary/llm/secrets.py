@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotary.llm.common import table
+from quotary.llm.common import materialize, table
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,8 @@ RULES = BASE + MORE
 
 #: A literal set larger than this is not multiplied out further.
 MOST_LITERALS = 64
+#: Matches whose places are added up at a time.
+RUN = 256
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
@@ -95,8 +97,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def trigram_index(docs: DataFrame, key: str, text: str, grams: list[str]) -> DataFrame:
-    """Postings (gram, key): which rows contain each of the given lower-case trigrams."""
-    low = F.lower(F.col(text))
+    """Postings (gram, key): which rows contain each of the given lower-case trigrams. The lower-cased text is a column of its
+    own, made once a row."""
+    low = F.col("_low")
+    docs = docs.select(F.col(key), F.lower(F.col(text)).alias("_low"))
     found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
     return docs.select(F.col(key), F.explode(found).alias("gram"))
 
@@ -123,16 +127,21 @@ def spans_of(text: Column, rule: Rule) -> Column:
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
     rows = F.arrays_zip(F.transform(F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(0))), F.length).alias("gap"), F.transform(whole, F.length).alias("n"), F.transform(part, F.length).alias("part"))
-    empty = F.lit([]).cast("array<struct<start:int,end:int,part:int>>")
-    placed = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["n"]).alias("at"),
-            F.when(x["part"] >= rule.least, F.concat(s["found"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"), x["part"].alias("part"))))).otherwise(s["found"]).alias("found"),
-        ),
-    )
-    return F.transform(placed["found"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    spans = "array<struct<start:int,end:int>>"
+
+    def place(s: Column, x: Column) -> Column:
+        """The running end `at`, and the spans so far."""
+        start, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["n"]
+        return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(s["found"]).alias("found"))
+
+    def shift(s: Column, x: Column) -> Column:
+        moved = F.transform(x["found"], lambda y: F.struct((y["start"] + s["at"]).alias("start"), (y["end"] + s["at"]).alias("end")))
+        return F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["found"], F.array(moved)).alias("found"))
+
+    # runs of RUN matches, then the runs: appending to one list would copy it for every match of a long text
+    starts = F.when(F.size(rows) > 0, F.sequence(F.lit(1), F.size(rows), F.lit(RUN))).otherwise(F.lit([]).cast("array<int>"))
+    runs = F.transform(starts, lambda i: F.aggregate(F.slice(rows, i, F.lit(RUN)), F.struct(F.lit(0).alias("at"), F.lit([]).cast(spans).alias("found")), place))
+    return F.flatten(F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{spans}>").alias("found")), shift)["found"])
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -143,20 +152,26 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tup
     decide. A column `found` of docs is replaced; other columns are kept. An empty table gives an empty result.
     """
     docs = docs.drop("found")
-    grams = sorted({g for r in rules for c in trigram_query(r.pattern) for g in c})
-    got = candidates(trigram_index(docs, key, text, grams), key, rules).select(F.col(key).alias("_key"), F.col("kinds").alias("_kinds")) if grams else None
-    joined = docs.join(got, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key") if got is not None else docs.withColumn("_kinds", F.lit([]).cast("array<string>"))
     none = F.lit([]).cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    body = F.coalesce(F.col(text), F.lit(""))
 
-    def found(rank: int, rule: Rule) -> Column:
-        tried = F.array_contains(F.coalesce("_kinds", F.lit([]).cast("array<string>")), rule.kind) if trigram_query(rule.pattern) else F.lit(True)
-        if rule.gate:
-            tried = tried & body.rlike(rule.gate)
+    def found(rank: int, rule: Rule, body: Column) -> Column:
+        tried = body.rlike(rule.gate) if rule.gate else F.array_contains("_kinds", rule.kind)
         spans = F.transform(spans_of(body, rule), lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")))
-        return F.when(tried, spans).otherwise(none)
-
-    return joined.withColumn("found", F.array_sort(F.concat(*[found(i, r) for i, r in enumerate(rules)]))).drop("_kinds")
+        return F.when(tried, spans).otherwise(none) if rule.gate or trigram_query(rule.pattern) else spans
+
+    queries = [trigram_query(r.pattern) for r in rules]
+    scanned = [found(i, r, F.coalesce(F.col(text), F.lit(""))) for i, r in enumerate(rules) if not queries[i]]
+    # rules without a query are matched where the text is read, so the text itself needn't follow into the joins below
+    rows = docs.withColumns({"_scanned": F.concat(*scanned) if scanned else none, "_text": F.xxhash64(text, F.octet_length(text))})
+    grams = sorted({g for q in queries for c in q for g in c})
+    if not grams:
+        return rows.withColumn("found", F.array_sort("_scanned")).drop("_scanned", "_text")
+    got = candidates(trigram_index(docs, key, text, grams), key, rules).select(F.col(key).alias("_key"), F.col("kinds").alias("_kinds"))
+    got = materialize(got, "candidates")  # its size is known then: a small list is broadcast by Spark's own check, a large one is shuffled
+    tried = docs.select(F.col(key).alias("_of"), F.coalesce(F.col(text), F.lit("")).alias("_body"), F.xxhash64(text, F.octet_length(text)).alias("_body_hash")).join(got, F.col("_of").eqNullSafe(F.col("_key")))
+    verified = tried.select("_of", "_body_hash", F.concat(*[found(i, r, F.col("_body")) for i, r in enumerate(rules) if queries[i]]).alias("_verified")).where(F.size("_verified") > 0).dropDuplicates(["_of", "_body_hash"])
+    joined = rows.join(verified, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_body_hash")), "left")
+    return joined.withColumn("found", F.array_sort(F.concat("_scanned", F.coalesce("_verified", none)))).drop("_scanned", "_text", "_of", "_body_hash", "_verified")
 
 
 def joined_spans(found: Column) -> Column:
