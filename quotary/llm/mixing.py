@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotary.llm.common import materialize, n_words, range_bucket, rank_within, table
+from quotary.llm.common import digest_bits, materialize, n_words, range_bucket, table
 
 #: Words in a block. A source's takings differ from its target by less than one word, whatever the block.
 BLOCK = 64
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     docs = docs.drop(*[c for c in ("size", "source_size", "target", "taken", "first_slot") if c not in (key, text, source)])
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     slim = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("size"), digest.alias("_d"), F.xxhash64(*docs.columns).alias("_x"), F.octet_length(text).alias("_bytes"))
-    slim = materialize(slim.withColumn("_h", F.expr("cast(cast(conv(substring(_d, 1, 15), 16, 10) as decimal(20,0)) * 16 - 9223372036854775808 as long)")), "mix-sizes")
+    slim = materialize(slim.withColumn("_h", digest_bits(F.col("_d"))), "mix-sizes")
     goal = targets(slim.select(F.col("_source").alias("source"), "size"))
     goal = goal.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     blocks = F.ceil(F.col("source_size") / block)
@@ -152,11 +152,32 @@ WITH d AS (
   SELECT arg_min((total - filled) / open_weight, (3 * source_size / weight, source IS NULL, source)) FILTER (WHERE weight * (total - filled) / open_weight <= 3 * source_size) AS level FROM f
 ), t AS (
   SELECT f.source, source_size, CASE WHEN level IS NULL THEN 3.0 * source_size ELSE least((3 * source_size)::DOUBLE, weight * level) END::DOUBLE AS target FROM f, l
+), g AS (
+  SELECT *, floor(target)::BIGINT AS words, ((source_size + 63) // 64)::BIGINT AS blocks, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_no FROM t
+), u AS (
+  SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END * blocks + (CASE WHEN source_size > 0 THEN words % source_size ELSE words END + 63) // 64 AS slots FROM g
+), q AS (
+  SELECT *, (sum(slots) OVER (ORDER BY source_no))::BIGINT AS upto, (sum(slots) OVER ())::BIGINT AS every FROM u WHERE slots > 0
+), a AS (
+  SELECT *, floor((upto - slots) * 4294967296.0::DOUBLE / every)::BIGINT AS lo, floor(upto * 4294967296.0::DOUBLE / every)::BIGINT AS hi FROM q
+), n AS (
+  SELECT i AS slot, (i::HUGEINT * 2654435769 % 4294967296)::BIGINT AS point FROM range((SELECT coalesce(sum(slots), 0)::BIGINT FROM u)) x(i)
+), r AS (
+  SELECT slot, source_no, slots, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS turn FROM n JOIN a ON point >= lo AND point < hi
+), z AS (
+  SELECT slot, source_no, turn FROM r WHERE turn < slots
+  UNION ALL
+  SELECT every, source_no, unnest(range(had, slots)) FROM (SELECT q.source_no, slots, every, coalesce((SELECT count(*) FROM r WHERE r.source_no = q.source_no AND turn < r.slots), 0) AS had FROM q)
+), k AS (
+  SELECT z.source_no, turn % blocks AS block, min(slot) AS slot FROM z JOIN u USING (source_no) GROUP BY ALL
 ), p AS (
-  SELECT doc_id, size, h, source_size, target, t.source,
+  SELECT doc_id, size, h, t.source_no, source_size, target, t.source,
     coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS rounds
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN g t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, floor(target)::BIGINT - rounds * source_size - start)))::BIGINT AS taken FROM p
+SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, floor(target)::BIGINT - rounds * source_size - start)))::BIGINT AS taken, source, first_slot
+FROM p LEFT JOIN (
+  SELECT p.doc_id AS _doc, min(k.slot)::BIGINT AS first_slot FROM p JOIN k ON k.source_no = p.source_no AND p.size > 0 AND k.block BETWEEN start // 64 AND (start + size - 1) // 64 GROUP BY ALL
+) ON doc_id = _doc
 """

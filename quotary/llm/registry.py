@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": tokens.op10_token_counts,
 }
 SQL = {
+    "op1_sharding": sharding.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_topk": topk.OP6_SQL,
     "op7_secrets": secrets.OP7_SQL,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotary.llm.common import rank_within, table
+from quotary.llm.common import digest_bits, rank_within, table
 
 #: The generator of the published algorithm: key -> key * MULTIPLIER + 1 mod 2^64.
 MULTIPLIER, MODULUS = 2862933555777941757, 1 << 64
@@ -45,12 +45,13 @@ def shard_rows(df: DataFrame, key: str, shards: int, *, shard: str = "shard", sl
     """df with its shard, the shard it would have with one more, and its slot: a gapless rank from 0 within the shard.
 
     The key alone decides the shard: repeated keys go together, equal texts under other keys do not. A null key is
-    treated as key 0. Columns of df that already carry one of the three names are replaced. Slots follow a hash of the
+    treated as key 0. Columns of df that already carry one of the three names are replaced. Slots follow the digest of the
     key, then the key, then a hash of the whole row, so reruns agree; identical rows share a shard and take slots in
     any order among themselves. An empty table gives an empty result.
     """
     df = df.drop(shard, slot, grown)
-    dealt = with_shards(df, F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), shards, shard, grown).withColumn("_h", F.xxhash64(key))
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    dealt = with_shards(df, F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), shards, shard, grown).withColumn("_h", digest_bits(digest))
     return rank_within(dealt, [shard], [F.col("_h"), F.col(key), F.xxhash64(*df.columns)], slot).drop("_h")
 
 
@@ -62,3 +63,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.encode("text", "UTF-8")).cast("long").alias("text_crc32"),
     )
     return shard_rows(docs, "doc_id", SHARDS).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The checksum's table for four bits at a time.
+NIBBLES = [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
+OP1_SQL = f"""
+WITH RECURSIVE k AS (
+  SELECT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + {MODULUS} ELSE doc_id::HUGEINT END AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM documents
+  UNION ALL
+  SELECT doc_id, n, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((n // 8589934592)::DOUBLE + 1)))::BIGINT FROM (SELECT *, (k * {MULTIPLIER}::HUGEINT + 1) % {MODULUS} AS n FROM k WHERE j < {SHARDS})
+), s AS (
+  SELECT doc_id, b AS shard, CASE WHEN j = {SHARDS} THEN j ELSE b END AS grown FROM k WHERE j >= {SHARDS}
+), x AS (
+  SELECT doc_id, octet_length(encode(text)) AS n, regexp_extract_all(hex(encode(text)), '.') AS x FROM documents
+), c AS (
+  SELECT doc_id, coalesce(n, 0) + 16 AS size, xor(list_reduce(list_transform(range(1, len(x) + 1), lambda i: (instr('0123456789ABCDEF', x[i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END]) - 1)::BIGINT),
+    lambda c, v: xor({NIBBLES}[(xor(c, v) & 15) + 1], c >> 4), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM x
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), doc_id) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
+FROM c JOIN s USING (doc_id)
+"""
