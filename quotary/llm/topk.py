@@ -17,8 +17,9 @@ from quotary.llm.common import materialize, table
 #: Queries are the rows whose id is divisible by this.
 EVERY = 50
 TOP = 5
-#: Rows of a candidate block and of a query block: a dense score array takes 8 x both bytes at most, 16 MB.
-CANDIDATES, QUERIES = 8192, 256
+#: Candidates and queries of a tile, what one group holds, and queries that are scored at a time: a dense score array takes
+#: 8 bytes for each of these and each candidate, 16 MB at most.
+CANDIDATES, ASKED, QUERIES = 8192, 4096, 256
 #: Weights beyond this are scored in whole numbers of any size, as a product might not fit 64 bits.
 WIDE = 1 << 24
 
@@ -89,9 +90,12 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
     n = weights.count()
     blocks = max(1, -(-n // CANDIDATES))
     asked = weights.where(F.col("id") % every == 0).groupBy("id").agg(F.max("weights").alias("weights"))
-    # the queries, a fixed share of the rows, go to every candidate block; candidates are moved once
-    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "weights")
-    held = weights.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    tiles = max(1, -(-asked.count() // ASKED))
+    # each query block meets each candidate block in a tile of bounded size, however many rows there are
+    deal = lambda key, n: F.pmod(key, F.lit(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = asked.select("id", "weights", deal(F.xxhash64("id"), tiles).alias("tile"), every_of(blocks).alias("block"))
+    held = weights.select("id", "weights", deal(F.xxhash64("id", F.monotonically_increasing_id()), blocks).alias("block"), every_of(tiles).alias("tile"))
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, own = left.column("id").to_numpy(), right.column("id").to_numpy()
@@ -107,7 +111,7 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
         empty = [np.zeros(0, np.int64)]
         return pa.table({"query_id": np.concatenate(q or empty), "vec_id": np.concatenate(r or empty), "score": np.concatenate(s or empty)})
 
-    parts = held.select("block", "id", "weights").groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(product, "query_id long, vec_id long, score long")
+    parts = held.groupBy("block", "tile").cogroup(asks.groupBy("block", "tile")).applyInArrow(product, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
