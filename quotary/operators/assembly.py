@@ -47,10 +47,13 @@ def range_labels(refs: DataFrame, canon: DataFrame, key: str) -> DataFrame:
     place = lambda w: F.coalesce(F.get(F.filter(starts, lambda s: F.when(F.size(w) >= 3, tolerant_run(w, said, s)).otherwise(F.slice(said, s + 1, F.size(w)) == w)), F.lit(0)), F.lit(-1))
 
     def back(s: Column, x: Column) -> Column:
-        at = place(x["words"]) + F.size(x["words"])
-        rest = F.size(said) - at
-        follows = tolerant_run(s["words"], said, at) | ((rest >= PARTLY) & (F.size(s["words"]) > rest) & tolerant_run(F.slice(s["words"], F.lit(1), F.greatest(rest, F.lit(0))), said, at))
-        goes = s["on"] & (x["passage"] == s["passage"] - 1) & (F.size(x["words"]) > 0) & (place(x["words"]) >= 0) & follows
+        def follows(place: Column) -> Column:
+            at = place + F.size(x["words"])
+            rest = F.size(said) - at
+            partly = (rest >= PARTLY) & (F.size(s["words"]) > rest) & tolerant_run(F.slice(s["words"], F.lit(1), F.greatest(rest, F.lit(0))), said, at)
+            return (place >= 0) & (tolerant_run(s["words"], said, at) | partly)
+
+        goes = s["on"] & (x["passage"] == s["passage"] - 1) & (F.size(x["words"]) > 0) & let(place(x["words"]), follows)
         return F.when(goes, F.struct(x["passage"].alias("passage"), x["words"].alias("words"), F.lit(True).alias("on"))).otherwise(F.struct(s["passage"], s["words"], F.lit(False).alias("on")))
 
     before = F.reverse(F.filter("seq", lambda x: x["passage"] < F.col("passage")))

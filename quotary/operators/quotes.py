@@ -83,9 +83,10 @@ def tolerant_run(want: Column, have: Column, at: Column) -> Column:
         want, F.slice(have, F.greatest(at.cast("int"), F.lit(0)) + 1, n),
         lambda w, g: F.when(w == g, 0).when(F.levenshtein(w, g, 2) < 0, 2).when((F.levenshtein(w, g) == 1) & (F.greatest(F.length(w), F.length(g)) >= 4), 0).otherwise(1),
     )
-    wrong = F.aggregate(kinds, F.lit(0), lambda s, x: s + F.when(x == 1, 1).otherwise(0))
+    count = lambda k: F.aggregate(k, F.lit(0), lambda s, x: s + F.when(x.isNull() | (x == 2), 1 << 20).otherwise(x))  # noqa: E731  a word too far apart is beyond any bound
     fits = (n > 0) & (at >= 0) & (at + n <= F.size(have))
-    return F.coalesce(fits & ~F.exists(kinds, lambda x: x.isNull() | (x == 2)) & (wrong <= F.greatest(F.lit(1), F.floor(n * 0.25))) & (n - wrong >= F.ceil(n / 2)), F.lit(False))
+    good = lambda wrong: (wrong <= F.greatest(F.lit(1), F.floor(n * 0.25))) & (n - wrong >= F.ceil(n / 2))
+    return F.coalesce(fits & let(count(kinds), good), F.lit(False))
 
 
 def word_rows(docs: DataFrame, doc: str, text: str, lang: Language) -> DataFrame:

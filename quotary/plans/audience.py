@@ -39,8 +39,9 @@ def places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def new_places(spark: SparkSession, d: str) -> DataFrame:
-    """Places by when they were first seen, in the last 29 days of the report."""
-    return A.first_seen(views(spark, d), "city").where(F.col("first_ts") >= now() - F.make_interval(days=F.lit(29))).select("city", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
+    """Places, a city and a user's own part of it, by when they were first seen, in the last 29 days of the report."""
+    v = views(spark, d).withColumn("place", F.concat_ws("-", "city", "user_id"))
+    return A.first_seen(v, "place").where(F.col("first_ts") >= now() - F.make_interval(days=F.lit(29))).select("place", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
 
 
 def top_places(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +185,7 @@ SQL = {
     "daily_views": f"WITH {_V}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS is_new FROM w) SELECT day, count(*)::BIGINT AS views, count(*) FILTER (WHERE is_new)::BIGINT AS new_visitors, count(*) FILTER (WHERE bot)::BIGINT AS bots FROM f GROUP BY day",
     "counted_pages": "SELECT CASE event_type WHEN 'view' THEN 'home' ELSE 'reader' END AS key, count(*)::BIGINT AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1",
     "places": f"WITH {_V} SELECT country, city, count(*)::BIGINT AS n, count(*) FILTER (WHERE ts >= {_NOW} - INTERVAL 7 DAY)::BIGINT AS week FROM w WHERE NOT hosting GROUP BY GROUPING SETS ((country, city), (country))",
-    "new_places": f"WITH {_V} SELECT city, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM w GROUP BY city HAVING min(ts) >= {_NOW} - INTERVAL 29 DAY",
+    "new_places": f"WITH {_V} SELECT city || '-' || user_id AS place, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM w GROUP BY 1 HAVING min(ts) >= {_NOW} - INTERVAL 29 DAY",
     "top_places": f"WITH {_V}, n AS (SELECT day, city, count(*)::BIGINT AS n FROM w WHERE city IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, city) AS rank FROM n) WHERE rank <= 3",
     "fold_engagement": f"WITH {_S} SELECT view, max(open_s) AS open_s, max(played_s) AS played_s, max(depth) AS depth, arg_max(lang, (ts, event_id)) FILTER (WHERE lang IS NOT NULL) AS lang, array_to_string(list_sort(list(DISTINCT minute)), ',') AS heard, count(*)::BIGINT AS snapshots FROM s GROUP BY view",
     "per_entry": f"""WITH {_S}, f AS (SELECT view, user_id % 12 AS entry, min(user_id) AS dev, max(open_s) AS open_s, max(played_s) AS played_s, max(k) AS max_pos, max(depth) AS depth FROM s GROUP BY view, user_id % 12)
