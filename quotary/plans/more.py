@@ -79,13 +79,15 @@ def shortest_containing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked_pick(spark: SparkSession, d: str) -> DataFrame:
-    """T4: of the passages within 0.1 of a turn's best score, the preferred group first, then the score."""
-    o = refs.overlaps(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", table(spark, d, "benchmark"), "item_id", "text")
+    """T4: of the passages within 0.1 of a line's best score, the preferred group first, then the score; candidates share two
+    fifths of the line's words, or have all of theirs in it."""
+    keys = ["doc_id", "line"]
+    o = refs.alike_pairs(matching.doc_lines(spark, d), keys, "t", table(spark, d, "benchmark"), "item_id", "text", 0.4)
     s = o.withColumn("score", X.half_up(F.col("s") / (F.col("n") + F.col("m") - F.col("s")), 4))
-    top = F.max("score").over(Window.partitionBy("conv_id", "turn"))
-    order = Window.partitionBy("conv_id", "turn").orderBy(F.col("item_id") % 7, F.col("score").desc(), "item_id")
+    top = F.max("score").over(Window.partitionBy(*keys))
+    order = Window.partitionBy(*keys).orderBy(F.col("item_id") % 7, F.col("score").desc(), "item_id")
     near = s.withColumn("top", top).where("score >= top - 0.1")
-    return near.withColumn("r", F.row_number().over(order)).where("r = 1").select("conv_id", "turn", "item_id", "score")
+    return near.withColumn("r", F.row_number().over(order)).where("r = 1").select(*keys, "item_id", "score")
 
 
 def review_guards(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +139,6 @@ def feedback_intake(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (openers, note_turns, parsed_dates, parsed_badges, lookup_gaps, claimed_overlap, located_markers, shortest_containing, ranked_pick, review_guards, lines_once, paired_turns, heard_share, unique_anchors, feedback_intake)}
 
-_SETS = f"""ct AS (SELECT conv_id, turn, unnest(list_distinct(list_filter({keyed('text')}, lambda w: w <> ''))) AS w FROM conversations), cn AS (SELECT conv_id, turn, count(*) AS n FROM ct GROUP BY ALL),
-bt AS (SELECT item_id, unnest(list_distinct(list_filter({keyed('text')}, lambda w: w <> ''))) AS w FROM benchmark), bn AS (SELECT item_id, count(*) AS m FROM bt GROUP BY ALL),
-sc AS (SELECT conv_id, turn, item_id, floor(s::DOUBLE / (n + m - s) * 10000 + 0.5) / 10000 AS score FROM (SELECT conv_id, turn, item_id, count(*) AS s FROM ct JOIN bt USING (w) GROUP BY ALL) JOIN cn USING (conv_id, turn) JOIN bn USING (item_id))"""
 _ONCE = lambda name, text: f"{name} AS (SELECT doc_id, gram, min(i) AS p FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM (SELECT doc_id, {keyed(text)} AS w FROM documents) WHERE len(w) >= 3)) GROUP BY doc_id, gram HAVING count(*) = 1)"
 SQL = {
     "openers": f"SELECT o AS opener, count(*)::BIGINT AS n FROM (SELECT regexp_extract(lower(text[1:20]), '{OPENERS}', 1) AS o FROM documents) WHERE o <> '' GROUP BY 1",
@@ -155,7 +154,7 @@ j AS (SELECT doc_id, item_id, n, min(pos) AS pos FROM dg JOIN bg USING (n, gram)
 SELECT doc_id, item_id, n::BIGINT AS n, pos::BIGINT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC) AS r FROM j) WHERE r = 1""",
     "shortest_containing": f"""WITH w AS (SELECT item_id, length(text) AS n, {keyed('text')} AS w FROM benchmark), g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + 5], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) >= 6))
 SELECT gram, arg_min(item_id, (n, item_id)) AS item_id, count(*)::BIGINT AS holders FROM g GROUP BY gram""",
-    "ranked_pick": f"WITH {_SETS}, t AS (SELECT *, max(score) OVER (PARTITION BY conv_id, turn) AS top FROM sc) SELECT conv_id, turn, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY item_id % 7, score DESC, item_id) AS r FROM t WHERE score >= top - 0.1::DOUBLE) WHERE r = 1",
+    "ranked_pick": f"WITH {matching._LINES}, sc AS (SELECT doc_id, line, item_id, floor(s::DOUBLE / (n + m - s) * 10000 + 0.5) / 10000 AS score FROM sh WHERE s >= 0.4 * n OR s = m), t AS (SELECT *, max(score) OVER (PARTITION BY doc_id, line) AS top FROM sc) SELECT doc_id, line, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY item_id % 7, score DESC, item_id) AS r FROM t WHERE score >= top - 0.1::DOUBLE) WHERE r = 1",
     "review_guards": f"WITH c AS (SELECT * FROM (SELECT *, lead(text) OVER o AS nxt, lead(text, 2) OVER o AS fix FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) WHERE fix IS NOT NULL), p AS (SELECT *, len({words('text')}) AS a, len({words('fix')}) AS b FROM c) SELECT CASE WHEN b < 0.5 * a OR b > 1.8 * a THEN 'length' WHEN fix[1:8] = nxt[1:8] THEN 'neighbour' ELSE 'applied' END AS verdict, count(*)::BIGINT AS n FROM p GROUP BY 1",
     "lines_once": "WITH l AS (SELECT doc_id, i - 1 AS line, ls[i] AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) SELECT doc_id, min(line)::BIGINT AS first, count(*)::BIGINT AS n FROM l GROUP BY doc_id, t HAVING count(*) > 1",
     "paired_turns": "WITH c AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, bool_and(coalesce(nxt = 'assistant', false)) AS all_paired, count(*)::BIGINT AS n FROM c WHERE role = 'user' GROUP BY conv_id",
