@@ -71,16 +71,18 @@ def line_end_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skeletons(spark: SparkSession, d: str) -> DataFrame:
-    """words by consonant skeleton; how many distinct words share each."""
-    w = grams.tokens(docs(spark, d).where("lang = 'en'"), "doc_id", "text").select("word").where("length(word) > 3").distinct()
+    """words of all documents by consonant skeleton; how many distinct words share each."""
+    w = grams.tokens(docs(spark, d), "doc_id", "text").select("word").where("length(word) > 3").distinct()
     return w.select(F.regexp_replace("word", "[aeiouà-ÿ]", "").alias("skeleton")).groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def near_words(spark: SparkSession, d: str) -> DataFrame:
-    """words of the canon one edit apart, within the same first two letters."""
-    w = grams.tokens(table(spark, d, "benchmark"), "item_id", "text").select("word").where("length(word) >= 6 and word rlike '^[a-z0-9]+$'").distinct().withColumn("k", F.left("word", F.lit(2)))
-    o = w.select(F.col("word").alias("other"), "k")
-    return w.join(o, "k").where((F.col("word") < F.col("other")) & (X.near(F.col("word"), F.col("other"), 1) == 1)).select("word", "other")
+    """words of the canon one edit apart. Such words, or they with one letter left out, are equal: an equi-join."""
+    w = grams.tokens(table(spark, d, "benchmark"), "item_id", "text").select("word").where("word <> ''").distinct()
+    cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.left("word", i - 1), F.substring("word", i + 1, F.length("word"))))
+    k = w.select("word", F.explode(F.array_distinct(F.concat(F.array("word"), cut))).alias("k"))
+    o = k.withColumnRenamed("word", "other")
+    return k.join(o, "k").where(F.col("word") < F.col("other")).select("word", "other").distinct().where(X.near(F.col("word"), F.col("other"), 1) == 1)
 
 
 def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
@@ -142,9 +144,9 @@ def missing_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multiset_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of two sources' documents, as multisets, by how many are on one side."""
-    t = lambda s: grams.tokens(docs(spark, d).where(F.col("source") == s), "doc_id", "text").select("word")
-    return U.multiset_diff(t("src1"), t("src2")).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
+    """Words of even and of odd documents, as multisets, by how many are on one side."""
+    t = lambda k: grams.tokens(docs(spark, d).where(F.col("doc_id") % 2 == k), "doc_id", "text").select("word")
+    return U.multiset_diff(t(0), t(1)).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("words"))
 
 
 def swap_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -236,6 +238,8 @@ _PAIRS = lambda t: f"list_distinct(list_transform(range(1, greatest(len({words(f
 _SHARE = "s AS (SELECT doc_id, lang, CASE WHEN length(regexp_replace(text, '[^\\p{L}]', '', 'g')) > 0 THEN floor(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\\p{L}]', '', 'g')) * 10000 + 0.5) / 10000 ELSE 0.0 END AS share FROM documents)"
 _OPEN = f"{_LINES}, op AS (SELECT doc_id, avg((NOT regexp_matches(t, '[.!?]\\s*$'))::INT::DOUBLE) AS o FROM l GROUP BY doc_id)"
 _REP = f"""{REPEATS}, rr AS (SELECT DISTINCT doc_id FROM good)"""
+#: DuckDB's edit distance counts bytes: letters with accents are written as one byte each.
+_ACCENTS, _BYTES = "".join(chr(c) for c in range(0xE0, 0x100)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*"
 SQL = {
     "word_counts": f"SELECT doc_id, len({words('text')})::BIGINT AS n_words, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents",
     "word_frequencies": f"SELECT word, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest({keyed('text')}) AS word FROM documents) WHERE word <> '' GROUP BY word",
@@ -248,8 +252,8 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM t""",
 SELECT doc_id, len(p)::BIGINT AS n, list_max(list_transform(p, lambda y: length(y)))::BIGINT AS longest FROM x""",
     "line_end_positions": f"""WITH {_LINES}, n AS (SELECT doc_id, line, sum(len({words('t')})) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)::BIGINT AS e, max(line) OVER (PARTITION BY doc_id) AS m FROM l)
 SELECT doc_id, coalesce(string_agg(e, ',' ORDER BY line) FILTER (WHERE line < m), '') AS ends FROM n GROUP BY doc_id""",
-    "skeletons": f"WITH w AS (SELECT DISTINCT unnest({keyed('text')}) AS w FROM documents WHERE lang = 'en') SELECT regexp_replace(w, '[aeiouà-ÿ]', '', 'g') AS skeleton, count(*)::BIGINT AS n FROM w WHERE length(w) > 3 GROUP BY 1 HAVING count(*) > 1",
-    "near_words": f"WITH w AS (SELECT DISTINCT unnest({keyed('text')}) AS w FROM benchmark), k AS (SELECT w FROM w WHERE length(w) >= 6 AND regexp_matches(w, '^[a-z0-9]+$')) SELECT a.w AS word, b.w AS other FROM k a JOIN k b ON a.w[1:2] = b.w[1:2] AND a.w < b.w WHERE levenshtein(a.w, b.w) = 1",
+    "skeletons": f"WITH w AS (SELECT DISTINCT unnest({keyed('text')}) AS w FROM documents) SELECT regexp_replace(w, '[aeiouà-ÿ]', '', 'g') AS skeleton, count(*)::BIGINT AS n FROM w WHERE length(w) > 3 GROUP BY 1 HAVING count(*) > 1",
+    "near_words": f"WITH w AS (SELECT word, translate(word, '{_ACCENTS}', '{_BYTES}') AS b FROM (SELECT DISTINCT unnest({keyed('text')}) AS word FROM benchmark)) SELECT a.word, b.word AS other FROM w a JOIN w b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 1 AND a.word <> '' AND levenshtein(a.b, b.b) = 1",
     "text_cleaning": f"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '^\\s*[0-9]+[.:)]\\s*', ''), '\\[[0-9]+\\]|\\*+', '', 'g'), '{WS}', ' ', 'g'))) AS card,
 md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g'), '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g'), '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g'), '{WS}', ' ', 'g'))) AS bare,
 md5(replace(replace(replace(text, 'thereof', 'TO'), 'the', 'T'), 'and', '&')) AS subs, ((length(text) - length(replace(text, 'the ', ''))) // 4)::BIGINT AS n_the FROM documents""",
@@ -266,7 +270,7 @@ SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(greatest(coalesce(a, 0) - coa
 m AS (SELECT *, max(CASE WHEN i = n // 2 + 1 THEN ratio END) OVER (PARTITION BY conv_id) AS m FROM q)
 SELECT conv_id, turn, round(ratio, 6) AS ratio, (b > 2.2 * a * m OR b * 2.2 < a * m) AND abs(b - a * m) > 8 AS outlier FROM m""",
     "missing_turns": "WITH u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), e AS (SELECT conv_id, unnest(range(min(turn), max(turn) + 1)) AS missing FROM u GROUP BY conv_id) SELECT e.conv_id, e.missing FROM e ANTI JOIN u ON e.conv_id = u.conv_id AND e.missing = u.turn",
-    "multiset_words": f"""WITH a AS (SELECT unnest({keyed('text')}) AS word FROM documents WHERE source = 'src1'), b AS (SELECT unnest({keyed('text')}) AS word FROM documents WHERE source = 'src2'),
+    "multiset_words": f"""WITH a AS (SELECT unnest({keyed('text')}) AS word FROM documents WHERE doc_id % 2 = 0), b AS (SELECT unnest({keyed('text')}) AS word FROM documents WHERE doc_id % 2 = 1),
 x AS (SELECT 'missing' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'unexpected', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT side, count(*)::BIGINT AS n, count(DISTINCT word)::BIGINT AS words FROM x GROUP BY side""",
     "swap_verdicts": f"""WITH c AS (SELECT * FROM (SELECT *, lead(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IS NOT NULL), p AS (SELECT conv_id, turn, len({words('text')}) AS a, len({words('n')}) AS b, {keyed('text')} AS ka, {keyed('n')} AS kb, regexp_extract_all(text, '[0-9]+') AS da, regexp_extract_all(n, '[0-9]+') AS db FROM c)
 SELECT conv_id, turn, CASE WHEN b < 0.5 * a OR b > 1.8 * a THEN 'length' WHEN list_has_any(kb, ['i', 'me', 'my', 'mine']) AND NOT list_has_any(ka, ['i', 'me', 'my', 'mine']) THEN 'person' WHEN len(list_filter(da, lambda x: NOT list_contains(db, x))) > 0 THEN 'dropped' ELSE 'ok' END AS verdict FROM p""",
