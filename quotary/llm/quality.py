@@ -3,7 +3,7 @@
 A text is cut into overlapping chunks that cover all of it. A first layer of filters over windows of bytes is a table
 look-up, as its input is one of 256 values at each place; its responses are averaged over short stretches, a second
 layer combines stretches, and each second-layer filter is max-pooled over the whole document and averaged too. One
-logistic unit on the pooled values gives the probability. Training is by Adam on bounded crops of a bounded, stated
+logistic unit on the pooled values gives the probability. Training is by Adam on the whole texts of a bounded, stated
 number of labelled rows; scoring reads every byte.
 """
 
@@ -21,11 +21,11 @@ from quotary.llm.shingles import binary, slices
 
 #: Labelled rows that the network is fitted on at most, half of each label where there are enough.
 MOST_LABELLED = 1200
-#: Bytes of a text that one training step reads (scoring reads all), and steps.
-CROP, STEPS, BATCH, RATE, SEEDS = 2048, 400, 24, 0.01, 2
+#: Steps, texts of a step, the greatest rate, and networks.
+STEPS, BATCH, RATE, SEEDS = 260, 24, 0.01, 2
 #: Filters and window of the first layer, bytes of a stretch, filters of the second layer.
 FILTERS, WINDOW, STRETCH, SECOND = 16, 4, 16, 12
-#: Stretches of a chunk and of the overlap of two chunks: what a second-layer window reaches over.
+#: Stretches of a chunk, and those over which a second-layer window reaches: chunks overlap by one less.
 CHUNK, REACH = 4096, 3
 THRESHOLD = 0.3
 
@@ -44,76 +44,117 @@ class Network:
             "c": np.zeros(1, np.float32),
         }
 
-    def first(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(responses at each byte, means over stretches). data: rows of bytes, whole stretches plus WINDOW - 1 bytes."""
-        n = data.shape[1] - WINDOW + 1
-        t = self.w["t"]
-        z = t[0][data[:, :n]]
+    def first(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(responses at each byte of each stretch, their means). rows: stretches with the WINDOW - 1 bytes that follow."""
+        z = self.w["t"][0][rows[:, :STRETCH]]
         for k in range(1, WINDOW):
-            z += t[k][data[:, k : k + n]]
+            z += self.w["t"][k][rows[:, k : k + STRETCH]]
         z += self.w["a"]
         np.maximum(z, 0, out=z)
-        return z, z.reshape(len(data), n // STRETCH, STRETCH, FILTERS).mean(axis=2)
-
-    def second(self, means: np.ndarray) -> np.ndarray:
-        n = means.shape[1] - REACH + 1
-        z = sum(means[:, k : k + n] @ self.w["u"][k] for k in range(REACH)) + self.w["b"]
-        return np.maximum(z, 0)
-
-    def step(self, data: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """(loss, gradients) of a batch of equally long crops; weight marks the real second-layer places."""
-        z1, means = self.first(data)
-        z2 = self.second(means)
-        count = weight.sum(axis=1)[:, None]
-        held = np.where(weight[:, :, None] > 0, z2, -1)
-        top = held.argmax(axis=1)
-        high = np.take_along_axis(z2, top[:, None], axis=1)[:, 0]
-        mean = (z2 * weight[:, :, None]).sum(axis=1) / count
-        pooled = np.concatenate([high, mean], axis=1)
+        return z, z.mean(axis=1)
+
+    def second(self, means: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Responses of the second layer at the places `at`, each over REACH stretches from there on."""
+        return np.maximum(sum(means[at + k] @ self.w["u"][k] for k in range(REACH)) + self.w["b"], 0)
+
+    def step(self, texts: list[np.ndarray], y: np.ndarray) -> tuple[float, dict]:
+        """(loss, gradients) of whole padded texts of any lengths."""
+        rows, n = stretches(texts)
+        z1, means = self.first(rows)
+        at, n = places(n)
+        z2 = self.second(means, at)
+        begin, cols = np.cumsum(n) - n, np.arange(SECOND)[None]
+        top = np.stack([z2[b : b + k].argmax(axis=0) + b for b, k in zip(begin, n, strict=True)])
+        pooled = np.concatenate([z2[top, cols], np.add.reduceat(z2, begin) / n[:, None]], axis=1)
         p = 1 / (1 + np.exp(-(pooled @ self.w["v"] + self.w["c"][0])))
         err = (p - y) / len(y)
         g = {"v": pooled.T @ err, "c": np.array([err.sum()])}
         back = err[:, None] * self.w["v"][None]
-        d2 = (back[:, None, SECOND:] / count[:, None]) * weight[:, :, None]
-        d2 = np.ascontiguousarray(d2, np.float32)
-        rows, cols = np.arange(len(y))[:, None], np.arange(SECOND)[None]
-        np.add.at(d2, (rows, top, cols), back[:, :SECOND])
+        d2 = np.repeat(back[:, SECOND:] / n[:, None], n, axis=0).astype(np.float32)
+        np.add.at(d2, (top, cols), back[:, :SECOND])
         d2 *= z2 > 0
-        n = d2.shape[1]
-        g["b"] = d2.sum(axis=(0, 1))
-        flat = d2.reshape(-1, SECOND)
-        g["u"] = np.stack([means[:, k : k + n].reshape(-1, FILTERS).T @ flat for k in range(REACH)])
+        g["b"] = d2.sum(axis=0)
+        g["u"] = np.stack([means[at + k].T @ d2 for k in range(REACH)])
         d1 = np.zeros_like(means)
         for k in range(REACH):
-            d1[:, k : k + n] += d2 @ self.w["u"][k].T
-        dz = (np.repeat(d1 / STRETCH, STRETCH, axis=1) * (z1 > 0)).reshape(-1, FILTERS)
+            d1[at + k] += d2 @ self.w["u"][k].T
+        dz = ((d1 / STRETCH)[:, None] * (z1 > 0)).reshape(-1, FILTERS)
         g["a"] = dz.sum(axis=0)
         t = np.zeros((WINDOW, 256, FILTERS), np.float32)
-        m = data.shape[1] - WINDOW + 1
         for k in range(WINDOW):
-            at = data[:, k : k + m].ravel()
-            order = np.argsort(at, kind="stable")
-            at, edge = at[order], None
-            edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            t[k][at[edge]] = np.add.reduceat(dz[order], edge, axis=0)
+            seen = rows[:, k : k + STRETCH].ravel()
+            order = np.argsort(seen, kind="stable")
+            seen = seen[order]
+            edge = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+            t[k][seen[edge]] = np.add.reduceat(dz[order], edge, axis=0)
         g["t"] = t
         loss = -np.mean(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))
         return float(loss), g
 
-    def score(self, text: bytes | None) -> float:
-        """Probability of label 1 over the whole text. The empty text is read as one blank stretch, as all short texts
-        are filled up with blanks."""
-        data = _padded(text or b"")
-        high, total, n = np.zeros(SECOND, np.float32), np.zeros(SECOND), 0
-        stretches = (len(data) - WINDOW + 1) // STRETCH
-        for lo in range(0, stretches - REACH + 1, CHUNK):  # chunks overlap by REACH - 1 stretches and WINDOW - 1 bytes
-            hi = min(stretches, lo + CHUNK + REACH - 1)
-            z2 = self.second(self.first(data[None, lo * STRETCH : hi * STRETCH + WINDOW - 1])[1])[0]
-            high = np.maximum(high, z2.max(axis=0))
-            total += z2.sum(axis=0)
-            n += len(z2)
-        x = float(np.concatenate([high, total / n]) @ self.w["v"] + self.w["c"][0])
-        return float(1 / (1 + np.exp(-np.clip(x, -60, 60))))
+
+class Scorer:
+    """Networks side by side: one look-up, in tables of byte pairs, serves the first layers of all of them."""
+
+    def __init__(self, nets: list[Network]):
+        self.nets = nets
+        t = np.concatenate([net.w["t"] for net in nets], axis=2)
+        self.pairs = [(t[k][:, None] + t[k + 1][None, :]).reshape(1 << 16, -1) for k in range(0, WINDOW, 2)]
+        self.pairs[0] += np.concatenate([net.w["a"] for net in nets])
+
+    def scores(self, texts: list[bytes | None]) -> list[float]:
+        """Mean probability of label 1 over each whole text. The empty text is read as blank stretches, as all short texts
+        are filled up with blanks. Texts are scored many at a time, long ones in chunks."""
+        out, at = [0.0] * len(texts), 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to] or b"") <= CHUNK * STRETCH):
+                size += len(texts[to] or b"") + (REACH + 1) * STRETCH
+                to += 1
+            out[at:to] = self._some([_padded(t or b"") for t in texts[at:to]])
+            at = to
+        return out
+
+    def _some(self, texts: list[np.ndarray]) -> list[float]:
+        if len(texts) > 1:
+            high, mean = self._pooled(texts)
+        else:  # chunks overlap by REACH - 1 stretches and WINDOW - 1 bytes
+            n = (len(texts[0]) - WINDOW + 1) // STRETCH
+            high, mean = None, 0
+            for lo in range(0, n - REACH + 1, CHUNK):
+                hi = min(n, lo + CHUNK + REACH - 1)
+                one, part = self._pooled([texts[0][lo * STRETCH : hi * STRETCH + WINDOW - 1]])
+                high = one if high is None else np.maximum(high, one)
+                mean = mean + part * ((hi - lo - REACH + 1) / (n - REACH + 1))
+        both = np.concatenate([high, mean], axis=2)
+        x = np.stack([both[i] @ net.w["v"] + net.w["c"][0] for i, net in enumerate(self.nets)])
+        return (1 / (1 + np.exp(-np.clip(x.astype(np.float64), -60, 60)))).mean(axis=0).tolist()
+
+    def _pooled(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(maxima, means), networks x texts x SECOND."""
+        rest = np.full(STRETCH, 0x20, np.uint8)  # to whole stretches: each text has one more, which is left out
+        data = np.concatenate([part for x in texts for part in (x, rest[: STRETCH - WINDOW + 1])] + [rest[: WINDOW - 1]]).astype(np.uint16)
+        pair = (data[:-1] << np.uint16(8)) | data[1:]
+        z = self.pairs[0][pair[: len(pair) - 2]]
+        z += self.pairs[1][pair[2:]]
+        np.maximum(z, 0, out=z)
+        means = z.reshape(-1, STRETCH, z.shape[1]).mean(axis=1)
+        at, n = places(np.array([len(x) // STRETCH for x in texts]), 1)
+        begin = np.cumsum(n) - n
+        z2 = [net.second(means[:, i * FILTERS : (i + 1) * FILTERS], at) for i, net in enumerate(self.nets)]
+        return np.stack([np.maximum.reduceat(x, begin) for x in z2]), np.stack([np.add.reduceat(x, begin) / n[:, None] for x in z2])
+
+
+def stretches(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of padded texts with the bytes that their last windows reach over, number of each text's)."""
+    rows = [np.lib.stride_tricks.sliding_window_view(x, STRETCH + WINDOW - 1)[::STRETCH] for x in texts]
+    return np.concatenate(rows), np.array([len(r) for r in rows])
+
+
+def places(n: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(where second-layer windows begin so that none reaches over two texts, number of each text's), of texts of n stretches
+    with `skip` others after each."""
+    k, m = n - REACH + 1, n + skip
+    return np.arange(k.sum()) + np.repeat((np.cumsum(m) - m) - (np.cumsum(k) - k), k), k
 
 
 def _padded(text: bytes) -> np.ndarray:
@@ -125,7 +166,7 @@ def _padded(text: bytes) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Network:
-    """A network fitted to labelled texts: batches with as many of either label, a random crop of each text a step."""
+    """A network fitted to labelled texts: whole texts, in batches with as many of either label."""
     net, rng = Network(seed), np.random.default_rng(seed + 1)
     sides = [np.flatnonzero(labels == v) for v in (0, 1)]
     if not all(len(s) for s in sides):  # one label only, or none: a constant
@@ -133,18 +174,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Network:
         net.w["c"][:] = 4.0 if len(sides[1]) else (-4.0 if len(sides[0]) else 0.0)
         return net
     m, s = ({k: np.zeros_like(w) for k, w in net.w.items()} for _ in range(2))
-    width = CROP // STRETCH * STRETCH
+    padded = [_padded(t) for t in texts]
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(side, BATCH // 2) for side in sides])
-        data = np.full((BATCH, width + WINDOW - 1), 0x20, np.uint8)
-        weight = np.zeros((BATCH, width // STRETCH - REACH + 1), np.float32)
-        for i, j in enumerate(pick):
-            x = _padded(texts[j])
-            at = int(rng.integers(0, max(1, len(x) - data.shape[1] + 1)))
-            x = x[at : at + data.shape[1]]
-            data[i, : len(x)] = x
-            weight[i, : max(1, (len(x) - WINDOW + 1) // STRETCH - REACH + 1)] = 1
-        _, grads = net.step(data, weight, labels[pick].astype(np.float32))
+        _, grads = net.step([padded[j] for j in pick], labels[pick].astype(np.float32))
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, w in net.w.items():
             grad = grads[k].astype(np.float32) + 1e-5 * w
@@ -175,7 +208,7 @@ def with_score(docs: DataFrame, nets: list[Network], *, text: str = "text", out:
     """docs with the probability of label 1: the mean of the networks'. Nulls are scored as empty texts.
 
     Only the text is an input. A column of docs named `out` is replaced, all others are kept; equal texts have equal
-    scores; an empty table gives an empty result.
+    scores but for the rounding of single-precision sums; an empty table gives an empty result.
     """
     from pyspark.sql import types as T
 
@@ -184,9 +217,10 @@ def with_score(docs: DataFrame, nets: list[Network], *, text: str = "text", out:
     shared = docs.sparkSession.sparkContext.broadcast(nets)  # fixed size: some 70 kB a network
 
     def score(batches):
+        scorer = Scorer(shared.value)
         for whole in batches:
             for batch in slices(whole, text=text):
-                got = [float(np.mean([net.score(t) for net in shared.value])) for t in binary(batch.column(text))]
+                got = scorer.scores(binary(batch.column(text)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(score, schema)
