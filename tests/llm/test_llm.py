@@ -242,6 +242,34 @@ def test_repeated_passages_are_caught_and_clean_documents_left(spark):
         assert any(r["doc_id"] == b and a in r["kept_ids"] and r["n_words"] >= 20 for r in got)
 
 
+def test_passages_of_51_words_in_the_midst_of_lines_are_reached(spark):
+    rng = random.Random(21)
+    vocab = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in "mnrst"]
+    rows = []
+    for k in range(300):
+        p = rng.choices(vocab, k=51)
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join(rng.choices(vocab, k=rng.randint(20, 60)) + p + rng.choices(vocab, k=rng.randint(20, 60)))))
+    got = {r["doc_id"]: r for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [r for d, r in got.items() if d % 2 and d - 1 in r["kept_ids"]]
+    assert len(caught) >= 0.98 * 300 and np.mean([r["n_words"] for r in caught]) >= 35 and not any(d % 2 == 0 for d in got)
+
+
+def test_long_texts_with_many_matches(spark):
+    text = "token=abcdefghijklmnop " * 3000 + "x" + " 0123456789abcdef0" * 2000
+    rows = spark.createDataFrame([(1, text), (1, text), (None, "secret: aaaabbbbccccdddd"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(rows).collect()}
+    assert [len([x for x in got[1] if x["kind"] == k]) for k in ("assign", "hex")] == [3000, 2000] and len(got[None]) == 2 and got[2] == []
+    assert [(x["start"], x["end"]) for x in got[1][:2]] == [(0, 22), (23, 45)]
+
+
+def test_short_items_are_found_exactly(spark):
+    docs = spark.createDataFrame([(1, "a Zebra ran"), (2, "a zebr ran"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "zebra"), (2, "ran"), (3, ""), (4, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 0), (1, 2, 0), (2, 2, 0)}
+
+
 def test_no_pair_of_paragraphs_that_share_a_band_is_missed(spark):
     rng = random.Random(11)
     base, docs = [f"word{i}" for i in range(60)], {}
@@ -266,7 +294,7 @@ def test_no_pair_of_paragraphs_that_share_a_band_is_missed(spark):
     expected = {i: t for i, t in top.items() if t < i}
     assert len(expected) >= 140
     got = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).where("start = 0").collect()
-    # no piece begins at the first word: what begins there is a whole paragraph
+    # no window begins at the first word: what begins there is a whole paragraph
     assert {r["doc_id"] for r in got} == set(expected)
     assert all(expected[r["doc_id"]] in r["kept_ids"] for r in got)
 
