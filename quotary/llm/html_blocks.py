@@ -4,6 +4,7 @@ A page is read into its leaf blocks, each with its tag path (tags, classes and i
 Both are hashed into vectors; the network reads the whole sequence in both directions, so a block is judged in the
 context of its document. It's trained here, on a bounded sample of pages whose blocks are labelled by the names in their
 tag paths, and on variations of these pages: other names for the article, and menus, notices, forms and comments added.
+Training hides the tag paths of many blocks, and of whole pages, so that words, links, lengths and neighbours decide too.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from quotary.llm.common import table
 from quotary.llm.shingles import slices
 
-#: Pages that the network is fitted on at most, and their first blocks that a training step reads.
-MOST_PAGES, MOST_BLOCKS = 160, 120
+#: Pages that the network is fitted on at most; a training step reads whole pages.
+MOST_PAGES = 160
+#: Share of the training pages in which paths are hidden, and of their blocks.
+HIDES, HIDDEN_PATHS = 0.4, 0.5
 STEPS, BATCH, RATE, HIDDEN = 260, 16, 0.01, 12
 #: Hash buckets of tag paths and of words; other inputs.
 PATHS, WORDS, NUMBERS = 256, 24, 6
@@ -41,7 +44,7 @@ RAW = frozenset("script style noscript template svg math iframe object".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements over which no implied end reaches.
 SCOPE = frozenset("article aside body div footer form header main nav ol section table td th ul dl".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>"']*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[^<]+|<""", re.S)
 #: Elements whose content isn't markup either, and what ends them, wherever it stands.
 LITERAL = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "iframe", "noscript")}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -134,8 +137,8 @@ def vectors(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
             at = memo[path] = sorted({_hash(p, PATHS) for p in path} | {_hash("last " + p, PATHS) for p in path[-1:]})
         x[i, at] = 1
         words = text.split(" ")
-        for w in words[:32]:  # an input of the label only: the block's text is kept whole
-            x[i, PATHS + _hash(w, WORDS)] += 1 / min(len(words), 32)
+        for w in words:
+            x[i, PATHS + _hash(w, WORDS)] += 1 / len(words)
         n = len(text)
         cells.append((np.log1p(n) / 6, np.log1p(len(words)) / 4, links, float(text[-1] in ".!?"), i / len(found), (len(found) - i) / len(found)))
     if cells:
@@ -270,15 +273,13 @@ def train(pages: list[str], seed: int = 0) -> Labeller:
         return net
     m, s = ({k: np.zeros_like(w) for k, w in net.w.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        chosen = []
-        for j in rng.integers(0, len(read), BATCH):
-            b = varied(read[j], rng) if rng.random() < 0.7 else read[j]
-            at = int(rng.integers(0, max(1, len(b) - MOST_BLOCKS + 1)))
-            chosen.append(b[at : at + MOST_BLOCKS])
+        chosen = [varied(read[j], rng) if rng.random() < 0.7 else read[j] for j in rng.integers(0, len(read), BATCH)]
         most = max(len(b) for b in chosen)
         x, y, live = np.zeros((BATCH, most, INPUTS), np.float32), np.zeros((BATCH, most), np.float32), np.zeros((BATCH, most), bool)
         for i, b in enumerate(chosen):
             x[i, : len(b)], y[i, : len(b)], live[i, : len(b)] = vectors(b), weak_labels(b), True
+            if rng.random() < HIDES:
+                x[i, : len(b), :PATHS][rng.random(len(b)) < HIDDEN_PATHS] = 0
         grads = net.gradients(x, live, y)
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, w in net.w.items():
@@ -309,9 +310,12 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
 
 
 def fit(pages: DataFrame, *, key: str = "page_id", page: str = "html", most: int = MOST_PAGES) -> Labeller:
-    """A labeller fitted on at most `most` pages (a documented bound), chosen by a hash of their keys."""
-    got = pages.where(F.col(page).isNotNull()).orderBy(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.md5(page)).select(page).limit(most).collect()
-    return train([r[0] for r in got])
+    """A labeller fitted on at most `most` pages (a documented bound), chosen by a hash of their keys. Only keys are compared
+    to choose; then the chosen pages are read, one for each key. Pages without a key or html aren't read."""
+    some = pages.where(F.col(page).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(page).alias("_page"))
+    few = some.select("_key").orderBy(F.md5(F.col("_key").cast("string")), "_key").limit(most).distinct()
+    got = some.join(F.broadcast(few), "_key").groupBy("_key").agg(F.min("_page").alias("_page")).orderBy("_key").collect()  # `most` rows
+    return train([r["_page"] for r in got])
 
 
 def with_main_text(pages: DataFrame, net: Labeller, *, page: str = "html", out: str = "text") -> DataFrame:
