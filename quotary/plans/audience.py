@@ -16,7 +16,7 @@ def now():
 
 
 def views(spark: SparkSession, d: str) -> DataFrame:
-    """Events as views; the place is props.k, errors are bots."""
+    """Events as views; the place is props.k, errors are bots."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k").cast("long")
     return e.withColumns({"k": k, "city": F.concat(F.lit("c"), k), "country": F.concat(F.lit("z"), k % 10), "bot": F.col("event_type") == "error", "hosting": k % 17 == 0})

@@ -98,7 +98,7 @@ def stored_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with the title of their customer, where there is one."""
+    """Orders with the title of their customer, where there is one."""
     e = entries(spark, d).where("id % 5 <> 0").select(F.col("id").alias("o_custkey"), "title")
     return table(spark, d, "orders").join(e, "o_custkey", "left").groupBy(F.coalesce("title", F.lit("?")).alias("title")).agg(F.count(F.lit(1)).alias("n"))
 

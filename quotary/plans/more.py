@@ -23,7 +23,7 @@ def openers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns by role, and how many hold a note."""
+    """Turns by role, and how many hold a note."""
     return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("text").rlike(NOTES)).alias("notes"))
 
 
@@ -72,7 +72,7 @@ def located_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_containing(spark: SparkSession, d: str) -> DataFrame:
-    """For each six-word run of the canon, of the passages that hold it the shortest."""
+    """T5: for each six-word run of the canon, of the passages that hold it the shortest."""
     g = grams.grams(table(spark, d, "benchmark"), "item_id", "text", 6)
     n = table(spark, d, "benchmark").select("item_id", F.length("text").alias("n"))
     return g.select("gram", "item_id").distinct().join(n, "item_id").groupBy("gram").agg(F.min(F.struct("n", "item_id")).alias("b"), F.count(F.lit(1)).alias("holders")).select("gram", F.col("b.item_id").alias("item_id"), "holders")
@@ -101,7 +101,7 @@ def review_guards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, d: str) -> DataFrame:
-    """Of each document the lines that come again, by their first place."""
+    """Of each document the lines that come again, by their first place."""
     line = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return line.groupBy("doc_id", "t").agg(F.min("line").cast("long").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "first", "n")
 

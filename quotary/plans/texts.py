@@ -60,7 +60,7 @@ TERMS = ("license", "rights reserved", "password", "token", "http")
 
 
 def sentence_positions(spark: SparkSession, d: str) -> DataFrame:
-    """documents' sentences: number, longest, and whether the pieces rebuild the text."""
+    """documents' sentences: number, longest, and whether the pieces rebuild the text."""
     s = X.sentences(F.col("text"))
     return docs(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.array_max(F.transform("s", lambda x: F.length(x))).cast("long").alias("longest"))
 
@@ -86,7 +86,7 @@ def near_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    """digests of cleaned texts."""
+    """digests of cleaned texts."""
     t = F.col("text")
     subs = X.substitute(t, [("the", "T"), ("thereof", "TO"), ("and", "&")])
     return docs(spark, d).select("doc_id", F.md5(X.card_text(t)).alias("card"), F.md5(X.without_brackets(t)).alias("bare"), F.md5(subs).alias("subs"), X.count_of(t, F.lit("the ")).alias("n_the"))
@@ -126,7 +126,7 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lost_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words lost and doubled between a document and its lines without the first."""
+    """Words lost and doubled between a document and its lines without the first."""
     shown = docs(spark, d).select("doc_id", F.array_join(F.slice(F.split("text", "\n"), F.lit(2), F.greatest(F.size(F.split("text", "\n")) - 1, F.lit(1))), "\n").alias("text"))
     return U.word_coverage(docs(spark, d), shown, "doc_id", "text")
 
