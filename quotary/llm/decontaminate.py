@@ -18,7 +18,8 @@ from quotary.llm.shingles import BLOCK_BYTES, binary, mixed, slices
 
 #: Edits that an item may have: one in so many of its bytes, and so many at least.
 BYTES_AN_EDIT, LEAST_EDITS = 20, 2
-#: Bytes of a piece that are hashed. Items whose pieces would be shorter have fewer edits; below one piece they match exactly.
+#: Bytes of a piece that are hashed. Items whose pieces would be shorter have fewer edits; shorter items match exactly and are
+#: hashed whole.
 SEED = 12
 #: Bits of the bitmap of seeds: 4 MB, whatever the number of items.
 BITMAP_BITS = 25
@@ -42,13 +43,13 @@ def pieces(item: bytes) -> list[tuple[int, bytes]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def seed_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the SEED bytes that begin at each position: a fixed polynomial, rolled by shifts of the whole array."""
-    if len(data) < SEED:
+def seed_hashes(data: np.ndarray, width: int = SEED) -> np.ndarray:
+    """Hash of the `width` bytes that begin at each position: a fixed polynomial, rolled by shifts of the whole array."""
+    if len(data) < width:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) - SEED + 1, np.uint64)
-    for i in range(SEED):
-        total = total * np.uint64(_BASE) + data[i : len(data) - SEED + 1 + i]
+    total = np.full(len(data) - width + 1, width, np.uint64)
+    for i in range(width):
+        total = total * np.uint64(_BASE) + data[i : len(data) - width + 1 + i]
     return mixed(total)
 
 
@@ -83,19 +84,20 @@ def distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
 
 
 def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, body, seed, offset): each piece of each item by the hash of its first SEED bytes. Items shorter than SEED
-    have no piece; they are too short to tell."""
+    """(item, body, seed, width, offset): each piece of each item by the hash of its first SEED bytes, or of all of a shorter
+    item's. Items without text have no piece."""
 
     def cut(batches):
         for batch in batches:
             out = []
             for item, body in zip(batch.column(key).to_pylist(), map(normal, binary(batch.column(text))), strict=True):
-                if len(body) >= SEED:
-                    out += [(item, body, seed_hashes(np.frombuffer(p[:SEED], np.uint8)).view(np.int64)[0], at) for at, p in pieces(body)]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["item", "body", "seed", "offset"])
+                width = min(SEED, len(body))
+                if width:
+                    out += [(item, body, seed_hashes(np.frombuffer(p[:width], np.uint8), width).view(np.int64)[0], width, at) for at, p in pieces(body)]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["item", "body", "seed", "width", "offset"])
 
-    return benchmark.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull()).mapInArrow(cut, "item long, body binary, seed long, offset int")
+    return benchmark.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull()).mapInArrow(cut, "item long, body binary, seed long, width int, offset int")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -111,59 +113,61 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """(key, item_id, edits, budget, size): the documents in which an item stands with at most its budget of edits.
 
     Texts are compared as bytes, with A-Z lower-cased and blanks collapsed. One row for each pair of keys, with the
-    fewest edits; documents without an item give no row. Null and empty texts, null keys and items under SEED bytes match
-    nothing. Rows that repeat a key count as one document, items that repeat a key as one item. An empty table on
+    fewest edits; documents without an item give no row. Items under 2 * SEED bytes match exactly. Null and empty texts and
+    items and null keys match nothing. Rows that repeat a key count as one document, items that repeat a key as one item. An empty table on
     either side gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     items = materialize(_items(benchmark, item_key, item_text), "items")
     bitmap = spark.sparkContext.broadcast(_bitmap(items.select("seed")))
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # SEED of them at most
+    longest = items.agg(F.max(F.octet_length("body"))).first()[0] or 0
+    reach = longest + longest // BYTES_AN_EDIT + LEAST_EDITS + budget(longest)
     slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
 
     def find(batches):
         bits = bitmap.value
         for whole in batches:
             for batch in slices(whole, BLOCK_BYTES):
-                doc, seed, at = [], [], []
+                doc, seed, at, around = [], [], [], []
                 bodies = [normal(t) for t in binary(batch.column("text"))]
                 ids = batch.column("doc").to_pylist()
                 owner = np.repeat(np.arange(len(bodies)), [len(b) + 1 for b in bodies])
                 first = np.cumsum([0, *[len(b) + 1 for b in bodies]])
-                h = seed_hashes(np.frombuffer(b"\xff".join([*bodies, b""]), np.uint8))
-                word = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                hit = np.flatnonzero(bits[word >> 3] >> (word & 7).astype(np.uint8) & 1)
-                for i in hit:  # few: a piece's hash, or one in 2^BITMAP_BITS / pieces
-                    doc.append(ids[owner[i]])
-                    seed.append(int(h[i].view(np.int64)))
-                    at.append(int(i - first[owner[i]]))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(seed, pa.int64()), pa.array(at, pa.int64())], names=["doc", "seed", "at"])
-
-    found = slim.mapInArrow(find, "doc long, seed long, at long")
+                for width in widths:
+                    h = seed_hashes(np.frombuffer(b"\xff".join([*bodies, b""]), np.uint8), width)
+                    word = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                    hit = np.flatnonzero(bits[word >> 3] >> (word & 7).astype(np.uint8) & 1)
+                    for i in hit:  # few: a piece's hash, or one in 2^BITMAP_BITS / pieces
+                        here = int(i - first[owner[i]])
+                        doc.append(ids[owner[i]])
+                        seed.append(int(h[i].view(np.int64)))
+                        at.append(here)
+                        around.append(bodies[owner[i]][max(0, here - reach) : here + reach])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(seed, pa.int64()), pa.array(at, pa.int64()), pa.array(around, pa.binary())], names=["doc", "seed", "at", "around"])
+
+    # a hit takes along the text around it, as far as the longest item may reach: no text is moved but this
+    found = slim.mapInArrow(find, "doc long, seed long, at long, around binary")
     # where the item would begin; places within the budget of each other are verified as one
-    width = F.floor(F.octet_length("body") / BYTES_AN_EDIT) + LEAST_EDITS
-    places = found.join(items, "seed").select("doc", "item", F.floor((F.col("at") - F.col("offset")) / width).alias("place"), width.cast("long").alias("width")).distinct()
-    places = materialize(places, "places")
-    bodies = items.select("item", "body").distinct()
-    tasks = places.join(bodies, "item").groupBy("doc").agg(F.collect_set(F.struct("item", "place", "width", "body")).alias("tries"))
+    size = F.octet_length("body")
+    step = F.floor(F.col("size") / BYTES_AN_EDIT) + LEAST_EDITS
+    hits = found.join(items.select("seed", "item", "offset", size.alias("size")), "seed")
+    places = hits.groupBy("doc", "item", "size", F.floor((F.col("at") - F.col("offset")) / step).alias("place"), step.cast("long").alias("width")).agg(F.min(F.struct("at", "around")).alias("hit"))
+    tasks = places.join(items.select("item", "body", size.alias("size")).distinct(), ["item", "size"]).select("doc", "item", "body", "place", "width", "hit.at", "hit.around")
 
     def verify(batches):
-        for whole in batches:
-            for batch in slices(whole):
-                out = {}
-                for doc, t, tries in zip(batch.column("doc").to_pylist(), binary(batch.column("text")), batch.column("tries").to_pylist(), strict=True):
-                    body = normal(t)
-                    for x in tries:
-                        item, k = x["body"], budget(len(x["body"]))
-                        lo = max(0, x["place"] * x["width"] - k)
-                        if out.get((doc, x["item"]), (k + 1,))[0] > 0:
-                            edits, _ = distance(item, body[lo : (x["place"] + 1) * x["width"] + len(item) + k], k)
-                            if edits <= k and edits < out.get((doc, x["item"]), (k + 1,))[0]:
-                                out[doc, x["item"]] = (edits, k, len(item))
-                rows = [(*pair, *got) for pair, got in out.items()]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "item", "edits", "budget", "size"])
-
-    named = slim.join(tasks, "doc").mapInArrow(verify, "doc long, item long, edits long, budget long, size long")
+        for batch in batches:
+            out = []
+            for doc, item, body, place, width, at, around in zip(*(batch.column(c).to_pylist() for c in ("doc", "item", "body", "place", "width", "at", "around")), strict=True):
+                k, from_ = budget(len(body)), max(0, at - reach)
+                lo, hi = max(0, place * width - k), (place + 1) * width + len(body) + k
+                edits, _ = distance(body, around[lo - from_ : max(0, hi - from_)], k)
+                if edits <= k:
+                    out.append((doc, item, edits, k, len(body)))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "item", "edits", "budget", "size"])
+
+    named = tasks.mapInArrow(verify, "doc long, item long, edits long, budget long, size long")
     best = named.groupBy("doc", "item").agg(F.min(F.struct("edits", "budget", "size")).alias("best"))
     return best.select(F.col("doc").alias(key), F.col("item").alias("item_id"), "best.edits", "best.budget", "best.size")
 
