@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotary.llm import decontaminate, html_blocks, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk
+from quotary.llm import decontaminate, html_blocks, importance, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_html": html_blocks.op8_html,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
+    "op13_importance": importance.op13_importance,
 }
 SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_topk": topk.OP6_SQL,
     "op7_secrets": secrets.OP7_SQL,
+    "op13_importance": importance.OP13_SQL,
 }
