@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotary.llm import decontaminate, html_blocks, importance, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk
+from quotary.llm import decontaminate, html_blocks, importance, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk, variants
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html_blocks.op8_html,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
+    "op12_variants": variants.op12_variants,
     "op13_importance": importance.op13_importance,
 }
 SQL = {
@@ -22,5 +23,6 @@ SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_topk": topk.OP6_SQL,
     "op7_secrets": secrets.OP7_SQL,
+    "op12_variants": variants.OP12_SQL,
     "op13_importance": importance.OP13_SQL,
 }
