@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotary.llm import decontaminate, html_blocks, importance, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk, variants
+from quotary.llm import decontaminate, hamming, html_blocks, importance, mixing, ngram_join, quality, secrets, sharding, substrings, tokens, topk, variants
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html_blocks.op8_html,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
+    "op11_neighbours": hamming.op11_neighbours,
     "op12_variants": variants.op12_variants,
     "op13_importance": importance.op13_importance,
 }
