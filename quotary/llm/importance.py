@@ -87,8 +87,8 @@ class Head:
         self.pairs = (_joined(first, second, np.tile(lengths, n)) % buckets).astype(np.int32).reshape(n, n)
 
 
-def pieces(texts: list[bytes | None]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, start of each part, text of each part, whether its first word was read before): lower-cased texts one after another, of PIECE bytes or little more.
+def pieces(texts: list[bytes | None], piece: int = PIECE) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, start of each part, text of each part, whether its first word was read before): lower-cased texts one after another, of `piece` bytes or little more.
 
     A longer text is cut between words into parts; each begins with the last word of the one before, for the pair across the cut.
     """
@@ -100,10 +100,10 @@ def pieces(texts: list[bytes | None]) -> Iterator[tuple[bytes, np.ndarray, np.nd
     for i, text in enumerate(texts):
         lower, at, end, repeats = (text or b"").translate(_LOWER), 0, -1, False
         while True:
-            end = _after_word(lower, max(at + PIECE, end + 1)) if len(lower) - at > PIECE else len(lower)
+            end = _after_word(lower, max(at + piece, end + 1)) if len(lower) - at > piece else len(lower)
             starts.append(size), owners.append(i), again.append(repeats), held.append(lower[at:end])
             size += end - at + 1
-            if size > PIECE:
+            if size > piece:
                 yield out()
                 held, size, starts, owners, again = [], 0, [], [], []
             if end == len(lower):
@@ -151,7 +151,8 @@ def features(joined: bytes, starts: np.ndarray, again: np.ndarray, head: Head) -
     left = np.flatnonzero(part[1:] == part[:-1])  # a pair's first word
     right = left + 1
     pairs = np.empty(len(left), np.int64)
-    frequent = (place[left] >= 0) & (place[left] < PAIRED) & (place[right] >= 0) & (place[right] < PAIRED)
+    paired = (place >= 0) & (place < len(head.pairs))
+    frequent = paired[left] & paired[right]
     pairs[frequent] = head.pairs[place[left[frequent]], place[right[frequent]]]
     rest = ~frequent & (length[right] <= LONG)
     pairs[rest] = _joined(_spaced(crc[left[rest]]), crc[right[rest]], length[right[rest]]) % head.buckets
@@ -162,7 +163,7 @@ def features(joined: bytes, starts: np.ndarray, again: np.ndarray, head: Head) -
     return np.concatenate([(crc % head.buckets)[new], pairs]), np.concatenate([part[new], part[left]]), np.concatenate([np.ones(int(new.sum()), bool), np.zeros(len(left), bool)])
 
 
-def frequent_words(docs: DataFrame, text: str, most: int = HEAD) -> list[bytes]:
+def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
     """The most frequent words of LOOKED_AT texts that a hash chooses, `most` at most, most frequent first."""
     word = F.explode(F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     n = docs.count()
@@ -204,7 +205,7 @@ def noise(key: Column, seed: int) -> Column:
 
 def weigh(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", target_text: str = "text", buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """(key, n_words, n_features, weight, score), a row a row of docs: weight is the floored mean gain of its features."""
-    head = Head(frequent_words(docs, text), buckets)
+    head = Head(frequent_words(docs, text, HEAD), buckets)
     gain = gains(bucket_totals(docs, text, head), bucket_totals(target, target_text, head))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
