@@ -109,22 +109,25 @@ def ball(part: int, radius: int) -> np.ndarray:
     return every[np.bitwise_count(every) <= radius].astype(np.uint16 if part == 16 else np.uint8)
 
 
+#: Values that are gone through in the time of looking one up.
+SEEK = 32
+
+
 def ball_size(part: int, radius: int) -> int:
     return sum(math.comb(part, i) for i in range(radius + 1))
 
 
 class Index:
-    """A block's codes by the values of each substring."""
+    """A block's codes by the values of each substring: for each, its values, and the rows that have them."""
 
     def __init__(self, codes: np.ndarray, part: int = PART):
-        self.codes, self.part = codes, part
-        self.values, self.starts, self.rows, self.inverse = [], [], [], []
-        for t in range(codes.shape[1]):
-            values, inverse = np.unique(codes[:, t], return_inverse=True)
-            self.values.append(values)
-            self.rows.append(np.argsort(inverse, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))]))
-            self.inverse.append(inverse)
+        self.part = part
+        self.columns = np.ascontiguousarray(codes.T)
+        self.whole = np.ascontiguousarray(codes.view(np.uint64).T)
+        self.rows = np.argsort(self.columns, axis=1, kind="stable")
+        ordered = np.take_along_axis(self.columns, self.rows, 1)
+        self.starts = [np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]])) for o in ordered]
+        self.values = [o[s[:-1]] for o, s in zip(ordered, self.starts, strict=True)]
 
     def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances) of every code within the radius of the query's.
@@ -132,29 +135,29 @@ class Index:
         With m substrings and radius = a * m + b, a code within it differs in at most a bits in one of the first b + 1
         substrings, or in fewer than a in one of the others: else it differed in more than the radius in all.
         """
-        m = self.codes.shape[1]
+        m, n = self.columns.shape
         share, more = divmod(radius, m)
-        hit = np.zeros(len(self.codes), bool)
+        hit = np.zeros(n, bool)
         for t in range(m):
             r = share if t <= more else share - 1
             if r < 0:
                 break
             values = self.values[t]
-            if ball_size(self.part, r) < len(values):  # look the probes up
+            if ball_size(self.part, r) * SEEK < n:  # look the probes up
                 probes = ball(self.part, r) ^ query[t]
                 at = np.searchsorted(values, probes)
                 at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == probes)]
-            else:  # fewer values are there than probes: go through those
-                near = np.bitwise_count(values ^ query[t]) <= r
-                if near.mean() > 0.1:
-                    hit |= near[self.inverse[t]]
-                    continue
-                at = np.flatnonzero(near)
-            for a in at:
-                hit[self.rows[t][self.starts[t][a] : self.starts[t][a + 1]]] = True
-        rows = np.flatnonzero(hit)
-        far = np.bitwise_count(self.codes[rows].view(np.uint64) ^ query.view(np.uint64)).sum(1, dtype=np.int64)
-        return rows[far <= radius], far[far <= radius]
+                for a in at:
+                    hit[self.rows[t, self.starts[t][a] : self.starts[t][a + 1]]] = True
+            else:  # so many probes take longer than going through the values, row by row
+                hit |= np.bitwise_count(self.columns[t] ^ query[t]) <= r
+        few = 4 * np.count_nonzero(hit) < n
+        rows = np.flatnonzero(hit) if few else slice(None)
+        far = np.zeros(n, np.uint16) if not few else np.zeros(len(rows), np.uint16)
+        for column, q in zip(self.whole, query.view(np.uint64), strict=True):
+            far += np.bitwise_count(column[rows] ^ q)
+        near = np.flatnonzero(far <= radius) if few else np.flatnonzero((far <= radius) & hit)
+        return (rows[near] if few else near), far[near].astype(np.int64)
 
 
 def in_order(x: np.ndarray, q: np.ndarray) -> np.ndarray:
