@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotary.functions.text import let, trim_quotes, words
+from quotary.functions.text import edges, let, trim_quotes, words
 
 #: Capitalised words that are no names; number words; words that may be dropped.
 CAPITAL_STOP = (
@@ -21,6 +23,8 @@ DROP_STOP = (
 #: What stands before a word that is capitalised for its place, and how such a word may open.
 OPENS = r"[.!?:;\"'“‘(]$"
 MARKS = r"^[\"'“‘(]"
+#: What is cut off the ends of a word.
+LETTER_ENDS, PLAIN_ENDS, OWNER = r"^[^A-Za-z]+|[^A-Za-z']+$", r"^[^A-Za-z0-9]+|[^A-Za-z0-9']+$", "'s$"
 
 
 def consonant_skeleton(word: Column) -> Column:
@@ -33,38 +37,45 @@ def skeletons(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r"[^A-Za-z'-]+"), consonant_skeleton))
 
 
-def _inner_names(text: Column, stop: list[str]) -> Column:
-    """Capitalised words, but for those of `stop` and those whose place would capitalise any word."""
-    toks = words(text)
-    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^A-Za-z]+|[^A-Za-z']+$", ""), "'s$", "")
-    pick = lambda ts: F.filter(F.transform(ts, lambda t, i: F.when((i > 0) & ~F.get(ts, i - 1).rlike(OPENS) & ~t.rlike(MARKS) & bare(t).rlike("^[A-Z]") & ~F.lower(bare(t)).isin(*stop), bare(t))), lambda w: w.isNotNull())
-    return let(toks, pick)
+def tokens(text: Column) -> Column:
+    """array<struct<name, plain, inner>>: each word cut to what its letters, or its letters and digits, hold, and whether it
+    stands where a small word wouldn't be capitalised."""
+    cut = lambda t, ends: F.regexp_replace(F.regexp_replace(t, ends, ""), OWNER, "")
+    inner = lambda ts, t, i: (i > 0) & ~F.coalesce(F.get(ts, i - 1), F.lit("")).rlike(OPENS) & ~t.rlike(MARKS)
+    return let(words(text), lambda ts: F.transform(ts, lambda t, i: F.struct(cut(t, LETTER_ENDS).alias("name"), cut(t, PLAIN_ENDS).alias("plain"), inner(ts, t, i).alias("inner"))))
+
+
+def _names(text: Column, stop: list[str], keep: Callable[[Column], Column]) -> Column:
+    """Capitalised words inside sentences that aren't of `stop` and that `keep` holds for."""
+    return F.transform(F.filter(tokens(text), lambda t: t["inner"] & t["name"].rlike("^[A-Z]") & ~F.lower(t["name"]).isin(*stop) & keep(t["name"])), lambda t: t["name"])
 
 
 def added_names(quote: Column, known: Column) -> Column:
     """U8: names in a quote whose skeleton, of two letters or more, isn't among the known text's."""
-    return let(skeletons(known), lambda k: F.filter(_inner_names(quote, CAPITAL_STOP), lambda w: (F.length(consonant_skeleton(w)) >= 2) & ~F.array_contains(k, consonant_skeleton(w))))
+    new = lambda k: lambda w: (F.length(consonant_skeleton(w)) >= 2) & ~F.array_contains(k, consonant_skeleton(w))
+    return let(skeletons(known), lambda k: _names(quote, CAPITAL_STOP, new(k)))
 
 
 def dropped_words(ours: Column, published: Column) -> Column:
     """Numbers of ours that the published wording lacks, and names whose skeleton, or first four letters if that is short,
     it lacks."""
     low = F.filter(F.split(F.lower(F.coalesce(published, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[^A-Za-z0-9]+|[^A-Za-z0-9']+$", ""), "'s$", "")
-    numbers = let(low, lambda p: F.filter(F.transform(words(ours), bare), lambda w: (F.lower(w).isin(*NUMBER_WORDS) | w.rlike("^[0-9]+$")) & ~F.array_contains(p, F.lower(w))))
+    number = lambda w: F.lower(w).isin(*NUMBER_WORDS) | w.rlike("^[0-9]+$")
 
-    def lost(s: Column, p: Column) -> Column:
+    def lacking(there: Column) -> Column:
+        """there: struct<k: skeletons, p: words> of the published wording."""
         stem = lambda w: F.left(F.lower(w), F.lit(4))
-        return F.filter(_inner_names(ours, DROP_STOP), lambda w: ~F.lower(w).isin(*NUMBER_WORDS) & F.when(F.length(consonant_skeleton(w)) >= 3, ~F.array_contains(s, consonant_skeleton(w))).otherwise(~F.exists(p, lambda v: F.left(v, F.lit(4)) == stem(w))))
+        has = lambda w: F.when(F.length(consonant_skeleton(w)) >= 3, F.array_contains(there["k"], consonant_skeleton(w))).otherwise(F.exists(there["p"], lambda v: F.left(v, F.lit(4)) == stem(w)))
+        numbers = F.filter(F.transform(tokens(ours), lambda t: t["plain"]), lambda w: number(w) & ~F.array_contains(there["p"], F.lower(w)))
+        return F.concat(numbers, _names(ours, DROP_STOP, lambda w: ~F.lower(w).isin(*NUMBER_WORDS) & ~has(w)))
 
-    names = let(skeletons(published), lambda s: let(low, lambda p: lost(s, p)))
-    return F.concat(numbers, names)
+    return let(F.struct(skeletons(published).alias("k"), low.alias("p")), lacking)
 
 
 def person_shift(ours: Column, published: Column) -> Column:
     """singular first-person words that the published wording adds where ours is in the plural."""
-    singular = lambda t: F.array_distinct(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"\b(I|me|my|mine|myself)\b"), F.lit(1)))
-    return F.when(F.coalesce(ours, F.lit("")).rlike(r"(?i)\b(?:we|us|our|ours|ourselves)\b"), F.array_except(singular(published), singular(ours))).otherwise(F.array().cast("array<string>"))
+    singular = lambda t: F.array_distinct(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(edges(r"\b(I|me|my|mine|myself)\b")), F.lit(1)))
+    return F.when(F.coalesce(ours, F.lit("")).rlike(edges(r"(?i)\b(?:we|us|our|ours|ourselves)\b")), F.array_except(singular(published), singular(ours))).otherwise(F.array().cast("array<string>"))
 
 
 def _plain(text: Column, least: int) -> Column:
@@ -168,5 +179,6 @@ def with_default(values: Column, key: Column, default: Column) -> Column:
 
 
 def term_without_source(target: Column, term: str, source: Column, phrase: str) -> Column:
-    """P20: whether a term stands in the translation although the source lacks the phrase that it renders."""
-    return target.rlike(term) & ~F.coalesce(source, F.lit("")).rlike(phrase)
+    """P20: whether a term stands in the translation although the source lacks the phrase that it renders. `\\b` in either pattern is
+    the edge of a word of ASCII letters."""
+    return target.rlike(edges(term)) & ~F.coalesce(source, F.lit("")).rlike(edges(phrase))

@@ -153,5 +153,5 @@ def loose_words(text: Column) -> Column:
 def place_slug(name: Column) -> Column:
     """F32: decomposed, ASCII only, words for a place of worship dropped, dashes between words, 30 characters."""
     plain = F.lower(F.regexp_replace(normalized(name, "NFKD"), r"[^\x00-\x7f]", ""))
-    dashed = F.regexp_replace(F.regexp_replace(plain, r"\b(masjid|mosque|jami|jamia)\b", ""), "[^a-z0-9]+", "-")
+    dashed = F.regexp_replace(F.regexp_replace(plain, X.edges(r"\b(masjid|mosque|jami|jamia)\b"), ""), "[^a-z0-9]+", "-")
     return F.left(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit(30))

@@ -25,6 +25,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: The edge of a word, whose characters are ASCII letters, digits and underscores, wherever `\b` takes in other letters.
+EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def edges(pattern: str) -> str:
+    """The pattern with every `\b` read over ASCII letters alone."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def words(text: Column) -> Column:
     """words between blanks; none for null."""
     return F.coalesce(F.filter(F.split(text, BLANKS), lambda w: w != ""), F.array().cast("array<string>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotary.functions.text import let, words
+from quotary.functions.text import half_up, let, words
 from quotary.operators.grams import gram_hashes
 from quotary.operators.quotes import tolerant_run
 from quotary.sources.scratch import materialize
@@ -293,7 +293,7 @@ def strictly_increasing(rows: DataFrame, key: str, order: str, value: str, weigh
     r = r.withColumns({"_t0": t0, "_t1": nxt, "_n": size, "_i": F.row_number().over(own) - 1, "_all": F.sum(F.greatest(F.lit(1), weight)).over(Window.partitionBy(key, "_run")), "_acc": F.coalesce(F.sum(F.greatest(F.lit(1), weight)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     t1 = F.coalesce("_t1", F.col("_t0") + F.col("_n"))
     between = F.col("_t0") + (t1 - F.col("_t0")) * F.col("_acc") / F.col("_all")
-    return r.withColumn(out, F.when(F.col("_good"), F.col(value)).otherwise(F.round(between, 1))).drop("_good", "_run", "_t0", "_t1", "_n", "_i", "_all", "_acc")
+    return r.withColumn(out, F.when(F.col("_good"), F.col(value)).otherwise(half_up(between, 1))).drop("_good", "_run", "_t0", "_t1", "_n", "_i", "_all", "_acc")
 
 
 def continued(refs: DataFrame, doc: str, block: str) -> DataFrame:

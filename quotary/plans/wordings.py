@@ -232,7 +232,7 @@ SELECT conv_id, turn, len(cut)::BIGINT AS n, len(b) > 0 AND len(cut) >= 5 AND pr
     "increasing_times": """WITH e AS (SELECT user_id, event_id, value, greatest(1, json_extract_string(props, '$.k')::BIGINT) AS k, coalesce(value > max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS good FROM events),
 r AS (SELECT *, sum(good::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM e), g AS (SELECT user_id, run, value AS t0, lead(value) OVER (PARTITION BY user_id ORDER BY run) AS t1 FROM r WHERE good),
 a AS (SELECT r.*, t0, coalesce(t1, t0 + count(*) OVER w) AS t1, sum(k) OVER w AS every, coalesce(sum(k) OVER (PARTITION BY r.user_id, r.run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc FROM r JOIN g USING (user_id, run) WINDOW w AS (PARTITION BY r.user_id, r.run))
-SELECT user_id, event_id, CASE WHEN good THEN value ELSE round(t0 + (t1 - t0) * acc / every, 1) END AS t FROM a""",
+SELECT user_id, event_id, CASE WHEN good THEN value ELSE floor((t0 + (t1 - t0) * acc / every) * 10 + 0.5) / 10 END AS t FROM a""",
     "made_up_speech": """WITH e AS (SELECT user_id, event_type, value * 10 AS level, epoch_us(ts) / 1e6 AS t FROM events), w AS (SELECT user_id, t + 60 AS a, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM e WHERE event_type = 'view'), g AS (SELECT * FROM w WHERE b - a >= 3600),
 f AS (SELECT * FROM e WHERE event_type <> 'view'), l AS (SELECT user_id, level / 10 AS least FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM f WHERE level > 200) WHERE r = n // 2 + 1),
 v AS (SELECT g.user_id, a, b, round(count(*) * 0.5, 2) AS seconds FROM g JOIN f ON f.user_id = g.user_id AND f.t >= a AND f.t < b JOIN l ON l.user_id = g.user_id WHERE level > least GROUP BY ALL HAVING round(count(*) * 0.5, 2) >= 1)

@@ -30,17 +30,17 @@ CANON = [
     (79, 19, "وأهديك إلى ربك فتخشى"),
 ]
 TEXTS = {
-    "alef": "وقال لهما اذهبا إلى فرعون إنه طغى فقولا له قولا لينا لعله يتذكر أو يخشى",
-    "next": "قال له اذهب إلى فرعون إنه طغى قال رب اشرح لي صدري ويسر لي أمري",
-    "other": "وقال اذهب إلى فرعون إنه طغى فقل هل لك إلى أن تزكى وأهديك إلى ربك فتخشى",
-    "cited": "بما ييسره له من رزق الدنيا ورزق الآخرة من حيث لا يحتسب، قال تعالى: ومن يتق الله يجعل له مخرجاً ويرزقه من حيث لا يحتسب. وفتنة الغنى أعظم",
-    "opener": "من يموت على الإيمان. أعوذ بالله من الشيطان الرجيم: انظر كيف فضلنا بعضهم على بعض وللآخرة أكبر درجات وأكبر تفضيلاً. بارك الله لي ولكم",
-    "denied": "قريب منا قادر على إجابتنا، وأنه لا يصيبنا إلا ما كتب الله لنا، وأن ما أخطأنا",
-    "none": "كلام لا يشبه شيئا مما في المتن أبدا وليس منه",
-    "plea": "يا قوي يا متين. اللهم جنبنا الفتن ما ظهر منها وما بطن، عن بلدنا هذا",
-    "long plea": "اللهم احفظ المسلمين في فلسطين، اللهم احفظهم من بين أيديهم ومن خلفهم وعن أيمانهم وعن شمائلهم ومن فوقهم",
-    "brief": "فإن تساويا في التقوى استويا في الفضيلة. إن أكرمكم عند الله أتقاكم. والصبر والشكر",
-    "own plea": "يا ذا الجلال والإكرام اللهم آتنا في الدنيا حسنة وفي الآخرة حسنة وقنا عذاب النار",
+    "alef": "ثم جاءهما الأمر اذهبا إلى فرعون إنه طغى فقولا له قولا لينا لعله يتذكر أو يخشى",
+    "next": "فناداه في الوادي اذهب إلى فرعون إنه طغى قال رب اشرح لي صدري ويسر لي أمري",
+    "other": "وفي موضع ثالث اذهب إلى فرعون إنه طغى فقل هل لك إلى أن تزكى وأهديك إلى ربك فتخشى",
+    "cited": "يأتيه الفرج والمال الكثير من حيث لا يحتسب، قال تعالى: ومن يتق الله يجعل له مخرجاً ويرزقه من حيث لا يحتسب. فهذا وعد صادق",
+    "opener": "تأملوا حال الناس اليوم. أعوذ بالله من الشيطان الرجيم: انظر كيف فضلنا بعضهم على بعض وللآخرة أكبر درجات وأكبر تفضيلاً. نفعنا الله بما سمعنا",
+    "denied": "نحن على يقين راسخ، وأنه لا يصيبنا إلا ما كتب الله لنا، وأن كل أمر بقدر",
+    "none": "هذه جملة من عندنا ليست من المتن وليس فيها شيء منه",
+    "plea": "يا أرحم الراحمين. اللهم جنبنا الفتن ما ظهر منها وما بطن، عن أهلنا جميعا",
+    "long plea": "اللهم كن لأهلنا في كل أرض، اللهم احفظهم من بين أيديهم ومن خلفهم وعن أيمانهم وعن شمائلهم ومن تحتهم",
+    "brief": "لا يسبق أحد أحدا بنسبه. إن أكرمكم عند الله أتقاكم. فالعمل هو الميزان",
+    "own plea": "يا أكرم الأكرمين اللهم آتنا في الدنيا حسنة وفي الآخرة حسنة وقنا عذاب النار",
 }
 
 
