@@ -37,9 +37,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-#: Elements without an end, and elements whose content is no text.
+#: Elements without an end, and elements whose content is markup but no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object".split())
+RAW = frozenset("svg template".split())
 #: What the elements close when they begin.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements over which no implied end reaches.
@@ -50,17 +50,51 @@ LITERAL = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script",
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
+def _tokens(page: str) -> list[tuple[str, str, str, str]]:
+    """(end mark, tag, what follows it, text) of each tag and each piece of text. Of literal elements only their tags are there; one of
+    another kind than script and style that has no end has its content read."""
+    out, at = [], 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
+        end, tag, rest = m.group(1) or "", (m.group(2) or "").lower(), m.group(3) or ""
+        if tag:
+            out.append((end, tag, rest, ""))
+            if tag in LITERAL and not end and not rest.rstrip().endswith("/"):
+                found = LITERAL[tag].search(page, at)
+                if found or tag in ("script", "style"):
+                    at = found.start() if found else len(page)
+        elif not m.group().startswith(("<!", "<?")):
+            out.append(("", "", "", m.group()))
+    return out
+
+
+def _ends(tokens: list[tuple[str, str, str, str]]) -> dict[int, int]:
+    """Of each element of RAW that has an end the place of the token that ends it, nested ones included."""
+    open_: dict[str, list[int]] = {tag: [] for tag in RAW}
+    out = {}
+    for i, (end, tag, rest, _) in enumerate(tokens):
+        if tag in RAW:
+            if end and open_[tag]:
+                out[open_[tag].pop()] = i
+            elif not end and not rest.rstrip().endswith("/"):
+                open_[tag].append(i)
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     """(tag path, text, share of it in links) of every leaf block with text, in page order.
 
-    Character references are decoded, white space is one blank, ends are trimmed. Scripts, styles, comments and
-    declarations have no text. Ends that are missing are implied as browsers do for p, li, dd, dt, td, th, tr, option.
+    Character references are decoded, white space is one blank, ends are trimmed. Scripts, styles, comments, declarations,
+    drawings and templates have no text; a drawing or template without an end is passed over, and what follows it is read. Formulas and
+    what objects hold are text. Ends that are missing are implied as browsers do for p, li, dd, dt, td, th, tr, option.
     """
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = in_link = 0
-    page, at, raw = page or "", 0, ""
+    tokens = _tokens(page or "")
+    ends, past = _ends(tokens), -1
 
     def close() -> None:
         nonlocal linked
@@ -70,29 +104,16 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         parts.clear()
         linked = 0
 
-    while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        end, tag, rest = m.group(1), (m.group(2) or "").lower(), m.group(3)
-        if tag in LITERAL and not end and not rest.rstrip().endswith("/"):
-            found = LITERAL[tag].search(page, at)
-            at = found.start() if found else len(page)
-            continue
-        if raw:
-            if tag == raw and end:
-                raw = ""
+    for at, (end, tag, rest, piece) in enumerate(tokens):
+        if at <= past:
             continue
         if not tag:
-            piece = m.group()
-            if piece.startswith(("<!", "<?")):
-                continue
             piece = html.unescape(piece)
             parts.append(piece)
             linked += len(piece.strip()) * (in_link > 0)
             continue
         if tag in RAW:
-            if not end and not rest.rstrip().endswith("/"):
-                raw = tag
+            past = ends.get(at, past)
             continue
         if tag == "br":
             parts.append(" ")
@@ -117,7 +138,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             elif stack[i][0] in SCOPE:
                 break
         if tag not in VOID:
-            names = [x for g in NAMES.findall(rest or "") for x in re.split(r"[^a-z0-9]+", "".join(g).lower()) if x]
+            names = [x for g in NAMES.findall(rest) for x in re.split(r"[^a-z0-9]+", "".join(g).lower()) if x]
             stack.append((tag, (tag, *("." + x for x in names))))
     close()
     return out

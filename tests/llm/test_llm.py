@@ -380,6 +380,48 @@ def test_what_scripts_hold_is_not_read_as_markup():
     assert [text for _, text, _ in html_blocks.blocks('<p>One.<svg><script>a<b</script><a title="</svg>">x</a></svg><p>Two.')] == ["One.", "Two."]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p>One.</p><object data="a.swf"><p>Two.</p><p>Three.</p></article>', ["One.", "Two.", "Three."]),
+    ("<p>Let <math><mi>x</mi></math> be.</p>", ["Let x be."]),
+    ("<p>A<svg><g><svg><text>in</text></svg><text>out</text></g></svg>B<p>C", ["AB", "C"]),
+    ("<p>A<svg><text>t</text><p>B</p><svg><text>u</text></svg>C", ["At", "B", "C"]),
+    ("<p>A<template><p>no<template>no</template>no</template>B", ["AB"]),
+    ("<p>A<template><p>B", ["A", "B"]),
+    ("<p>A</svg>B</template>C", ["ABC"]),
+    ("<p>A<svg/>B<noscript><p>C", ["AB", "C"]),
+    ("<p>A<iframe>no<p>no</iframe>B", ["AB"]),
+    ("<svg>" * 3000 + "<p>A" + "</svg>" * 1500 + "<p>B", ["B"]),
+])
+def test_drawings_formulas_objects_and_templates(page, want):
+    assert [text for _, text, _ in html_blocks.blocks(page)] == want
+
+
+def test_network_is_that_of_one_block_at_a_time():
+    """Both directions a cell at a time, in plain sums, against the pages labelled in lock step."""
+    net, size = html_blocks.Labeller(5), html_blocks.HIDDEN
+    found = [html_blocks.blocks(x) for x in (PAGE, "<p>One<p>two", "<div>x</div>" * 9)]
+    most = max(map(len, found))
+    x, live = np.zeros((3, most, html_blocks.INPUTS), np.float32), np.zeros((3, most), bool)
+    for i, b in enumerate(found):
+        x[i, : len(b)], live[i, : len(b)] = html_blocks.vectors(b), True
+    got = net.label(x, live)
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    for i, b in enumerate(found):
+        rows = [np.array(v, float) for v in html_blocks.vectors(b)]
+        states = {}
+        for d in "fb":
+            h, c, out = np.zeros(size), np.zeros(size), []
+            for v in rows if d == "f" else rows[::-1]:
+                g = v @ w["x" + d] + h @ w["h" + d] + w["c" + d]
+                c = squash(g[size : 2 * size]) * c + squash(g[:size]) * np.tanh(g[3 * size :])
+                h = squash(g[2 * size : 3 * size]) * np.tanh(c)
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        want = [squash(np.concatenate([f, r, v]) @ w["o"] + w["q"][0]) for f, r, v in zip(states["f"], states["b"], rows, strict=True)]
+        assert np.allclose(got[i, : len(b)], want, atol=1e-4)
+
+
 def test_html_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, PAGE, "x"), (1, None, PAGE, "x"), (None, "u", None, "x"), (2, "u", "", "x"), (3, "u", "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     got = html_blocks.with_main_text(pages, html_blocks.fit(pages)).collect()
