@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -40,9 +40,13 @@ class Language:
     deliberate: str = "(?!)"
     phrases: tuple[str, ...] = ()
     rituals: tuple[str, ...] = ()
-    forbidden: dict = field(default_factory=dict)
 
 
+#: By language the words of another faith, old literary forms and forms to avoid with those to use, and the scripts.
+TERM_RULES = {
+    "bn": {"forbidden": ["ঈশ্বর", "ভগবান", "স্বর্গ", "নরক", "ধর্মভীরু"], "old": ["িয়াছ", "িতেছ", "তাহাদের", "াদিগ"], "avoid": {"তায়ালা": "তাআলা", "সর্দার": "নেতা"}},
+}
+SCRIPTS = {"bn": "Bengali", "ar": "Arabic", "ur": "Arabic", "en": "Latin", "de": "Latin", "es": "Latin", "fr": "Latin"}
 #: The script's citing words, negations, pleas, clitics, stop words, formula words, fixed phrases and rituals.
 ARABIC = Language(
     name="ar",

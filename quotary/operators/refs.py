@@ -103,16 +103,52 @@ def cross_check(claims: DataFrame, matches: DataFrame, keys: list[str], claimed:
     )
 
 
-def drop_contained(df: DataFrame, key: str, text: str, rank: str, seed: int = 3) -> DataFrame:
-    """Texts that stand in another one go; of equal texts the first by rank and key stays. Pairs are found by
-    the first `seed` words, so a text meets only those that hold its beginning."""
-    w = words(F.col(text))
-    own = df.withColumn("_g", F.array_join(F.slice(w, 1, seed), " ")).withColumn("_n", F.size(w))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (seed - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, seed), " "))
-    held = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(rank).alias("_rank"), F.explode(F.array_distinct(grams)).alias("_g"))
-    longer = (F.length("_t") > F.length(text)) | ((F.col("_rank") < F.col(rank)) | ((F.col("_rank") == F.col(rank)) & (F.col("_k") < F.col(key))))
-    lost = own.join(held, "_g").where((F.col("_k") != F.col(key)) & F.contains("_t", F.col(text)) & longer).select(key).distinct()
-    return df.join(lost, key, "left_anti")
+def _places(text: Column, n: Column) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+
+
+def contained(df: DataFrame, key: str, text: str, seed: int = 12) -> DataFrame:
+    """(key, held_by): J23. Pairs of different texts of which one stands in the other, wherever it begins and however short it is.
+
+    A text of `seed` characters or more meets others by that run of its characters which the fewest texts have; a shorter one by
+    itself, and longer texts offer runs of just those lengths that short texts have. Runs that one text alone has meet no one. Null
+    and empty texts stand in none. Keys name rows; rows of equal texts are taken together before they meet."""
+    one = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t <> ''")
+    texts = one.groupBy("_t").agg(F.min("_k").alias("_id"))
+    sizes = texts.select(F.least(F.length("_t"), F.lit(seed)).alias("_n")).distinct()
+    runs = texts.join(F.broadcast(sizes), F.col("_n") <= F.length("_t")).select("_id", "_n", F.explode(_places(F.col("_t"), F.col("_n"))).alias("_g"))  # `seed` lengths at most
+    common = runs.groupBy("_n", "_g").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    own = texts.select("_id", F.least(F.length("_t"), F.lit(seed)).alias("_n"))
+    asks = runs.join(own, ["_id", "_n"]).join(common, ["_n", "_g"], "left").groupBy("_id", "_n").agg(F.min(F.struct(F.coalesce("_df", F.lit(1)).alias("d"), F.col("_g").alias("g"))).alias("_m")).where("_m.d > 1")
+    asks = asks.select(F.col("_id").alias("_a"), "_n", F.col("_m.g").alias("_g"))
+    met = asks.join(runs.select(F.col("_id").alias("_b"), "_n", "_g"), ["_n", "_g"]).where("_a <> _b").select("_a", "_b").distinct()
+    whole = lambda side: texts.select(F.col("_id").alias(f"_{side}"), F.col("_t").alias(f"_t{side}"))
+    sure = met.join(whole("a"), "_a").join(whole("b"), "_b").where(F.contains("_tb", F.col("_ta"))).select("_a", "_b")
+    return sure.select(F.col("_a").alias(key), F.col("_b").alias("held_by"))
+
+
+def drop_contained(df: DataFrame, key: str, text: str, rank: str) -> DataFrame:
+    """Texts that stand in another one go; of equal texts the first by rank and key stays. Null and empty texts stay."""
+    order = Window.partitionBy(text).orderBy(rank, key)
+    first = df.where(F.col(text) != "").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    kept = first.join(contained(first, key, text).select(key).distinct(), key, "left_anti")
+    return kept.unionByName(df.where(F.col(text).isNull() | (F.col(text) == "")))
+
+
+def deduplicated(refs: DataFrame, doc: str, order: str, text: str, *, method: str, retired: str, formulas: DataFrame, passage: str, formula: str, content: Column, aloud: Column, alike: float = 0.55, least: int = 4) -> DataFrame:
+    """Refs without those of a retired method, then without those that are one of the `formulas`(passage, formula) by Jaccard, then
+    without those of fewer than `least` words of content (two are enough where `aloud`), then without those that stand in one
+    kept before in their document or hold one. Of what holds each other the first by order stays; null texts go as they have no content.
+    A document's references of some hundred words are compared with one another; there are no pairs across documents."""
+    live = refs.withColumns({"_c": F.size(words(content)), "_aloud": F.coalesce(aloud, F.lit(False))}).where(F.col(text).isNotNull() & (F.col(method) != retired))
+    ritual = like_any(live, [doc, order], text, formulas, passage, formula, alike, 2.0, 2.0).select(doc, order)
+    good = live.join(ritual, [doc, order], "left_anti").where((F.col("_c") >= least) | (F.col("_aloud") & (F.col("_c") >= 2)))
+    listed = good.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_l"))
+    fits = lambda kept, x: ~F.exists(kept, lambda k: F.contains(k["t"], x["t"]) | F.contains(x["t"], k["t"]))
+    fold = F.aggregate("_l", F.slice("_l", 1, 0), lambda kept, x: F.when(fits(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    chosen = listed.select(doc, F.explode(fold).alias("k")).select(doc, F.col("k.o").alias(order))
+    return good.drop("_c", "_aloud").join(chosen, [doc, order], "left_semi")
 
 
 def locate_unique(docs: DataFrame, doc: str, text: str, canon: DataFrame, passage: str, canon_text: str, first: int = 5, back: int = 0) -> DataFrame:

@@ -102,3 +102,41 @@ def remap_timeline(words: DataFrame, inserts: DataFrame, key: str, at: str, leng
     both = words.withColumn("_ins", F.lit(0.0)).unionByName(inserts.select(key, at, F.col(length).alias("_ins")), allowMissingColumns=True).withColumn("_side", F.when(F.col("_ins") > 0, 0).otherwise(1))
     w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(out, F.col(at) + F.sum("_ins").over(w)).where("_side = 1").drop("_ins", "_side")
+
+
+def overlapping_windows(series: DataFrame, key: str, total: str, length: float, overlap: float) -> DataFrame:
+    """(key, window, start, lo, hi): X35. Windows of `length` that begin a length less the overlap apart, as long as one begins before the
+    last overlap of a series' total; cores [lo, hi) meet in the middle of the overlaps, the first and the last are open at their ends."""
+    step = length - overlap
+    last = F.greatest(F.ceil((F.col(total) - overlap) / step) - 1, F.lit(0)).cast("int")
+    w = series.select(key, last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("window")).withColumn("start", F.col("window") * F.lit(float(step)))
+    lo = F.when(F.col("window") == 0, float("-inf")).otherwise(F.col("start") + overlap / 2)
+    hi = F.when(F.col("window") == F.col("_last"), float("inf")).otherwise(F.col("start") + step + overlap / 2)
+    return w.select(key, "window", "start", lo.alias("lo"), hi.alias("hi"))
+
+
+def stitched(heard: DataFrame, windows: DataFrame, key: str, at: str = "at") -> DataFrame:
+    """Rows that were timed within their `window` with times of the whole series, those alone that lie in their window's core: a row
+    that two windows time alike counts in one."""
+    moved = heard.join(windows.select(key, "window", "start", "lo", "hi"), [key, "window"]).withColumn(at, F.col(at) + F.col("start"))
+    return moved.where((F.col(at) >= F.col("lo")) & (F.col(at) < F.col("hi"))).drop("start", "lo", "hi")
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, lo: str, hi: str, width: float) -> DataFrame:
+    """Points with each range [lo, hi) of their key that holds them. Ranges stand in all buckets of `width` that they touch and points in
+    one, so both meet by an equi-join whatever the ranges' overlaps; choose a width near the usual range's. An open end
+    reaches no further than the points of its key do."""
+    bucket = lambda x: F.floor(x / width).cast("long")
+    ends = points.groupBy(key).agg(F.min(at).alias("_min"), F.max(at).alias("_max"))
+    touched = F.sequence(bucket(F.greatest(F.col(lo), F.col("_min"))), bucket(F.least(F.col(hi), F.col("_max"))))
+    spread = ranges.join(ends, key).where((F.col(lo) <= F.col("_max")) & (F.col(hi) > F.col("_min")) & (F.col(lo) < F.col(hi))).withColumn("_b", F.explode(touched)).drop("_min", "_max")
+    return points.withColumn("_b", bucket(F.col(at))).join(spread, [key, "_b"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_b")
+
+
+def first_ending_after(rows: DataFrame, segments: DataFrame, key: str, at: str, end: str, carry: str, out: str) -> DataFrame:
+    """Rows with the first segment of their key that ends after them, the smaller `carry` of equal ends; past the last end null. Both
+    sides stand in one sorted series, in which each row sees the next end."""
+    held = F.struct(F.col(end).alias("at"), F.col(carry).alias("c"))
+    both = rows.withColumn("_side", F.lit(1)).unionByName(segments.groupBy(key, end).agg(F.min(carry).alias(carry)).select(key, F.col(end).alias(at), held.alias("_h")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(0, Window.unboundedFollowing)  # an end at a row's own time stands before it
+    return both.withColumn(out, F.first("_h", ignorenulls=True).over(w)["c"]).where("_side = 1").drop("_side", "_h")
