@@ -369,3 +369,25 @@ def neighbour_guard(rows: DataFrame, key: str, order: str, text: str, fix: str)
     cut = let(F.array_compact(F.array("_p", "_n")), lambda n: removes_neighbour(F.col(text), F.col(fix), n))
     bad = ((b < 0.5 * a) & ~F.coalesce(cut, F.lit(False))) | (b > 1.8 * a)
     return r.withColumn("verdict", F.when(F.col(fix).isNull(), "none").when(bad, "length").when(repeats_neighbour(F.col(text), F.col(fix), F.col("_p"), F.col("_n")), "neighbour").otherwise("applied")).drop("_p", "_n")
+
+
+def reviewed(rows: DataFrame, corrections: DataFrame, key: str, order: str, text: str, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows with the last `text`, log(key, order, round, severity, verdict)): X32. Rounds of corrections(key, order, round, fix, severity): the first is over
+    all rows, each later one over those alone that the round before changed, until none is changed or `rounds` are over.
+
+    A correction of severity `low`, without a text or equal to its row's is not applied (`low`, `none`, `same`); others pass neighbour_guard, whose
+    neighbours are those at the beginning of the round. Each row has one correction a round at most."""
+    texts, review, log = rows, rows.select(key, order), None
+    for number in range(1, rounds + 1):
+        asked = corrections.where(F.col("round") == number).join(review, [key, order], "left_semi").select(key, order, F.col("fix").alias("_fix"), "severity")
+        if asked.isEmpty():
+            break
+        held = neighbour_guard(texts.join(asked, [key, order], "left"), key, order, text, "_fix")
+        serious = F.coalesce(F.col("severity") != "low", F.lit(False))
+        verdict = F.when(~serious, "low").when(F.trim("_fix") == "", "none").when(F.col("_fix") == F.col(text), "same").otherwise(F.col("verdict"))
+        judged = materialize(held.withColumn("_v", F.when(F.col("severity").isNotNull(), verdict)), "reviewed")
+        entry = judged.where("_v is not null").select(key, order, F.lit(number).alias("round"), "severity", F.col("_v").alias("verdict"))
+        log = entry if log is None else log.unionByName(entry)
+        texts = judged.select(*[F.when(F.col("_v") == "applied", F.col("_fix")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in rows.columns])
+        review = judged.where("_v = 'applied'").select(key, order)
+    return texts, log if log is not None else rows.sparkSession.createDataFrame([], f"{key} {dict(rows.dtypes)[key]}, {order} {dict(rows.dtypes)[order]}, round int, severity string, verdict string")

@@ -92,3 +92,31 @@ def batches(rows: DataFrame, keys: list[str], number: str, size: int = 12) -> Da
     isle = rows.withColumn("_isle", F.col(number) - F.row_number().over(order))
     part = isle.withColumn("_b", F.floor((F.row_number().over(Window.partitionBy(*keys, "_isle").orderBy(number)) - 1) / size))
     return part.groupBy(*keys, "_isle", "_b").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_isle", "_b")
+
+
+def requests(rows: DataFrame, ledger: DataFrame, run: str, number: str, text: str, *, model: str, cap: float, price: tuple[float, float], out: int, size: int = 12) -> DataFrame:
+    """(run, first, last, n, worst, allowed): X46. The requests that are still to be sent for rows of (run, number, text), by a
+    ledger(hash, state, cost) of earlier ones, whose hashes request_hash gives.
+
+    Rows with a `done` entry ask for nothing, so that planning again after a failure sends nothing twice. Rows with a `failed` one are asked on their own, the others in batches
+    of consecutive numbers, `size` at most. `worst` is what a request may cost, at one token a character and `out` tokens back a row, at
+    the `price` of both; it's allowed while the run's costs so far and the worst of all requests before and of itself keep to `cap`. Null texts ask for nothing; entries that repeat count
+    once by their best state, their costs add up in the run of the first row that has them."""
+    hashed = rows.where(F.col(text).isNotNull()).withColumn("_h", request_hash(F.col(text), model))
+    known = ledger.groupBy(F.col("hash").alias("_h")).agg(F.bool_or(F.col("state") == "done").alias("_done"), F.bool_or(F.col("state") == "failed").alias("_failed"), F.sum("cost").alias("_cost"))
+    told = hashed.join(known, "_h", "left")
+    spent = told.groupBy(run, "_h").agg(F.first("_cost").alias("c")).groupBy(run).agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("_spent"))
+    todo = told.where(~F.coalesce("_done", F.lit(False))).withColumn("_alone", F.coalesce("_failed", F.lit(False)))
+    order = Window.partitionBy(run, "_alone").orderBy(number)
+    isle = todo.withColumn("_isle", F.when(F.col("_alone"), F.col(number)).otherwise(F.col(number) - F.row_number().over(order)))
+    part = isle.withColumn("_b", F.floor((F.row_number().over(Window.partitionBy(run, "_alone", "_isle").orderBy(number)) - 1) / size))
+    asked = part.groupBy(run, "_alone", "_isle", "_b").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("_chars"))
+    worst = (F.col("_chars") * price[0] + F.col("n") * out * price[1]) / 1e6
+    before = Window.partitionBy(run).orderBy("first", "_alone").rowsBetween(Window.unboundedPreceding, 0)
+    costed = asked.join(spent, run).withColumn("worst", worst).withColumn("allowed", F.col("_spent") + F.sum("worst").over(before) <= cap)
+    return costed.select(run, "first", "last", "n", "worst", "allowed")
+
+
+def request_hash(text: Column, model: str) -> Column:
+    """What names a request: its text and the model that is asked."""
+    return F.sha1(F.concat(F.lit(model), F.lit("\n"), text))

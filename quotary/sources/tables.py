@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,34 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
 
 
+def word_manifests(spark: SparkSession, path: str, words: str = "words", multi_line: bool = True) -> DataFrame:
+    """(path, block, pos, word, start, end): S9. The word times of manifests, JSON objects {blocks: [{i, words: [[word, start, end], ..]}]}, one a file
+    or, without `multi_line`, one a line. Blocks without words, files that aren't such objects and words without a start give no row; only the columns
+    that are asked for are parsed."""
+    schema = f"blocks array<struct<i:bigint,{words}:array<array<string>>>>"
+    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", multi_line).json(path)
+    block = read.select(F.input_file_name().alias("path"), F.explode("blocks").alias("b")).select("path", F.col("b.i").alias("block"), F.posexplode(F.col(f"b.{words}")).alias("pos", "w"))
+    number = lambda i: F.get("w", F.lit(i)).try_cast("double")
+    return block.select("path", "block", F.col("pos").cast("long").alias("pos"), F.get("w", F.lit(0)).alias("word"), number(1).alias("start"), number(2).alias("end")).where("start is not null")
+
+
+def reader_blocks(spark: SparkSession, path: str, script: str = r"[\u0600-\u06FF]", mark: str = "\u2500{20,}", header: str = r"(?i)^ANNOTATED READER VIEW\s*=+\s*", share: float = 0.4) -> DataFrame:
+    """(path, block, script, other): S6. The blocks of readers, texts cut at lines of marks: the paragraphs of which more than `share` of the characters but
+    white space are of the script, joined by a blank, and the others, by an empty line. Blocks that lack either are left out and
+    don't count; `block` counts from 0."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", mark)).alias("_i", "_b"))
+    paras = F.filter(F.transform(F.split(F.trim(F.regexp_replace(_bare(F.col("_b")), header, "")), r"\n\n+"), _bare), lambda p: p != "")
+    size = lambda p: F.length(F.regexp_replace(p, r"\s", ""))
+    of = lambda p: F.regexp_count(p, F.lit(script)) > share * size(p)
+    two = whole.select("path", "_i", F.explode(F.array(paras)).alias("p")).select("path", "_i", F.array_join(F.filter("p", of), " ").alias("script"), F.array_join(F.filter("p", lambda p: ~of(p)), "\n\n").alias("other"))
+    order = Window.partitionBy("path").orderBy("_i")
+    return two.where("script <> '' and other <> ''").select("path", (F.row_number().over(order) - 1).cast("long").alias("block"), "script", "other")
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def write_results(df: DataFrame, path: str, run: str = "run") -> None:
     """Nested results, one folder a run."""
     df.write.mode("overwrite").partitionBy(run).parquet(path)

@@ -7,7 +7,7 @@ state is that of the report itself.
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from quotary.sources.scratch import shared_dir
 
 LATE = "1 hour"
 
@@ -104,15 +107,88 @@ def rate_limit(stream: DataFrame, key: str, most: int = 5, seconds: int = 600, l
     return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, schema, T.StructType([T.StructField("times", T.ArrayType(T.LongType()))]), "append", "EventTimeTimeout")
 
 
+class _Lookups(StatefulProcessor):
+    """Of one part of the addresses: which are known and until when, and how many were looked up in the clock's present span."""
+
+    def __init__(self, address: str, found: str, most: int, span: int, keep: int):
+        self.address, self.found, self.most, self.span, self.keep = address, found, most, span * 1_000_000, keep * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "address string", "until long")
+        self.used = handle.getValueState("used", "span long, used long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        span, used = self.used.get() if self.used.exists() else (-1, 0)
+        verdicts = []
+        for ts, address, found in zip(batch["ts"], batch[self.address], batch[self.found], strict=True):
+            us, name = int(ts.value // 1000), (str(address),)
+            if self.known.containsKey(name) and self.known.getValue(name)[0] > us:
+                verdicts.append("known")
+                continue
+            span, used = (us // self.span, 0) if us // self.span != span else (span, used)
+            verdicts.append("looked up" if used < self.most else "refused")
+            if used < self.most:
+                used += 1
+                if found:
+                    self.known.updateValue(name, (us + self.keep,))
+                    self.handle.registerTimer((us + self.keep) // 1000 + 1)
+        self.used.update((span, used))
+        yield batch.assign(verdict=verdicts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for name in [k for k, until in self.known.iterator() if until[0] <= now]:
+            self.known.removeKey(name)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def lookups(stream: DataFrame, address: str, found: str, *, most: int = 40, span: int = 60, keep: int = 86_400, parts: int = 1, late: str = LATE) -> DataFrame:
+    """Rows with `verdict`: `known` where the address was looked up with success in the last `keep` seconds, else `looked up` for the
+    first `most` of a clock span of `span` seconds, else `refused`. A lookup without success (`found` is false) isn't kept and may be tried again.
+
+    The state is the known addresses, each until its timer in event time removes it. With more `parts` addresses are dealt over so many keys, each
+    of which has its share of the limit. Needs the state store that keeps rows on disk (`with_disk_state`)."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("verdict", T.StringType())])
+    keyed = stream.withWatermark("ts", late).withColumn("_part", F.pmod(F.xxhash64(F.col(address).cast("string")), F.lit(parts)))
+    state = _Lookups(address, found, max(1, most // parts), span, keep)
+    return keyed.groupBy("_part").transformWithStateInPandas(state, schema, "append", "EventTime")
+
+
+def with_disk_state(spark: SparkSession) -> SparkSession:
+    """The session with the state store of streams on disk; it holds for streams that begin afterwards."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def emit(stream: DataFrame, mode: str, send: Callable[[DataFrame], None], save: Callable[[DataFrame], None], *, every: float = 2, saved: float = 5) -> StreamingQuery:
+    """A running query that sends what a report has become every `every` seconds, if anything came, and saves it when the last
+    save is `saved` seconds old or more. What `save` writes must replace what was there: a batch may be run again."""
+    at, last = folder(stream.sparkSession), [0.0]
+
+    def out(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        send(batch)
+        if time.monotonic() - last[0] >= saved:
+            save(batch)
+            last[0] = time.monotonic()
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(processingTime=f"{every} seconds").foreachBatch(out).start()
+
+
 def job_states(stream: DataFrame, job: str, order: str) -> DataFrame:
     """The first claim of each job and its last state."""
     return stream.groupBy(job).agg(F.min_by("user_id", order).alias("claimed_by"), F.max_by("event_type", order).alias("state"), F.count(F.lit(1)).alias("changes"))
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one; under a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder under the one that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_end(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
