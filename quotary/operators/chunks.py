@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotary.functions.text import latin_key, words
-from quotary.operators.grams import gram_hashes
 
 
 def fixed_chunks(docs: DataFrame, doc: str, text: str, size: int = 30) -> DataFrame:
@@ -16,31 +20,48 @@ def fixed_chunks(docs: DataFrame, doc: str, text: str, size: int = 30) -> DataFr
     return i.select(doc, "chunk_idx", (F.col("chunk_idx") * size).alias("c_start"), F.least((F.col("chunk_idx") + 1) * size, F.col("n")).alias("c_end"))
 
 
+def repeated_runs(keys: list[str], n: int, within: int) -> list[dict]:
+    """Runs of n words or more that come again n to n + within words on, {i, j, n}: from each start the nearest repeat, as far
+    as the words are equal, up to the repeat; a run that begins inside the one before is left out. Empty keys equal nothing."""
+    ids: dict[str, int] = {"": -1}
+    w = np.array([ids.setdefault(k, len(ids)) for k in keys])
+    shift, length = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+    for k in range(n, min(n + within, len(w) - n) + 1):
+        same = (w[:-k] == w[k:]) & (w[:-k] >= 0)
+        if np.count_nonzero(same) < n:
+            continue
+        stops = np.append(np.flatnonzero(~same), len(same))  # where each run of equal words ends
+        run = stops[np.searchsorted(stops, np.arange(len(same)))] - np.arange(len(same))
+        new = (run >= n) & (shift[: len(same)] == 0)
+        shift[: len(same)][new], length[: len(same)][new] = k, np.minimum(run[new], k)
+    out, reached = [], 0
+    for i in np.flatnonzero(shift).tolist():
+        if i >= reached:
+            out.append({"i": i, "j": i + int(shift[i]), "n": int(length[i])})
+            reached = i + int(length[i])
+    return out
+
+
+def repeats_of(n: int, within: int) -> Callable[[Column], Column]:
+    """repeated_runs over an array column of keys."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int32())]))
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("i", "j", "n")])))
+    def runs(keys: pa.Array) -> pa.Array:
+        return pa.array([repeated_runs(k, n, within) for k in keys.to_pylist()], kind)
+
+    return runs
+
+
 def find_repeats(docs: DataFrame, doc: str, text: str, n: int = 5, within: int = 30, whole: int = 8, own: int = 3, formula: tuple[str, ...] = (), deliberate: str = "(?!)") -> DataFrame:
     """(doc, from_pos, again_pos, n_words): X18. Runs of n words or more that the document says again `within` words on.
 
     From the start, the first place of the next words that says n words again; the run grows while its words are equal and
     it doesn't reach the repeat. Reading goes on past the run. A run counts if it has `whole` words or the repeat follows at
-    most one word after it, if `own` of its words are no formula and it isn't said so on purpose. Repeats are looked up
-    inside the row's own array of hashes; only places that repeat leave it."""
+    most one word after it, if `own` of its words are no formula and it isn't said so on purpose. A row is compared with itself,
+    shifted by each distance in turn; only runs leave it."""
     w = docs.select(doc, F.explode(F.array(F.transform(words(F.col(text)), latin_key))).alias("w")).where(F.size("w") >= 2 * n)
-    g = w.select(doc, "w", F.explode(F.array(F.transform(gram_hashes(F.col("w"), n), lambda x: x["h"]))).alias("g"))
-    ahead = lambda i: F.array_position(F.slice("g", i + n + 1, within + 1), F.get("g", i))
-    plain = lambda i: ~F.exists(F.slice("w", i + 1, n), lambda x: x == "")
-    at = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("g") - n - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), ahead(i).cast("int").alias("k"))), lambda x: (x["k"] > 0) & plain(x["i"]))
-    hit = g.select(doc, "w", F.explode(F.array(at)).alias("at")).where(F.size("at") > 0)
-
-    def grown(x: Column) -> Column:
-        """The run's length: n, and the equal words that follow before the repeat begins."""
-        i, j = x["i"], x["i"] + n + x["k"] - 1
-        pairs = F.zip_with(F.slice("w", i + n + 1, j - i - n), F.slice("w", j + n + 1, j - i - n), lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False)))
-        stop = F.array_position(pairs, False)
-        return F.struct(i.alias("i"), j.alias("j"), (n + F.when(stop > 0, stop - 1).otherwise(F.size(pairs))).cast("int").alias("n"))
-
-    runs = hit.select(doc, "w", F.explode(F.array(F.transform("at", grown))).alias("runs"))
-    none = F.array().cast("array<struct<i:int,j:int,n:int>>")
-    step = lambda s, x: F.when(x["i"] < s["to"], s).otherwise(F.struct((x["i"] + x["n"]).alias("to"), F.concat(s["out"], F.array(x)).alias("out")))
-    taken = runs.select(doc, "w", F.explode(F.aggregate("runs", F.struct(F.lit(0).alias("to"), none.alias("out")), step, lambda s: s["out"])).alias("r"))
+    taken = w.select(doc, "w", repeats_of(n, within)(F.col("w")).alias("_r")).select(doc, "w", F.explode("_r").alias("r"))
     said = F.slice("w", F.col("r.j") + 1, F.col("r.n"))
     words_of_its_own = F.size(F.filter(said, lambda x: ~x.isin(*formula))) if formula else F.size(said)
     good = ((F.col("r.n") >= whole) | (F.col("r.j") - F.col("r.i") - F.col("r.n") <= 1)) & (words_of_its_own >= own) & ~F.array_join(said, " ").rlike(deliberate)

@@ -9,8 +9,8 @@ from quotary.functions.text import half_up, latin_key, words
 
 
 def word_sets(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, w): the distinct word keys of each row that has any."""
-    w = F.array_distinct(F.filter(F.transform(words(F.col(text)), latin_key), lambda x: x != ""))
+    """(keys, w): the distinct word keys of each row that has any, as hashes of 64 bits."""
+    w = F.array_distinct(F.transform(F.filter(F.transform(words(F.col(text)), latin_key), lambda x: x != ""), lambda x: F.xxhash64(x)))
     return df.select(*keys, F.explode(F.array(w)).alias("w")).where(F.size("w") > 0)
 
 
