@@ -185,22 +185,25 @@ def merge_parts(spans: DataFrame, doc: str, gap: int = 0) -> DataFrame:
 
 
 def walk_on(spans: DataFrame, rows: DataFrame, canon: DataFrame, doc: str) -> DataFrame:
-    """Spans carried on into the passages that follow one of their own, as long as the document does."""
-    groups = canon.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("passage", "words"))).alias("seq"))
+    """Spans carried on into the passages that follow one of their own, as long as the document does.
+
+    A round takes every walk that still goes on one passage further: it meets that passage alone, however many its group has."""
     s = spans.withColumn("_id", F.struct("start", "end"))
-    ways = s.select(doc, "_id", "end", F.explode(F.array_distinct(F.transform("parts", lambda p: F.struct(p["group"].alias("group"), p["passage"].alias("passage"))))).alias("c")).select(doc, "_id", "end", "c.group", "c.passage")
-    ways = ways.join(groups, "group").join(rows.select(doc, "deep"), doc)
-    start = F.struct(F.col("end").cast("long").alias("to"), F.col("passage").alias("at"), F.lit(True).alias("on"), F.array().cast(f"array<{PART}>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.size(x["words"])
-        goes = s["on"] & (x["passage"] == s["at"] + 1) & tolerant_run(x["words"], F.col("deep"), s["to"])
-        part = F.struct(F.col("group").alias("group"), x["passage"].alias("passage"), s["to"].alias("start"), (s["to"] + n).alias("end"))
-        return F.when(goes, F.struct((s["to"] + n).alias("to"), x["passage"].alias("at"), F.lit(True).alias("on"), F.concat(s["out"], F.array(part)).alias("out"))).otherwise(F.struct(s["to"], s["at"], F.lit(False).alias("on"), s["out"]))
-
-    ahead = F.filter("seq", lambda x: x["passage"] > F.col("passage"))
-    gone = ways.withColumn("w", F.aggregate(ahead, start, step)).groupBy(doc, "_id").agg(F.max_by("w", F.struct("w.to", -F.col("group"), -F.col("passage"))).alias("w"))
-    j = s.join(gone, [doc, "_id"], "left")
+    ways = s.select(doc, "_id", "end", F.explode(F.array_distinct(F.transform("parts", lambda p: F.struct(p["group"].alias("group"), p["passage"].alias("passage"))))).alias("c"))
+    live = ways.select(doc, "_id", "c.group", "c.passage", F.col("c.passage").alias("at"), F.col("end").cast("long").alias("to"), F.array().cast(f"array<{PART}>").alias("out"))
+    following, said = canon.select("group", (F.col("passage") - 1).alias("at"), "words"), rows.select(doc, "deep")
+    gone = None
+    while True:
+        met = live.join(following, ["group", "at"]).join(said, doc).where(tolerant_run(F.col("words"), F.col("deep"), F.col("to")))
+        part = F.struct(F.col("group"), (F.col("at") + 1).alias("passage"), F.col("to").alias("start"), (F.col("to") + F.size("words")).alias("end"))
+        live = materialize(met.select(doc, "_id", "group", "passage", (F.col("at") + 1).alias("at"), (F.col("to") + F.size("words")).alias("to"), F.concat("out", F.array(part)).alias("out")), "walks")
+        if live.isEmpty():
+            break
+        gone = live if gone is None else gone.unionByName(live)
+    if gone is None:
+        return s.select(doc, "start", "end", "parts")
+    furthest = gone.groupBy(doc, "_id").agg(F.max_by(F.struct("to", "out"), F.struct("to", -F.col("group"), -F.col("passage"), "at")).alias("w"))
+    j = s.join(furthest, [doc, "_id"], "left")
     return j.select(doc, "start", F.greatest("end", F.coalesce("w.to", "end")).alias("end"), F.concat("parts", F.coalesce("w.out", F.array().cast(f"array<{PART}>"))).alias("parts"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotary.functions.text import half_up, latin_key, words
@@ -103,6 +103,32 @@ def cross_check(claims: DataFrame, matches: DataFrame, keys: list[str], claimed:
     )
 
 
+def settled_claims(rows: DataFrame, canon: DataFrame, key: list[str], said: str, score: str, *, sure: float = 0.95, alone: float = 0.85, doubted: float = 0.75, ahead: float = 0.15, lead: int = 3) -> DataFrame:
+    """(key, group, passage, confidence, verdict, used): J5, J6. rows(key, said: word keys, claimed and matched: struct<group, passage> or null, `score` of the match);
+    canon(group, passage, words: keys).
+
+    Where claim and match differ the words said decide. Of neighbouring passages of a group the match is used if more of the first `lead` words are in it, as
+    the label names the passage in which the words begin; of others if it has a share of all words more than `ahead` above the claim's.
+    Else the claim is used. Both: `sure` at least; a claim alone: `alone`; a difference: `doubted`; a match alone: its own score. Rows with neither have no passage,
+    0 and `no match`. A passage that the canon lacks has none of the words."""
+    words_of = lambda side: canon.select(F.struct("group", "passage").alias(side), F.array_distinct("words").alias(f"_{side}"))
+    r = rows.join(words_of("claimed"), "claimed", "left").join(words_of("matched"), "matched", "left")
+    none = F.array().cast("array<string>")
+    first = F.slice(said, 1, lead)
+    within = lambda ws, side: F.size(F.filter(ws, lambda w: F.array_contains(F.coalesce(f"_{side}", none), w)))
+    share = lambda side: within(F.col(said), side) / F.greatest(F.size(said), F.lit(1))
+    c, m = F.col("claimed"), F.col("matched")
+    both = c.isNotNull() & m.isNotNull()
+    differ = both & ((c["group"] != m["group"]) | (c["passage"] != m["passage"]))
+    beside = (c["group"] == m["group"]) & (F.abs(c["passage"] - m["passage"]) == 1)
+    better = differ & F.when(beside, within(first, "matched") > within(first, "claimed")).otherwise(share("matched") > share("claimed") + ahead)
+    used = F.when(c.isNotNull() & ~better, "claim").when(m.isNotNull(), "match").otherwise("none")
+    chosen = F.when(used == "claim", c).otherwise(m)
+    verdict = F.when(differ, "differ").when(both, "agree").when(c.isNotNull(), "claim only").when(m.isNotNull(), "match only").otherwise("no match")
+    how_sure = F.when(differ, doubted).when(both, F.greatest(F.lit(sure), F.col(score))).when(c.isNotNull(), alone).when(m.isNotNull(), F.col(score)).otherwise(0.0)
+    return r.select(*key, chosen["group"].alias("group"), chosen["passage"].alias("passage"), half_up(how_sure).alias("confidence"), verdict.alias("verdict"), used.alias("used"))
+
+
 def _places(text: Column, n: Column) -> Column:
     """The distinct runs of n characters of a text."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))

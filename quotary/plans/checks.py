@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotary.functions import text as X
-from quotary.operators import audience, refs, terms
+from quotary.operators import audience, chunks, refs, terms
 from quotary.operators import timing as T
 from quotary.plans import matching
 from quotary.plans.sql import keyed, words
@@ -52,6 +52,24 @@ def reference_chain(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("line").cast("long").alias("lines"))
 
 
+def settled_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's best passage against a claim, by the line's number that passage, the next one, another one or none."""
+    best = matching.best_passage(spark, d)
+    n = F.col("item_id")
+    named = lambda x: F.struct(F.floor(x / 8).cast("long").alias("group"), (x % 8).cast("long").alias("passage"))
+    claim = F.element_at(F.array(named(n), named(n + 1), named((n * 7 + 3) % 40), F.lit(None)), (F.col("line") % 4 + 1).cast("int"))
+    said = F.filter(F.transform(X.words(F.col("t")), X.latin_key), lambda w: w != "")
+    rows = best.join(matching.doc_lines(spark, d), ["doc_id", "line"]).select("doc_id", "line", said.alias("said"), claim.alias("claimed"), F.when(F.col("line") % 8 != 4, named(n)).alias("matched"), "score")
+    canon = table(spark, d, "benchmark").select(F.floor(F.col("item_id") / 8).cast("long").alias("group"), (F.col("item_id") % 8).cast("long").alias("passage"), F.transform(X.words(F.col("text")), X.latin_key).alias("words"))
+    got = refs.settled_claims(rows, canon, ["doc_id", "line"], "said", "score")
+    return got.select("doc_id", "line", F.col("group").alias("grp"), "passage", "confidence", "verdict", "used")
+
+
+def broken_off(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that end with a full stop, as if it broke them off, and of whose last sentence the next turn says a quarter again."""
+    return chunks.broken_off(table(spark, d, "conversations"), "conv_id", "turn", "text", r"\.$", 0.25)
+
+
 def _hours(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, event_id, event_type, at): hours since midnight of the first day, to three places."""
     return series(spark, d).select("user_id", "event_id", "event_type", X.half_up((F.col("us") - F.lit(1704067200000000)) / 3.6e9, 3).alias("at"))
@@ -91,7 +109,7 @@ def rolling_distinct(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(about, "day").select("day", "users", (F.abs(F.col("ids") - F.col("users")) <= 0.05 * F.col("users")).alias("close"))
 
 
-QUERIES = {f.__name__: f for f in (term_rules, letters_outside, contained_lines, reference_chain, stitched_windows, events_in_ranges, segment_of_word, rolling_distinct)}
+QUERIES = {f.__name__: f for f in (term_rules, letters_outside, contained_lines, reference_chain, settled_claims, broken_off, stitched_windows, events_in_ranges, segment_of_word, rolling_distinct)}
 
 _H = "h AS (SELECT user_id, event_id, event_type, floor((epoch_us(ts) - 1704067200000000) / 3.6e9::DOUBLE * 1000 + 0.5) / 1000 AS tm FROM events)"
 SQL = {
@@ -110,6 +128,16 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM
 k AS (SELECT doc_id, line, r, [t] AS kept, true AS ok FROM n WHERE r = 1
   UNION ALL SELECT n.doc_id, n.line, n.r, CASE WHEN len(list_filter(kept, lambda x: contains(x, n.t) OR contains(n.t, x))) > 0 THEN kept ELSE list_append(kept, n.t) END, len(list_filter(kept, lambda x: contains(x, n.t) OR contains(n.t, x))) = 0 FROM k JOIN n ON n.doc_id = k.doc_id AND n.r = k.r + 1)
 SELECT doc_id, count(*)::BIGINT AS n, sum(line)::BIGINT AS lines FROM k WHERE ok GROUP BY doc_id""",
+    "settled_claims": f"""WITH {matching._BEST}, x AS (SELECT b.doc_id, b.line, list_filter({keyed('t')}, lambda w: w <> '') AS w, score, item_id, CASE b.line % 4 WHEN 0 THEN item_id WHEN 1 THEN item_id + 1 WHEN 2 THEN (item_id * 7 + 3) % 40 END AS c, CASE WHEN b.line % 8 <> 4 THEN item_id END AS m FROM best b JOIN l1 USING (doc_id, line)),
+i AS (SELECT item_id, {keyed('text')} AS a FROM benchmark), y AS (SELECT x.*, coalesce(p.a, []) AS pc, coalesce(q.a, []) AS pm FROM x LEFT JOIN i p ON p.item_id = x.c LEFT JOIN i q ON q.item_id = x.m),
+z AS (SELECT *, c IS NOT NULL AND m IS NOT NULL AND c <> m AND CASE WHEN c // 8 = m // 8 AND abs(c - m) = 1 THEN len(list_filter(w[:3], lambda v: list_contains(pm, v))) > len(list_filter(w[:3], lambda v: list_contains(pc, v)))
+  ELSE len(list_filter(w, lambda v: list_contains(pm, v)))::DOUBLE / greatest(1, len(w)) > len(list_filter(w, lambda v: list_contains(pc, v)))::DOUBLE / greatest(1, len(w)) + 0.15::DOUBLE END AS better FROM y),
+u AS (SELECT *, CASE WHEN c IS NOT NULL AND NOT better THEN c ELSE m END AS chosen FROM z)
+SELECT doc_id, line, chosen // 8 AS grp, chosen % 8 AS passage, floor(CASE WHEN c <> m THEN 0.75 WHEN c = m THEN greatest(0.95, score) WHEN c IS NOT NULL THEN 0.85 WHEN m IS NOT NULL THEN score ELSE 0 END::DOUBLE * 100 + 0.5) / 100 AS confidence,
+CASE WHEN c <> m THEN 'differ' WHEN c = m THEN 'agree' WHEN c IS NOT NULL THEN 'claim only' WHEN m IS NOT NULL THEN 'match only' ELSE 'no match' END AS verdict, CASE WHEN c IS NOT NULL AND NOT better THEN 'claim' WHEN m IS NOT NULL THEN 'match' ELSE 'none' END AS used FROM u""",
+    "broken_off": f"""WITH t AS (SELECT conv_id, turn, trim(text) AS t, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), s AS (SELECT *, regexp_replace(string_split_regex(t, '[.،؟!:؛]\\s')[-1], '\\.$', '') AS last FROM t WHERE nxt IS NOT NULL AND regexp_matches(t, '\\.$')),
+k AS (SELECT conv_id, turn, {keyed('last')} AS k, {keyed('nxt')} AS x FROM s), w AS (SELECT conv_id, turn, k[:len(k) - 1] AS w, x[:len(k) + 3] AS h FROM k WHERE len(k) > 0), n AS (SELECT conv_id, turn, len(w) AS size, len(list_filter(w, lambda v: list_contains(h, v))) AS n FROM w)
+SELECT conv_id, turn, n::BIGINT AS n FROM n WHERE size >= 2 AND n >= greatest(2.0, size * 0.25::DOUBLE)""",
     "stitched_windows": f"""WITH {_H}, t AS (SELECT user_id, greatest(ceil((max(tm) + 1 - {OVERLAP}) / {LENGTH - OVERLAP}) - 1, 0)::INTEGER AS last FROM h GROUP BY user_id), w AS (SELECT user_id, last, unnest(range(0, last + 1)) AS w FROM t),
 s AS (SELECT h.user_id, event_id, w, tm + w / 1024::DOUBLE AS at2, last, w * {LENGTH - OVERLAP} AS start FROM h JOIN w ON h.user_id = w.user_id AND tm >= w * {LENGTH - OVERLAP} AND tm < w * {LENGTH - OVERLAP} + {LENGTH})
 SELECT user_id, event_id, w::BIGINT AS "window", floor(at2 * 1000 + 0.5) / 1000 AS "at" FROM s WHERE (w = 0 OR at2 >= start + {OVERLAP / 2}) AND (w = last OR at2 < start + {LENGTH - OVERLAP / 2})""",

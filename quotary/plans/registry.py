@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matching", "audience", "timing", "catalog", "texts", "streams", "more", "assembling", "wordings", "alignments", "naming", "checks", "runs")
+MODULES = ("matching", "audience", "timing", "catalog", "texts", "streams", "more", "assembling", "wordings", "alignments", "naming", "checks", "runs", "intake")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
