@@ -37,7 +37,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quotary-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quotary_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote and from which nothing is left to be computed: whatever came from them is written itself."""
+    for df in tables:
+        path = getattr(df, "_quotary_path", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def n_words(text: Column) -> Column:
@@ -91,7 +102,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = materialize(small.where("u <> v").distinct(), "links")
+        nearer = materialize(small.where("u <> v").distinct(), "links")
+        discard(links)
+        links = nearer
     return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

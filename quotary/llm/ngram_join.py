@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotary.llm.common import components, materialize, table
+from quotary.llm.common import components, discard, materialize, table
 from quotary.llm.shingles import binary, mixed, shingle_sets, slices
 
 #: Counters of the frequency sketch: 2 MB, whatever the input.
@@ -393,7 +393,9 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     reps = _rows(slim, "_doc", "_text", n, num, den, sketch).where("size > 0 and doc is not null")
     reps = reps.groupBy("size", "s1", "s2").agg(F.min("doc").alias("doc"), F.min_by(F.struct("prefix", "parity"), "doc").alias("r"))
     reps = materialize(reps.select("size", "s1", "s2", "doc", "r.prefix", "r.parity"), "rows")
-    meetings = materialize(_promising(materialize(_meetings(reps), "meetings"), num, den), "meetings")
+    every = materialize(_meetings(reps), "meetings")
+    meetings = materialize(_promising(every, num, den), "meetings")
+    discard(every)
     marks = reps.select("doc", "size", F.lit(0).cast("long").alias("own"), "parity")  # two rows for a key with two texts: both are tried
     near = materialize(_near_rows(meetings, marks, num, den), "near")
     wanted = near.select(F.col("doc").alias("_doc"))
@@ -409,7 +411,10 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, size long, parity binary, grams binary"), "sets")
     marks = materialize(_marks(sets.where("size > 0")), "marks")
-    meetings = materialize(meetings.join(marks.select("doc", "size", "own"), ["doc", "size"]).select("gram", "doc", "size", "own"), "meetings")
+    discard(near)
+    open_ = meetings
+    meetings = materialize(open_.join(marks.select("doc", "size", "own"), ["doc", "size"]).select("gram", "doc", "size", "own"), "meetings")
+    discard(open_)
     member = materialize(_rows(slim, "_doc", "_text", n, num, den, None).drop("prefix", "parity"), "members")
     named = member.where("size > 0 and doc is not null")
     rep = reps.select("size", "s1", "s2", F.col("doc").alias("rep"))
@@ -421,8 +426,11 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         labels = materialize(components(links), "labels") if links is not None else None
         pairs = _hub_pairs(meetings, labels, num, den, seeds) if seeds else _left_pairs(meetings, labels, marks, num, den)
         found = _links(pairs, sets, num, den)
-        links = materialize(found.unionByName(links if links is not None else tied), "links")
-    labels = components(links)
+        more = materialize(found.unionByName(links if links is not None else tied), "links")
+        discard(links, labels)
+        links = more
+    labels = materialize(components(links), "labels")
+    discard(meetings, marks, sets, links)
     out = member.join(rep, ["size", "s1", "s2"], "left").join(labels, F.col("rep") == F.col("node"), "left")
     alone = F.when(F.col("size") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNotNull(), alone).alias("component_id"))
