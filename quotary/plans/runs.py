@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotary.functions import text as X
-from quotary.operators import assembly, chunks
-from quotary.plans.sql import WS, words
+from quotary.operators import assembly, audit, chunks, plugins
+from quotary.plans import alignments, assembling, checks, matching, texts
+from quotary.plans.sql import words
 from quotary.sources import tables as S
 from quotary.sources.scratch import shared_dir
 from quotary.sources.tables import table
@@ -85,7 +86,54 @@ def review_rounds(spark: SparkSession, d: str) -> DataFrame:
     return assembly.reviewed(c, fixes, "conv_id", "turn", "text")[1].select("conv_id", "turn", "round", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (event_log, canon_rows, manifest_words, read_blocks, planned_requests, review_rounds)}
+def _place_of(addresses: list[str]) -> list[dict | None]:
+    """A lookup without a network: places by number, none for every tenth."""
+    return [None if int(a) % 10 == 0 else {"city": f"c{int(a) % 7}", "country": f"z{int(a) % 3}", "hosting": int(a) % 11 == 0} for a in addresses]
+
+
+def placed_views(spark: SparkSession, d: str) -> DataFrame:
+    """Events by the place that a lookup gives their user."""
+    got = plugins.placed(table(spark, d, "events").select("user_id", "event_type"), "user_id", _place_of)
+    return got.groupBy("city", "country", "hosting").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+def _client():
+    """A client that writes 3 for e, and fails on texts with more than 40 words."""
+
+    def answer(text: str) -> tuple[str, float]:
+        if len(text.split()) > 40:
+            raise ValueError("too long")
+        return text.replace("e", "3"), len(text) / 1000
+
+    return answer
+
+
+def answered_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Turns answered by a client, and what the ledger then has."""
+    ledger = plugins.answered(table(spark, d, "conversations"), "text", "m", _client)
+    return ledger.select("hash", "state", F.md5("answer").alias("answer"), X.half_up(F.col("cost"), 3).alias("cost"))
+
+
+def kinds_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the framing of their kind, of which every third has two parts; others are read as the first kind."""
+    code = lambda n: F.concat(F.lit("k"), n.cast("string"))
+    kinds = table(spark, d, "nation").select(code(F.col("n_nationkey")).alias("kind"), F.col("n_name").alias("framing"), (F.col("n_nationkey") % 3 == 0).alias("two_parts"))
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, code((F.col("doc_id") % 50 / 2).cast("int"))).otherwise("other").alias("kind"))
+    return plugins.with_kind(docs, kinds, "kind", "k0").groupBy("framing", "two_parts").agg(F.count(F.lit(1)).alias("n"))
+
+
+def full_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Eight checks of the documents, each a query of its own, and the gate over what they find."""
+    said = lambda df, name, level: df.select("doc_id").distinct().select("doc_id", F.lit(name).alias("check"), F.lit(level).alias("level"))
+    found = [
+        said(texts.script_fitness(spark, d).where("reason is not null"), "fitness", "warn"), said(texts.mid_sentence_share(spark, d).where("warn"), "open", "warn"), said(matching.restarts(spark, d), "said again", "fail"),
+        said(checks.term_rules(spark, d).where("instead is null"), "forbidden", "fail"), said(checks.term_rules(spark, d).where("instead is not null"), "avoided", "warn"), said(alignments.recited_words(spark, d).where("last - first < 11"), "part of a passage", "warn"),
+        said(matching.liturgical_share(spark, d), "formula", "warn"), said(assembling.label_faults(spark, d), "label", "fail"),
+    ]
+    return audit.publish_gate(found)
+
+
+QUERIES = {f.__name__: f for f in (placed_views, answered_requests, kinds_of_documents, full_gate, event_log, canon_rows, manifest_words, read_blocks, planned_requests, review_rounds)}
 
 _P = lambda t, n: f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]{{{n},}}')"
 _T = lambda t: f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
@@ -121,4 +169,12 @@ c2 AS (SELECT conv_id, turn, CASE WHEN fix IS NOT NULL AND verdict = 'applied' T
 {guard_sql('c2', 'k')}, x AS (SELECT k.conv_id, k.turn, CASE WHEN low THEN 'low' WHEN trim(k.fix) = '' THEN 'none' WHEN k.fix = k.text THEN 'same' ELSE verdict END AS verdict FROM k JOIN c2 USING (conv_id, turn) WHERE k.fix IS NOT NULL)
 SELECT conv_id, turn, 1 AS round, verdict FROM v WHERE fix IS NOT NULL UNION ALL SELECT conv_id, turn, 2, verdict FROM x""",
 }
+SQL["placed_views"] = "SELECT CASE WHEN user_id % 10 > 0 THEN 'c' || user_id % 7 END AS city, CASE WHEN user_id % 10 > 0 THEN 'z' || user_id % 3 END AS country, CASE WHEN user_id % 10 > 0 THEN user_id % 11 = 0 END AS hosting, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY ALL"
+SQL["answered_requests"] = f"SELECT sha1('m' || chr(10) || text) AS hash, CASE WHEN n > 40 THEN 'failed' ELSE 'done' END AS state, CASE WHEN n <= 40 THEN md5(replace(text, 'e', '3')) END AS answer, CASE WHEN n > 40 THEN 0 ELSE floor(length(text) / 1000.0::DOUBLE * 1000 + 0.5) / 1000 END::DOUBLE AS cost FROM (SELECT DISTINCT text, len({words('text')}) AS n FROM conversations)"
+SQL["kinds_of_documents"] = "SELECT n_name AS framing, n_nationkey % 3 = 0 AS two_parts, count(*)::BIGINT AS n FROM documents JOIN nation ON n_nationkey = CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 // 2 ELSE 0 END GROUP BY ALL"
+_CHECKS = [
+    (texts.SQL["script_fitness"], "reason IS NOT NULL", "fitness", "warn"), (texts.SQL["mid_sentence_share"], "warn", "open", "warn"), (matching.SQL["restarts"], "true", "said again", "fail"), (checks.SQL["term_rules"], "instead IS NULL", "forbidden", "fail"),
+    (checks.SQL["term_rules"], "instead IS NOT NULL", "avoided", "warn"), (alignments.SQL["recited_words"], "last - first < 11", "part", "warn"), (matching.SQL["liturgical_share"], "true", "formula", "warn"), (assembling.SQL["label_faults"], "true", "label", "fail"),
+]
+SQL["full_gate"] = "SELECT doc_id, count(*) FILTER (WHERE level = 'fail')::BIGINT AS fails, count(*) FILTER (WHERE level = 'warn')::BIGINT AS warnings, count(*) FILTER (WHERE level = 'fail') = 0 AS passed FROM (" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{name}' AS name, '{level}' AS level FROM ({sql}) WHERE {where}" for sql, where, name, level in _CHECKS) + ") GROUP BY doc_id"
 SQL["guarded_reviews"] = f"WITH c AS (SELECT conv_id, turn, text, lead(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS fix FROM conversations), {guard_sql('c', 'g')} SELECT conv_id, turn, verdict FROM g"
