@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting that removes a query's shuffle files at its end, not when the driver's garbage collection finds them.
+CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,7 +40,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quotary-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANS, "false")
+    spark.conf.set(CLEANS, "true")  # what was shuffled for the table goes as soon as it's written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANS, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._quotary_path = path
     return back
