@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,47 +42,55 @@ def range_labels(refs: DataFrame, canon: DataFrame, key: str) -> DataFrame:
     The label steps back while the passage before begins the text, FROM words in at most, and the label's follows; goes on
     while the next passage follows; takes in a last passage of which PARTLY words or more are left; else words left over,
     three or more, are cut off. A label whose passage, or a tail of it of three words, isn't near the text's start stays."""
-    groups = canon.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("passage", "words"))).alias("seq"))
-    r = refs.join(groups, "group").withColumn("_own", F.get(F.filter("seq", lambda x: x["passage"] == F.col("passage")), F.lit(0)))
     said = F.col("words")
     starts = F.sequence(F.lit(0), F.least(F.size(said) - 1, F.lit(FROM)))
     place = lambda w: F.coalesce(F.get(F.filter(starts, lambda s: F.when(F.size(w) >= 3, tolerant_run(w, said, s)).otherwise(F.slice(said, s + 1, F.size(w)) == w)), F.lit(0)), F.lit(-1))
+    beside = lambda by: canon.select("group", (F.col("passage") - by).alias("at"), F.col("words").alias("other"))
+
+    def rounds(live: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """All states that labels go through: in a round each that still goes on meets one passage more, however many its group has."""
+        every = live
+        while True:
+            live = materialize(step(live), "labels")
+            if live.isEmpty():
+                return every
+            every = every.unionByName(live)
+
+    def back(live: DataFrame) -> DataFrame:
+        own, other = F.col("own"), F.col("other")
 
-    def back(s: Column, x: Column) -> Column:
         def follows(place: Column) -> Column:
-            at = place + F.size(x["words"])
+            at = place + F.size(other)
             rest = F.size(said) - at
-            partly = (rest >= PARTLY) & (F.size(s["words"]) > rest) & tolerant_run(F.slice(s["words"], F.lit(1), F.greatest(rest, F.lit(0))), said, at)
-            return (place >= 0) & (tolerant_run(s["words"], said, at) | partly)
+            partly = (rest >= PARTLY) & (F.size(own) > rest) & tolerant_run(F.slice(own, F.lit(1), F.greatest(rest, F.lit(0))), said, at)
+            return (place >= 0) & (tolerant_run(own, said, at) | partly)
 
-        goes = s["on"] & (x["passage"] == s["passage"] - 1) & (F.size(x["words"]) > 0) & let(place(x["words"]), follows)
-        return F.when(goes, F.struct(x["passage"].alias("passage"), x["words"].alias("words"), F.lit(True).alias("on"))).otherwise(F.struct(s["passage"], s["words"], F.lit(False).alias("on")))
+        met = live.join(beside(-1), ["group", "at"]).where((F.size(other) > 0) & let(place(other), follows))
+        return met.select(key, "group", "words", (F.col("at") - 1).alias("at"), other.alias("own"))
 
-    before = F.reverse(F.filter("seq", lambda x: x["passage"] < F.col("passage")))
-    r = r.where("_own is not null and size(words) > 0").withColumn("_b", F.aggregate(before, F.struct(F.col("passage").alias("passage"), F.col("_own.words").alias("words"), F.lit(True).alias("on")), back))
-    first = F.col("_b.words")
-    cuts = F.sequence(F.lit(0), F.greatest(F.size(first) - 3, F.lit(0)))
+    begun = refs.select(key, "group", "words", F.col("passage").alias("at")).where("size(words) > 0").join(beside(0).withColumnRenamed("other", "own"), ["group", "at"]).select(key, "group", "words", "at", "own")
+    first = rounds(begun, back).groupBy(key).agg(F.min_by(F.struct("group", "words", "at", "own"), "at").alias("s")).select(key, "s.*")
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("own") - 3, F.lit(0)))
 
     def found(cut: Column) -> Column:
-        tail = F.slice(first, cut + 1, F.size(first))
+        tail = F.slice("own", cut + 1, F.size("own"))
         s = F.get(F.filter(starts, lambda i: tolerant_run(tail, said, i)), F.lit(0))
         return F.when(s.isNotNull(), s + F.size(tail))
 
-    r = r.withColumn("_pos", F.coalesce(F.get(F.filter(F.transform(cuts, found), lambda p: p.isNotNull()), F.lit(0)), F.lit(-1)))
-
-    def ahead(s: Column, x: Column) -> Column:
-        goes = s["on"] & (x["passage"] == s["last"] + 1) & tolerant_run(x["words"], said, s["pos"])
-        return F.when(goes, F.struct((s["pos"] + F.size(x["words"])).alias("pos"), x["passage"].alias("last"), F.lit(True).alias("on"))).otherwise(F.struct(s["pos"], s["last"], F.lit(False).alias("on")))
-
-    after = F.filter("seq", lambda x: x["passage"] > F.col("_b.passage"))
-    r = r.withColumn("_w", F.aggregate(after, F.struct(F.col("_pos").alias("pos"), F.col("_b.passage").alias("last"), F.lit(True).alias("on")), ahead))
-    left = F.size(said) - F.col("_w.pos")
-    nxt = F.get(F.filter("seq", lambda x: x["passage"] == F.col("_w.last") + 1), F.lit(0))["words"]
-    partly = F.coalesce((left >= PARTLY) & (F.size(nxt) > left) & tolerant_run(F.slice(nxt, F.lit(1), F.greatest(left, F.lit(0))), said, F.col("_w.pos")), F.lit(False))
-    ok = F.col("_pos") >= 0
-    last = F.when(~ok, F.col("_b.passage")).when(partly, F.col("_w.last") + 1).otherwise(F.col("_w.last"))
-    n = F.when(ok & ~partly & (left >= 3), F.col("_w.pos")).otherwise(F.size(said))
-    return r.select(key, F.col("_b.passage").alias("first"), last.alias("last"), n.cast("long").alias("n_words"))
+    first = materialize(first.withColumn("pos", F.coalesce(F.get(F.filter(F.transform(cuts, found), lambda p: p.isNotNull()), F.lit(0)), F.lit(-1))), "begun")
+
+    def ahead(live: DataFrame) -> DataFrame:
+        met = live.join(beside(1), ["group", "at"]).where(tolerant_run(F.col("other"), said, F.col("pos")))
+        return met.select(key, "group", "words", (F.col("at") + 1).alias("at"), (F.col("pos") + F.size("other")).alias("pos"))
+
+    last = rounds(first.select(key, "group", "words", "at", "pos"), ahead).groupBy(key).agg(F.max_by(F.struct("at", "pos"), "at").alias("e"))
+    r = first.select(key, "group", "words", F.col("at").alias("first"), F.col("pos").alias("begin")).join(last.select(key, "e.at", "e.pos"), key).join(beside(1), ["group", "at"], "left")
+    left = F.size(said) - F.col("pos")
+    partly = F.coalesce((left >= PARTLY) & (F.size("other") > left) & tolerant_run(F.slice("other", F.lit(1), F.greatest(left, F.lit(0))), said, F.col("pos")), F.lit(False))
+    ok = F.col("begin") >= 0
+    end = F.when(~ok, F.col("first")).when(partly, F.col("at") + 1).otherwise(F.col("at"))
+    n = F.when(ok & ~partly & (left >= 3), F.col("pos")).otherwise(F.size(said))
+    return r.select(key, "first", end.alias("last"), n.cast("long").alias("n_words"))
 
 
 def yield_tails(refs: DataFrame, doc: str, ref: str) -> DataFrame:
