@@ -55,6 +55,25 @@ def swap_verdict(ours: Column, published: Column) -> Column:
     return F.when((b < 0.5 * a) | (b > 1.8 * a), "length").when((person(published) > 0) & (person(ours) == 0), "person").when(F.size(F.array_except(digits(ours), digits(published))) > 0, "dropped").otherwise("ok")
 
 
+def judged_swap(text: Column, ours: Column, published: Column) -> Column:
+    """Why ours isn't replaced by the published wording in a text, or ok, by the first that holds: ours doesn't stand there exactly once; both are the same; their lengths are apart; the
+    published one drops numbers or names, takes on a first person that ours has in the plural, or names whom the text doesn't."""
+    from quotary.functions.cards import added_names, dropped_words, person_shift
+
+    a, b = F.size(X.words(ours)), F.size(X.words(published))
+    reasons = [("not once", X.count_of(text, ours) != 1), ("same", ours == published), ("length", (b < 0.5 * a) | (b > 1.8 * a)), ("drops", F.size(dropped_words(ours, published)) > 0), ("person", F.size(person_shift(ours, published)) > 0), ("adds", F.size(added_names(published, ours)) > 0)]
+    return F.coalesce(*[F.when(F.coalesce(holds, F.lit(True)), why) for why, holds in reasons], F.lit("ok"))
+
+
+def transcript_problem(text: Column, second: Column, letters: str = "A-Za-z", share: float = 0.95, least: float = 0.8) -> Column:
+    """Why a text is no transcript, or null: under `share` of its letters are of the script (`letters`, as a set's content), or it has under `least` of the words of a
+    second reading of the same, where there is one. A text without letters has none of the script."""
+    every = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\p{L}"))
+    own = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{letters}]")) / F.greatest(every, F.lit(1))
+    n, m = F.size(X.words(text)), F.size(X.words(second))
+    return F.when(own < share, F.concat(F.floor(own * 100 + 0.5).cast("string"), F.lit("% of its letters"))).when((m > 0) & (n < least * m), F.concat_ws(" ", n.cast("string"), F.lit("words against"), m.cast("string")))
+
+
 def words_missing(a: Column, b: Column, edits: int = 1) -> Column:
     """Distinct plain Latin words of a, of four letters or more, that b lacks, one edit forgiven."""
     wa, wb = (F.array_distinct(F.filter(F.transform(X.words(t), X.latin_key), lambda w: w.rlike("^[a-z0-9]{4,}$"))) for t in (a, b))

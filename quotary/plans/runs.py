@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotary.functions import text as X
 from quotary.operators import assembly, audit, chunks, plugins
-from quotary.plans import alignments, assembling, checks, matching, texts
+from quotary.plans import alignments, assembling, checks, matching, texts, wordings
 from quotary.plans.sql import words
 from quotary.sources import tables as S
 from quotary.sources.scratch import shared_dir
@@ -122,6 +122,21 @@ def kinds_of_documents(spark: SparkSession, d: str) -> DataFrame:
     return plugins.with_kind(docs, kinds, "kind", "k0").groupBy("framing", "two_parts").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _next_turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("nxt is not null")
+
+
+def transcript_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn as a transcript, the next one as a second reading."""
+    return _next_turns(spark, d).select("conv_id", "turn", audit.transcript_problem(F.col("text"), F.col("nxt"), "A-Za-zà-ü").alias("problem"))
+
+
+def judged_swaps(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's wording against the next turn's, in a text that has it once, or twice where the turn's number is divisible by 5."""
+    text = F.concat(F.lit("Said: "), "text", F.when(F.col("turn") % 5 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
+    return _next_turns(spark, d).select("conv_id", "turn", audit.judged_swap(text, F.col("text"), F.col("nxt")).alias("verdict"))
+
+
 def full_gate(spark: SparkSession, d: str) -> DataFrame:
     """Eight checks of the documents, each a query of its own, and the gate over what they find."""
     said = lambda df, name, level: df.select("doc_id").distinct().select("doc_id", F.lit(name).alias("check"), F.lit(level).alias("level"))
@@ -133,7 +148,7 @@ def full_gate(spark: SparkSession, d: str) -> DataFrame:
     return audit.publish_gate(found)
 
 
-QUERIES = {f.__name__: f for f in (placed_views, answered_requests, kinds_of_documents, full_gate, event_log, canon_rows, manifest_words, read_blocks, planned_requests, review_rounds)}
+QUERIES = {f.__name__: f for f in (transcript_problems, judged_swaps, placed_views, answered_requests, kinds_of_documents, full_gate, event_log, canon_rows, manifest_words, read_blocks, planned_requests, review_rounds)}
 
 _P = lambda t, n: f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]{{{n},}}')"
 _T = lambda t: f"regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
@@ -172,6 +187,10 @@ SELECT conv_id, turn, 1 AS round, verdict FROM v WHERE fix IS NOT NULL UNION ALL
 SQL["placed_views"] = "SELECT CASE WHEN user_id % 10 > 0 THEN 'c' || user_id % 7 END AS city, CASE WHEN user_id % 10 > 0 THEN 'z' || user_id % 3 END AS country, CASE WHEN user_id % 10 > 0 THEN user_id % 11 = 0 END AS hosting, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY ALL"
 SQL["answered_requests"] = f"SELECT sha1('m' || chr(10) || text) AS hash, CASE WHEN n > 40 THEN 'failed' ELSE 'done' END AS state, CASE WHEN n <= 40 THEN md5(replace(text, 'e', '3')) END AS answer, CASE WHEN n > 40 THEN 0 ELSE floor(length(text) / 1000.0::DOUBLE * 1000 + 0.5) / 1000 END::DOUBLE AS cost FROM (SELECT DISTINCT text, len({words('text')}) AS n FROM conversations)"
 SQL["kinds_of_documents"] = "SELECT n_name AS framing, n_nationkey % 3 = 0 AS two_parts, count(*)::BIGINT AS n FROM documents JOIN nation ON n_nationkey = CASE WHEN doc_id % 2 = 0 THEN doc_id % 50 // 2 ELSE 0 END GROUP BY ALL"
+SQL["transcript_problems"] = f"""WITH c AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), s AS (SELECT conv_id, turn, length(regexp_replace(text, '[^A-Za-zà-ü]', '', 'g'))::DOUBLE / greatest(1, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS own, len({words('text')}) AS n, len({words('nxt')}) AS m FROM c WHERE nxt IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN own < 0.95::DOUBLE THEN floor(own * 100 + 0.5)::BIGINT || '% of its letters' WHEN m > 0 AND n < 0.8::DOUBLE * m THEN n || ' words against ' || m END AS problem FROM s"""
+SQL["judged_swaps"] = f"""WITH c AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), w AS (SELECT *, len({words('text')}) AS a, len({words('nxt')}) AS b FROM c WHERE nxt IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN turn % 5 = 0 OR len(string_split('Said: ' || text, text)) <> 2 THEN 'not once' WHEN text = nxt THEN 'same' WHEN b < 0.5::DOUBLE * a OR b > 1.8::DOUBLE * a THEN 'length' WHEN dropped > 0 THEN 'drops' WHEN persons > 0 THEN 'person' WHEN added > 0 THEN 'adds' ELSE 'ok' END AS verdict FROM w JOIN ({wordings.SQL["person_shifts"]}) USING (conv_id, turn)"""
 _CHECKS = [
     (texts.SQL["script_fitness"], "reason IS NOT NULL", "fitness", "warn"), (texts.SQL["mid_sentence_share"], "warn", "open", "warn"), (matching.SQL["restarts"], "true", "said again", "fail"), (checks.SQL["term_rules"], "instead IS NULL", "forbidden", "fail"),
     (checks.SQL["term_rules"], "instead IS NOT NULL", "avoided", "warn"), (alignments.SQL["recited_words"], "last - first < 11", "part", "warn"), (matching.SQL["liturgical_share"], "true", "formula", "warn"), (assembling.SQL["label_faults"], "true", "label", "fail"),

@@ -86,3 +86,29 @@ def test_sketches_merge_over_days(spark):
     exact = {d: len({(u * 7 + e) % 900 for e in range(max(0, d - 2), d + 1) for u in range(500)}) for d in range(10)}
     got = audience.distinct_over(sketches, 3).orderBy("day").collect()
     assert len(got) == 10 and all(abs(r["ids"] - exact[d]) <= 0.05 * exact[d] for d, r in enumerate(got))
+
+
+def test_transcripts_and_swaps(spark):
+    from quotary.operators import audit
+
+    rows = [("all plain words here", None, None), ("half ضصثق", None, "50% of its letters"), ("one two three", "a b c d", "3 words against 4"), ("one two three four", "a b c d e", None), ("12 34", None, "0% of its letters"), (None, None, "0% of its letters")]
+    got = spark.createDataFrame(rows, "t string, s string, want string").withColumn("got", audit.transcript_problem(F.col("t"), F.col("s"))).collect()
+    assert all(r["got"] == r["want"] for r in got), got
+    swaps = [
+        ("he said go home now", "go home now", "please go home", "ok"), ("go on and go on", "go on", "move on", "not once"), ("x", "go", "go", "not once"), ("go home", "go home", "go home", "same"), ("go home", "go home", "go " * 9, "length"),
+        ("he gave two coins", "he gave two coins", "he gave some coins", "drops"), ("we went to our home", "we went to our home", "and I went to my home", "person"), ("they saw a man there", "they saw a man there", "they saw Khalid there too", "adds"),
+    ]
+    got = spark.createDataFrame(swaps, "t string, a string, b string, want string").withColumn("got", audit.judged_swap(F.col("t"), F.col("a"), F.col("b"))).collect()
+    assert all(r["got"] == r["want"] for r in got), got
+
+
+def test_a_walk_through_a_group_of_thousands(spark):
+    """One gram stands in every passage; a walk meets one passage a round, not the group."""
+    from quotary.operators import quotes
+
+    canon = spark.createDataFrame([(1, i, ["so", "they", "all", "said", f"w{i}"]) for i in range(5000)], "group long, passage long, words array<string>")
+    said = [w for i in (10, 11, 12) for w in ["so", "they", "all", "said", f"w{i}"]] + ["end"] * 5
+    rows = spark.createDataFrame([("d", said)], "doc string, deep array<string>")
+    spans = spark.createDataFrame([("d", 0, 5, [(1, 10, 0, 5)])], "doc string, start long, end long, parts " + f"array<{quotes.PART}>")
+    r = quotes.walk_on(spans, rows, canon, "doc").first()
+    assert (r["start"], r["end"], [p["passage"] for p in r["parts"]]) == (0, 15, [10, 11, 12])
