@@ -429,8 +429,8 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         more = materialize(found.unionByName(links if links is not None else tied), "links")
         discard(links, labels)
         links = more
-    labels = materialize(components(links), "labels")
-    discard(meetings, marks, sets, links)
+    labels = components(links)
+    discard(meetings, marks, sets)
     out = member.join(rep, ["size", "s1", "s2"], "left").join(labels, F.col("rep") == F.col("node"), "left")
     alone = F.when(F.col("size") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
     return out.select(F.col("doc").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNotNull(), alone).alias("component_id"))
