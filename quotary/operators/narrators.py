@@ -21,7 +21,7 @@ from quotary.functions.text import edges, words
 class Rule:
     """A line of the table. `reads` names the text that `pattern` is looked for in: the line without its framing, the text that follows
     it, or both up to the one that all chains end with. Names are a group's number, 0 for the line's own name, or a text
-    with {}; `whole` takes a group as it stands, up to no reporting word. `needs` is a pattern that the line must hold, `not_name` one that the companion mayn't."""
+    with {}; with `last` the last match counts, and its name is taken as it stands. `needs` is a pattern that the line must hold, `not_name` one that the companion mayn't."""
 
     reads: str
     pattern: str
