@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotary.functions.text import edges
+
 DAY = 86400
 #: The ordered cascade of user-agent patterns (flag i: letters in either case).
 BOT = r"(?i)bot\b|bot/|crawl|spider|slurp|headless|preview|scanner|monitor|python|curl|wget|lighthouse|facebookexternalhit|whatsapp/|go-http|axios|node-fetch"
@@ -27,7 +29,7 @@ def classify_agent(df: DataFrame, ua: str) -> DataFrame:
     u = F.coalesce(F.col(ua), F.lit(""))
     tablet = u.rlike("(?i)ipad|tablet") | (u.rlike("(?i)android") & ~u.rlike("(?i)mobile"))
     device = F.when(tablet, "Tablet").when(u.rlike("(?i)mobi|iphone|ipod|android"), "Phone").otherwise("Computer")
-    return df.withColumns({"bot": u.rlike(BOT), "os": _first(u, SYSTEMS, "Other"), "device": device, "browser": _first(u, BROWSERS, "Other")})
+    return df.withColumns({"bot": u.rlike(edges(BOT)), "os": _first(u, SYSTEMS, "Other"), "device": device, "browser": _first(u, BROWSERS, "Other")})
 
 
 def zone_day(ts: Column, zone: str = "Asia/Riyadh") -> Column:
