@@ -207,5 +207,7 @@ SELECT entry, min(minute) FILTER (WHERE share < 0.5) AS half, arg_max(minute, (d
     "even_sample": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), k AS (SELECT unnest(range(0, 20)) AS k) SELECT event_type, k::BIGINT AS k, event_id FROM r JOIN k ON i = floor((k + 0.5) * n / 20)",
     "rate_limited": "WITH r AS (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '35999.999999' SECOND PRECEDING AND CURRENT ROW) <= 5 AS ok FROM events) SELECT user_id, count(*) FILTER (WHERE ok)::BIGINT AS allowed, count(*) FILTER (WHERE NOT ok)::BIGINT AS refused FROM r GROUP BY user_id",
     "traffic_sources": f"WITH {_V} SELECT CASE k % 5 WHEN 0 THEN 'tag s' || k WHEN 1 THEN 'from r' || k WHEN 2 THEN 'inside Facebook app' ELSE 'direct' END AS source, count(*)::BIGINT AS n FROM w GROUP BY 1",
-    "shown_shares": "WITH g AS (SELECT user_id, sum(round(value)::BIGINT) AS s, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) AS b FROM events GROUP BY user_id) SELECT user_id, CASE WHEN s < 60 THEN s::BIGINT || ' s' WHEN s < 600 THEN format('{:.1f} min', s / 60.0) ELSE format('{:.0f} min', s / 60.0) END AS time, floor(100.0 * a / b + 0.5)::BIGINT || '%' AS share FROM g",
+    "shown_shares": """WITH g AS (SELECT user_id, sum(round(value)::BIGINT) AS s, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) AS b FROM events GROUP BY user_id),
+m AS (SELECT *, floor(s / 60.0) AS w, s / 60.0 - floor(s / 60.0) AS p FROM g), t AS (SELECT *, w::BIGINT * 10 + (((p * 4503599627370496)::BIGINT * 20 + 4503599627370496) >> 53) AS n FROM m)
+SELECT user_id, CASE WHEN s < 60 THEN s::BIGINT || ' s' WHEN s < 600 THEN n // 10 || '.' || n % 10 || ' min' ELSE w::BIGINT + CASE WHEN p >= 0.5 THEN 1 ELSE 0 END || ' min' END AS time, floor(100.0 * a / b + 0.5)::BIGINT || '%' AS share FROM t""",
 }
