@@ -7,6 +7,8 @@ the passage's length bounds; a document's spans are settled by windows and folds
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -73,20 +75,23 @@ def _alignments(diagonals: DataFrame, doc: str) -> DataFrame:
     return diagonals.mapInArrow(run, f"{doc} {kind}, group long, passage long, d long, a_start long, a_end long, matched long")
 
 
-def tolerant_run(want: Column, have: Column, at: Column) -> Column:
-    """Whether the words `want` stand in `have` from word `at` on, misheard words allowed.
+def tolerant_run(want: Column, have: Column, at: Column, skip: Column | int = 0) -> Column:
+    """Whether the words `want`, without the first `skip`, stand in `have` from word `at` on, misheard words allowed.
 
     One edit in a word of four letters or more is free; other near misses, of two edits, may be a quarter of the words, one
-    at least; words further apart end it. At least half must be there in full."""
-    n = F.size(want)
+    at least; words further apart end it. At least half must be there in full. The first words are looked at before the rest."""
+    skip = F.lit(skip) if isinstance(skip, int) else skip
+    n = F.size(want) - skip
+    at = at.cast("int")
     kinds = F.zip_with(
-        want, F.slice(have, F.greatest(at.cast("int"), F.lit(0)) + 1, n),
+        F.slice(want, skip + 1, F.greatest(n, F.lit(0))), F.slice(have, F.greatest(at, F.lit(0)) + 1, F.greatest(n, F.lit(0))),
         lambda w, g: F.when(w == g, 0).when(F.levenshtein(w, g, 2) < 0, 2).when((F.levenshtein(w, g) == 1) & (F.greatest(F.length(w), F.length(g)) >= 4), 0).otherwise(1),
     )
-    count = lambda k: F.aggregate(k, F.lit(0), lambda s, x: s + F.when(x.isNull() | (x == 2), 1 << 20).otherwise(x))  # noqa: E731  a word too far apart is beyond any bound
+    count = lambda k: F.aggregate(k, F.lit(0).cast("long"), lambda s, x: s + F.when(x.isNull() | (x == 2), 1 << 20).otherwise(x))  # noqa: E731  a word too far apart is beyond any bound
     fits = (n > 0) & (at >= 0) & (at + n <= F.size(have))
+    begins = reduce(lambda c, k: c & ((n <= k) | F.coalesce(F.levenshtein(F.get(want, skip + k), F.get(have, at + k), 2) >= 0, F.lit(False))), range(4), fits)
     good = lambda wrong: (wrong <= F.greatest(F.lit(1), F.floor(n * 0.25))) & (n - wrong >= F.ceil(n / 2))
-    return F.coalesce(fits & let(count(kinds), good), F.lit(False))
+    return F.coalesce(begins & let(count(kinds), good), F.lit(False))
 
 
 def word_rows(docs: DataFrame, doc: str, text: str, lang: Language) -> DataFrame:
