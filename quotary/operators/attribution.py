@@ -62,14 +62,16 @@ def attributed_quotes(rows: DataFrame, canon: DataFrame, doc: str, opener: str,
     `most` words that a passage of the collection has in that order; of those that have them the shortest passage.
 
     Quotations meet passages by their first two words; only these are compared whole."""
-    at = rows.select(doc, "light", F.posexplode("light").alias("i", "w")).where(F.col("w").rlike(reported))
-    ahead = F.array_compact(F.transform(F.slice("light", F.col("i") + 2, F.lit(3)), lambda w: _named(w, collections)))
-    at = at.withColumn("collection", F.get(ahead, F.lit(0))).where("collection is not null")
-    lo = F.greatest(F.col("i") - back, F.lit(0))
-    lead = F.slice("light", lo + 1, F.col("i") - lo)
-    start = lo + F.array_max(F.transform(lead, lambda w, k: F.when(w.rlike(opener), k + 1)))
-    q = at.withColumn("start", start).where(F.col("start").isNotNull() & (F.col("i") - F.col("start")).between(least, most))
-    q = q.select(doc, "start", F.col("i").alias("end"), "collection", F.slice("light", F.col("start") + 1, F.col("i") - F.col("start")).alias("q"))
+    n = F.size("light")
+    told = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("light", i).rlike(reported))
+    lo = lambda i: F.greatest(i - back, F.lit(0))
+    near = lambda i: F.struct(i.alias("i"), F.slice("light", lo(i) + 1, i - lo(i)).alias("lead"), F.slice("light", i + 2, F.lit(3)).alias("ahead"))
+    # a reporting word takes along the words around it, not the document's
+    at = rows.where(n > 0).select(doc, F.explode(F.transform(told, near)).alias("m")).select(doc, "m.i", "m.lead", "m.ahead")
+    at = at.withColumn("collection", F.get(F.array_compact(F.transform("ahead", lambda w: _named(w, collections))), F.lit(0))).where("collection is not null")
+    from_ = F.array_max(F.transform("lead", lambda w, k: F.when(w.rlike(opener), k + 1)))
+    q = at.withColumn("from", from_).where(F.col("from").isNotNull() & (F.size("lead") - F.col("from")).between(least, most))
+    q = q.select(doc, (F.col("i") - F.size("lead") + F.col("from")).alias("start"), F.col("i").alias("end"), "collection", F.slice("lead", F.col("from") + 1, F.size("lead") - F.col("from")).alias("q"))
     q = q.select("*", F.get(gram_hashes(F.col("q"), 2), F.lit(0))["h"].alias("h"))
     c = canon.select("collection", "passage", "words", F.explode(F.array_distinct(F.transform(gram_hashes(F.col("words"), 2), lambda g: g["h"]))).alias("h"))
     flat = lambda a: F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" "))

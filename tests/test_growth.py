@@ -29,3 +29,15 @@ def test_tails_meet_in_buckets_and_not_in_all_pairs(spark):
     assert got == {i: ((i * 10 + 9, 2) if i < 39 else (i * 10 + 25, 7)) if i % 2 else (i * 10, 5) for i in range(40)}
     plan = tails._jdf.queryExecution().optimizedPlan().toString()
     assert "_b" in plan
+
+
+def test_reporting_words_take_along_only_what_is_near(spark):
+    from quotary.operators import attribution as N
+
+    said = ["as", "one", "two", "in", "the"] + ["in"] * 20_000
+    rows = spark.createDataFrame([(d, said) for d in range(4)], "doc long, light array<string>")
+    canon = spark.createDataFrame([("first", 7, ["one", "two"])], "collection string, passage long, words array<string>")
+    quoted = N.attributed_quotes(rows, canon, "doc", "^as$", "^in$", {"the": "first"})
+    assert sorted(tuple(r) for r in quoted.collect()) == [(d, 1, 3, "first", 7) for d in range(4)]
+    # the document's words aren't among the columns of the exploded rows
+    assert not any("light#" in line.split("]")[-2] for line in quoted._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode(transform(filter" in line)
