@@ -24,6 +24,8 @@ from quotary.sources.scratch import materialize
 ANCHOR, LEAST, BEFORE, AFTER = 4, 5, 4, 8
 #: Scores of an alignment: equal words, different words, a word that one side lacks.
 EQUAL, DIFFERENT, LACKING = 2, -2, -1
+#: Rare words of a passage that a window must hold at most before it is read.
+HELD = 3
 PART = "struct<group:bigint,passage:bigint,start:bigint,end:bigint>"
 
 
@@ -322,21 +324,31 @@ def best_windows(docs: DataFrame, canon: DataFrame, doc: str, text: str, passage
     """(doc, passage, start, end, score): X9. Of every passage, `shortest` words or more, the window of its own length in the
     document whose distinct words are most alike by Jaccard, the first of equals, if `least` or more.
 
-    A window that alike shares more than half of the passage's distinct words, so of its rarest ones it holds at least one
-    among `size - ceil(least * size) + 1`: these alone are joined, and only windows around such a word are read. Overlaps
-    of different passages are settled by overlaps_by_score."""
+    A window that alike has `ceil(least * size)` of the passage's distinct words or more, so of any `size - ceil(least * size) + k`
+    of them it holds k, HELD of them at most. The documents' rarest ones alone are joined, and only windows that hold so many
+    are read. Overlaps of different passages are settled by overlaps_by_score."""
     from quotary.functions.text import latin_key
 
     key = key or latin_key
     rows = docs.select(doc, F.explode(F.array(F.filter(keys(F.col(text), key), lambda w: w != ""))).alias("w"))
     known = canon.select(passage, F.explode(F.array(F.filter(keys(F.col(canon_text), key), lambda w: w != ""))).alias("a")).where(F.size("a") >= shortest).withColumn("set", F.array_distinct("a"))
-    df = known.select(F.explode("set").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = known.select(passage, F.size("a").alias("n"), F.size("set").alias("m"), F.explode("set").alias("word")).join(df, "word")
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(passage).orderBy("df", "word"))).where(F.col("_r") <= F.col("m") - F.ceil(F.col("m") * least) + 1)
     at = rows.select(doc, F.size("w").alias("total"), F.posexplode("w").alias("pos", "word"))
-    near = at.join(ranked.select(passage, "n", "word"), "word").where("n <= total")
-    starts = near.select(doc, passage, F.explode(F.sequence(F.greatest(F.col("pos") - F.col("n") + 1, F.lit(0)), F.least(F.col("pos"), F.col("total") - F.col("n")))).alias("start")).distinct()
-    lists = starts.groupBy(doc, passage).agg(F.array_sort(F.collect_list("start")).alias("starts")).join(rows, doc).join(known, passage)
+    said = at.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = known.select(passage, F.size("a").alias("n"), F.size("set").alias("m"), F.explode("set").alias("word")).join(said, "word", "left")
+    enough = F.ceil(F.col("m") * least)
+    ranked = ranked.withColumn("k", F.least(enough, F.lit(HELD)).cast("int")).withColumn("_r", F.row_number().over(Window.partitionBy(passage).orderBy(F.coalesce("df", F.lit(0)), "word"))).where(F.col("_r") <= F.col("m") - enough + F.col("k"))
+    ranked = materialize(ranked.select(passage, "n", "k", "word"), "ranked")
+    near = at.join(ranked, "word").where("n <= total").groupBy(doc, passage, "n", "k", "total").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+
+    def windows(i: Column) -> Column:
+        """Where a window may begin that holds the i-th place and the k - 1 after it."""
+        first, last = F.get("p", i), F.get("p", i + F.col("k") - 1)
+        lo, hi = F.greatest(last - F.col("n") + 1, F.lit(0)), F.least(first, F.col("total") - F.col("n"))
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("k")), windows))))
+    held = near.where("size(p) >= k").select(doc, passage, starts.alias("starts")).where("size(starts) > 0")
+    lists = held.join(rows, doc).join(known, passage)
     scored = F.transform("starts", lambda i: F.struct(_alike(F.array_distinct(F.slice("w", i + 1, F.size("a"))), F.col("set")).alias("score"), (-i).alias("i")))
     best = lists.select(doc, passage, F.size("a").alias("n"), F.array_max(scored).alias("b"))
     return best.where(F.col("b.score") >= least).select(doc, passage, (-F.col("b.i")).cast("long").alias("start"), (F.col("n") - F.col("b.i")).cast("long").alias("end"), half_up(F.col("b.score")).alias("score"))
