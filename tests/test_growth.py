@@ -41,3 +41,18 @@ def test_reporting_words_take_along_only_what_is_near(spark):
     assert sorted(tuple(r) for r in quoted.collect()) == [(d, 1, 3, "first", 7) for d in range(4)]
     # the document's words aren't among the columns of the exploded rows
     assert not any("light#" in line.split("]")[-2] for line in quoted._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode(transform(filter" in line)
+
+
+def test_only_runs_that_are_asked_for_are_shuffled(spark, monkeypatch):
+    import random
+
+    from quotary.operators import refs
+
+    rng, written, write = random.Random(5), {}, refs.materialize
+    monkeypatch.setattr(refs, "materialize", lambda df, tag: written.setdefault(tag, write(df, tag)))
+    texts = ["".join(rng.choices("abcdefgh éß", k=rng.randint(20, 200))) for _ in range(200)]
+    texts += [texts[0][3:18], texts[1][5:], "é", "x" * 5000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = {(i, j) for i, t in enumerate(texts) for j, u in enumerate(texts) if i != j and t in u}
+    assert {(r["id"], r["held_by"]) for r in refs.contained(frame, "id", "t").collect()} == want
+    assert written["offered"].count() < 8 * len(texts)
