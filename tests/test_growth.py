@@ -64,3 +64,26 @@ def test_anchors_of_two_readings(spark):
     rows = spark.createDataFrame([(1, [5, 6, 7, 8, 5], [6, 7, 9, 8]), (2, [1, 1], [1]), (3, [], []), (4, None, [1])], "doc int, a array<long>, b array<long>")
     got = grams.unique_anchors(rows, "doc")
     assert [tuple(r) for r in got.collect()] == [(1, 3, 2)] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_located_passages_read_documents_a_few_times(spark):
+    import random
+
+    from quotary.operators import refs
+
+    rng = random.Random(3)
+    say = lambda lo, hi: rng.choices("ab", k=rng.randint(lo, hi))
+    docs, canon = {i: say(0, 60) + ["c"] * 40 for i in range(40)}, {i: say(3, 12) for i in range(60)}
+    want = {}
+    for d, w in docs.items():
+        for p, a in canon.items():
+            at = lambda x: [i for i in range(len(w) - len(x) + 1) if w[i : i + len(x)] == x]  # noqa: E731,B023
+            found = next(((at(a[:n])[0], n) for n in range(min(5, len(a)), len(a) + 1) if len(at(a[:n])) == 1), None)
+            found = found or next(((max(at(a[k : k + 5])[0] - k, 0), 5) for k in range(1, 5) if len(a) - k >= 5 and len(at(a[k : k + 5])) == 1), None)
+            want |= {(d, p): found} if found else {}
+    given = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc long, t string"), spark.createDataFrame([(p, " ".join(a)) for p, a in canon.items()], "p long, u string")
+    located = refs.locate_unique(given[0], "doc", "t", given[1], "p", "u", back=4)
+    assert {(r["doc"], r["p"]): (r["pos"], r["n"]) for r in located.collect()} == want and len(want) > 100
+    # each scan of the documents is a parse of all their words; nor are these among the columns of a row for each place
+    plan = located._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [doc") <= 1
