@@ -87,3 +87,13 @@ def test_located_passages_read_documents_a_few_times(spark):
     # each scan of the documents is a parse of all their words; nor are these among the columns of a row for each place
     plan = located._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD [doc") <= 1
+
+
+def test_pairs_of_words_cut_a_text_once(spark):
+    from quotary.functions import text as X
+
+    share = X.pair_share(X.words(F.col("a")), X.words(F.col("b")))
+    df = spark.createDataFrame([("x y z", "y z x y"), ("x", "x"), ("", "x"), (None, "x")], "a string, b string").select(share.alias("s"))
+    assert [r["s"] for r in df.collect()] == [1.0, 1.0, 0.0, 0.0]
+    # words made in a lambda are made again for each of them
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
