@@ -97,3 +97,19 @@ def test_pairs_of_words_cut_a_text_once(spark):
     assert [r["s"] for r in df.collect()] == [1.0, 1.0, 0.0, 0.0]
     # words made in a lambda are made again for each of them
     assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
+
+
+def test_pairs_are_aligned_together(monkeypatch):
+    import random
+
+    from quotary.operators import alignment
+
+    rng, alone = random.Random(1), []
+    say = lambda most: [rng.choice([None, *"abcd"]) for _ in range(rng.randint(0, most))]
+    pairs = [(say(40), say(40)) for _ in range(300)]
+    want = [alignment.global_pairs(*p) for p in pairs]
+    one = alignment.global_pairs
+    monkeypatch.setattr(alignment, "global_pairs", lambda a, b: alone.append(len(a)) or one(a, b))
+    assert alignment.global_pairs_of(pairs) == want and not alone
+    monkeypatch.setattr(alignment, "CELLS", 900)  # larger tables than that are made alone
+    assert alignment.global_pairs_of(pairs) == want and 0 < len(alone) < 100
