@@ -150,3 +150,39 @@ def test_lookups_read_their_state_once_a_batch():
     got = next(iter(p.handleInputRows((0,), iter([batch]), None)))
     assert got["verdict"].tolist() == ["looked up", "known", "looked up", "refused", "looked up", "known", "looked up", "looked up", "refused"]
     assert p.known.rows == {("a",): (61_000_000,), ("b",): (42_000_000,), ("c",): (62_000_000,)} and p.known.calls == 1
+
+
+def test_shared_words_are_counted_once_a_pair(spark, monkeypatch):
+    import random
+
+    from quotary.operators import refs
+
+    rng, written, write = random.Random(7), [], refs.materialize
+    monkeypatch.setattr(refs, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    say = lambda n: " ".join(rng.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=n))
+    texts, canon = [say(rng.randint(0, 14)) for _ in range(300)] + ["Zz -- w1"], [say(rng.randint(1, 10)) for _ in range(40)]
+    t, c = spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame(list(enumerate(canon)), "p int, c string")
+    for least, contained in ((0.4, True), (0.5, False), (0.75, True)):
+        want = {}
+        for i, x in enumerate(texts):
+            for p, y in enumerate(canon):
+                a, b = ({w for w in z.lower().split() if w != "--"} for z in (x, y))
+                if a and b and a & b and (len(a & b) >= least * len(a) or (contained and len(a & b) == len(b))):
+                    want[i, p] = (len(a & b), len(a), len(b))
+        got = refs.alike_pairs(t, ["id"], "t", c, "p", "c", least, contained)
+        assert {(r["id"], r["p"]): (r["s"], r["n"], r["m"]) for r in got.collect()} == want
+    # texts are read for one table, and pairs are scored from one count of their words
+    assert written == ["known"] * 3
+    plan = refs.best_match(t, ["id"], "t", c, "p", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "split(t#" not in plan
+
+
+def test_bodies_are_compared_word_for_word_only_if_alike(spark):
+    from quotary.operators import refs
+
+    t = spark.createDataFrame([(1, "one two (aside) three four five six seven"), (2, "other words"), (3, "one two"), (4, "(one)"), (5, None)], "id int, t string")
+    c = spark.createDataFrame([(7, "one two three four five six seven"), (8, "one two three x y z"), (9, "-")], "p int, c string")
+    got = refs.best_body(t, ["id"], "t", c, "p", "c")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 7, 1.0), (3, 8, 0.33)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and plan.count("LeftSemi") == 1
