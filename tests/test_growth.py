@@ -186,3 +186,9 @@ def test_bodies_are_compared_word_for_word_only_if_alike(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 7, 1.0), (3, 8, 0.33)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and plan.count("LeftSemi") == 1
+
+
+def test_layers_read_documents_once(spark):
+    from quotary.plans import matching
+
+    assert "split(" not in matching.tagged_layers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
