@@ -212,3 +212,34 @@ def test_openings_are_placed_by_one_reading(spark, monkeypatch):
     frame = lambda rows, k: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{k} int, t string")
     got = refs.locate_openings(frame(docs, "d"), "d", "t", frame(canon, "p"), "p", "t")
     assert {(r["d"], r["p"]): (r["n"], r["pos"]) for r in got.collect()} == want and written == ["openings"]
+
+
+def test_rows_are_compared_with_themselves_together(spark, monkeypatch):
+    import random
+
+    from quotary.operators import chunks
+
+    calls, one = [], chunks._repeated
+    monkeypatch.setattr(chunks, "_repeated", lambda w, n, within: calls.append(len(w)) or one(w, n, within))
+    rng = random.Random(13)
+    texts = [["", "a", "b", "c"][: rng.randint(2, 4)] for _ in range(80)]
+    texts = [rng.choices(k, k=rng.randint(0, 90)) for k in texts] + [["a"] * 3, [], ["a"] * 50]
+    want = [chunks.repeated_runs(t, 5, 30) for t in texts]
+    calls.clear()
+    ids = {"": 0, "a": 5, "b": -6, "c": 7}
+    import pyarrow as pa
+
+    for together in (1 << 19, 100):
+        monkeypatch.setattr(chunks, "TOGETHER", together)
+        got = chunks.repeats_of(5, 30).func(pa.array([[ids[x] for x in t] for t in texts], pa.list_(pa.int64()))).to_pylist()
+        assert got == want
+    assert len(calls) < 1 + len(texts)
+
+
+def test_lost_words_are_counted_in_one_go(spark):
+    from quotary.operators import audit
+
+    frame = lambda rows: spark.createDataFrame(rows, "id int, t string")
+    got = audit.word_coverage(frame([(1, "a a b -"), (2, "x"), (3, None), (4, "same")]), frame([(1, "a b b c"), (5, "y y"), (4, "same")]), "id", "t")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 2), (2, 1, 0), (4, 0, 0), (5, 0, 2)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
