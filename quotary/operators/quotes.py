@@ -26,6 +26,8 @@ ANCHOR, LEAST, BEFORE, AFTER = 4, 5, 4, 8
 EQUAL, DIFFERENT, LACKING = 2, -2, -1
 #: Rare words of a passage that a window must hold at most before it is read.
 HELD = 3
+#: Numbers that a filter of documents tells apart: its size, whatever the input.
+FILTER = 1 << 20
 PART = "struct<group:bigint,passage:bigint,start:bigint,end:bigint>"
 
 
@@ -96,6 +98,14 @@ def tolerant_run(want: Column, have: Column, at: Column, skip: Column | int = 0)
     return F.coalesce(begins & let(count(kinds), good), F.lit(False))
 
 
+def named(docs: DataFrame, by: DataFrame, doc: str) -> DataFrame:
+    """docs that a row of `by` names. A filter of fixed size is asked where they are read, so that those and few others are shuffled."""
+    bucket = F.pmod(F.xxhash64(doc), F.lit(FILTER)).alias("_b")
+    some = by.select(doc).distinct()
+    near = docs.select("*", bucket).join(F.broadcast(some.select(bucket).distinct()), "_b", "left_semi")
+    return near.drop("_b").join(some, doc, "left_semi")
+
+
 def word_rows(docs: DataFrame, doc: str, text: str, lang: Language) -> DataFrame:
     """(doc, raw, deep): a document's words and their keys, one row a document."""
     rows = docs.select(doc, F.explode(F.array(words(F.col(text)))).alias("raw"))
@@ -110,15 +120,18 @@ def canon_rows(canon: DataFrame, lang: Language) -> DataFrame:
     return canon.select(F.col("group").cast("long").alias("group"), F.col("passage").cast("long").alias("passage"), make(lang.deep).alias("words"), make(lang.spelling).alias("spelled"))
 
 
-def anchored_spans(rows: DataFrame, canon: DataFrame, doc: str, lang: Language) -> DataFrame:
-    """(doc, p, start, end, group, passage): X1's first part. For each anchor in a document the best span around it.
+def anchor_hits(rows: DataFrame, canon: DataFrame, doc: str) -> DataFrame:
+    """(doc, group, passage, p, q, d): where ANCHOR words of a document stand in a passage."""
+    flat = lambda df, key, col: df.select(*key, F.posexplode(gram_hashes(F.col(col), ANCHOR)).alias("pos", "g")).select(*key, F.col("pos").cast("long").alias("pos"), "g.h", "g.c")
+    return gram_join(flat(rows, [doc], "deep"), flat(canon, ["group", "passage"], "words"), doc, ["group", "passage"], most_passages=1 << 30).withColumn("d", F.col("p") - F.col("q"))
+
+
+def anchored_spans(hits: DataFrame, rows: DataFrame, canon: DataFrame, doc: str, lang: Language) -> DataFrame:
+    """(doc, p, start, end, group, passage): X1's first part. For each anchor in a document the best span around it, of anchor_hits.
 
     The span is the aligned one if it matches an anchor's worth of words, else the exact stretch on the anchor's diagonal
     (X3). The longest wins; of equals (T7) the one whose spelling agrees with more of the words said, then the one whose
     next passage follows, then the first of the canon."""
-    flat = lambda df, key, col: df.select(*key, F.posexplode(gram_hashes(F.col(col), ANCHOR)).alias("pos", "g")).select(*key, F.col("pos").cast("long").alias("pos"), "g.h", "g.c")
-    hits = gram_join(flat(rows, [doc], "deep"), flat(canon, ["group", "passage"], "words"), doc, ["group", "passage"], most_passages=1 << 30).withColumn("d", F.col("p") - F.col("q"))
-    hits = materialize(hits, "hits")
     h = lambda c: F.transform(c, lambda w: F.xxhash64(w))
     lanes = hits.select(doc, "group", "passage", "d").distinct().join(rows.select(doc, "deep"), doc).join(canon.select("group", "passage", "words"), ["group", "passage"])
     lo = F.greatest(F.lit(0).cast("long"), F.col("d") - BEFORE)
@@ -226,8 +239,8 @@ def trim_opener(spans: DataFrame, lang: Language, most: int = 5) -> DataFrame:
     return s.withColumns({"start": F.when(hit, F.get("_p", F.lit(1))["start"]).otherwise(F.col("start")), "parts": F.when(hit, rest).otherwise(F.col("parts"))}).drop("_p")
 
 
-def _settled(rows: DataFrame, canon: DataFrame, doc: str, lang: Language) -> DataFrame:
-    anchors = materialize(anchored_spans(rows, canon, doc, lang), "anchors")
+def _settled(hits: DataFrame, rows: DataFrame, canon: DataFrame, doc: str, lang: Language) -> DataFrame:
+    anchors = materialize(anchored_spans(hits, rows, canon, doc, lang), "anchors")
     taken = materialize(extend_starts(advance(anchors, doc), rows, canon, doc, lang), "taken")
     one = taken.withColumn("parts", F.array(F.struct("group", "passage", F.col("start"), F.col("end")).cast(PART)))
     walked = materialize(walk_on(materialize(merge_parts(one, doc), "merged"), rows, canon, doc), "walked")
@@ -239,10 +252,13 @@ def find_spans(docs: DataFrame, canon: DataFrame, doc: str, text: str, lang: Lan
 
     Word positions from 0, end exclusive. group and passage are those of the first part; parts are all passages that the
     stretch covers, with their places. A stretch that runs over a word that introduces a quotation, and which its passages
-    lack, is cut there, and either side is read anew (X8). Documents without a quotation give no row.
+    lack, is cut there, and either side is read anew (X8). Documents without a quotation give no row; after the first
+    reading only those with an anchor take part.
     """
-    rows, known = materialize(word_rows(docs, doc, text, lang), "words"), materialize(canon_rows(canon, lang), "canon")
-    spans = materialize(_settled(rows, known, doc, lang), "spans")
+    docs, known = docs.select(doc, text), materialize(canon_rows(canon, lang), "canon")
+    hits = materialize(anchor_hits(word_rows(docs, doc, text, lang), known, doc), "hits")
+    rows = materialize(word_rows(named(docs, hits, doc), doc, text, lang), "words")
+    spans = materialize(_settled(hits, rows, known, doc, lang), "spans")
     # Cuts at citing words with two other words before them
     held = spans.select(doc, "start", F.explode(F.array_distinct(F.transform("parts", lambda p: F.struct(p["group"].alias("group"), p["passage"].alias("passage"))))).alias("c"))
     vocabulary = held.select(doc, "start", "c.group", "c.passage").join(known, ["group", "passage"]).groupBy(doc, "start").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("known"))
@@ -259,7 +275,8 @@ def find_spans(docs: DataFrame, canon: DataFrame, doc: str, text: str, lang: Lan
     pieces = materialize(pieces.withColumn("deep", F.transform("raw", lang.deep)), "pieces")
     if pieces.isEmpty():
         return whole.select(doc, "start", "end", F.col("parts")[0]["group"].alias("group"), F.col("parts")[0]["passage"].alias("passage"), "parts")
-    inner = _settled(pieces.select("_piece", "raw", "deep"), known, "_piece", lang)
+    said = pieces.select("_piece", "raw", "deep")
+    inner = _settled(materialize(anchor_hits(said, known, "_piece"), "hits"), said, known, "_piece", lang)
     back = inner.join(pieces.select("_piece", doc, "off"), "_piece")
     shift = lambda p: F.struct(p["group"].alias("group"), p["passage"].alias("passage"), (p["start"] + F.col("off")).alias("start"), (p["end"] + F.col("off")).alias("end"))
     again = back.select(doc, (F.col("start") + F.col("off")).alias("start"), (F.col("end") + F.col("off")).alias("end"), F.transform("parts", shift).alias("parts"))
@@ -274,7 +291,8 @@ def drop_borrowed(spans: DataFrame, docs: DataFrame, canon: DataFrame, doc: str,
     it begins at most 3 words after another span, if it's the whole passage or stands at its start or end. Else it goes
     within a plea (P8) that isn't the passage's own, and, up to `most` words, if it has a word that the passage lacks or
     each of its known 4-grams stands in two passages or more."""
-    rows, known = word_rows(docs, doc, text, lang), canon_rows(canon, lang)
+    spans, known = materialize(spans, "borrowed"), canon_rows(canon, lang)
+    rows = word_rows(named(docs.select(doc, text), spans, doc), doc, text, lang)
     grams_in = known.select("group", "passage", F.explode(gram_hashes(F.col("words"), ANCHOR)).alias("g")).groupBy("g.h", "g.c").agg(F.count_distinct("group", "passage").alias("df"))
     before = F.lag("end").over(Window.partitionBy(doc).orderBy("start"))
     j = spans.withColumn("_before", before).join(rows, doc).join(known.select("group", "passage", "words"), ["group", "passage"])
@@ -287,7 +305,8 @@ def drop_borrowed(spans: DataFrame, docs: DataFrame, canon: DataFrame, doc: str,
     keep = (n < LEAST) | (F.size(F.array_distinct(F.transform("parts", lambda p: F.struct(p["group"], p["passage"])))) > 1) | cited | F.coalesce(start - F.col("_before") <= 3, F.lit(False)) | (n >= F.size("words")) | edge
     plea = (F.exists(lead, lambda w: lang.light(w).rlike(lang.plea)) | in_plea_sentence(F.col("raw"), start, lang)) & ~lang.light(F.get("raw", start)).rlike(lang.plea_opener)
     stray = F.exists(said, lambda w: ~F.array_contains("words", w))
-    j = j.withColumns({"_keep": F.coalesce(keep, F.lit(False)), "_plea": F.coalesce(plea, F.lit(False)), "_stray": stray, "_said": said})
+    j = j.select(*spans.columns, F.coalesce(keep, F.lit(False)).alias("_keep"), F.coalesce(plea, F.lit(False)).alias("_plea"), stray.alias("_stray"), said.alias("_said"))
+    j = materialize(j, "judged")
     open_ = j.where(f"not _keep and not _plea and end - start <= {most} and not _stray")
     dfs = open_.select(doc, "start", F.explode(gram_hashes(F.col("_said"), ANCHOR)).alias("g")).select(doc, "start", "g.h", "g.c").join(grams_in, ["h", "c"])
     common = dfs.groupBy(doc, "start").agg(F.min("df").alias("least")).where("least >= 2").select(doc, "start", F.lit(True).alias("_common"))

@@ -243,3 +243,19 @@ def test_lost_words_are_counted_in_one_go(spark):
     got = audit.word_coverage(frame([(1, "a a b -"), (2, "x"), (3, None), (4, "same")]), frame([(1, "a b b c"), (5, "y y"), (4, "same")]), "id", "t")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 2), (2, 1, 0), (4, 0, 0), (5, 0, 2)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_without_an_anchor_are_not_written(spark, monkeypatch):
+    from quotary.functions.lang import LATIN
+
+    written, write = {}, quotes.materialize
+    monkeypatch.setattr(quotes, "materialize", lambda df, tag: written.setdefault(tag, write(df, tag)))
+    canon = spark.createDataFrame([(0, 1, "one two three four five six seven")], "group long, passage long, text string")
+    docs = spark.createDataFrame([(i, f"a{i} b{i} " + ("One two three four five, six seven" if i % 50 == 0 else "one two three so far") + f" c{i}") for i in range(500)] + [(None, "one two three four five")], "doc long, text string")
+    spans = quotes.find_spans(docs, canon, "doc", "text", LATIN)
+    want = {(i, 2, 9) for i in range(0, 500, 50)}
+    assert {(r["doc"], r["start"], r["end"]) for r in spans.collect()} == want
+    assert {r["doc"] for r in written["words"].collect()} == {d for d, _, _ in want}
+    kept = quotes.drop_borrowed(spans, docs, canon, "doc", "text", LATIN)
+    assert {(r["doc"], r["start"], r["end"]) for r in kept.collect()} == want
+    assert written["judged"].count() == len(want)
