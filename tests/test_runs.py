@@ -34,6 +34,25 @@ def test_readers_are_cut_at_marks(spark):
     assert S.reader_blocks(spark, str(at), share=0.45).count() == 2
 
 
+def test_readers_need_no_file_each(spark, monkeypatch):
+    from quotary.plans import runs
+
+    at, data = folder() / "readers", folder()
+    monkeypatch.setattr(runs, "_place", lambda spark, name: str(at))
+    said = ["zzzz zzzz\n\nabcd", "abcd\nabcd zz", "", None]
+    rows = [(c, t, said[(c + t) % 4]) for c in range(300) for t in range(4)] + [(None, 0, "abcd\nzzzz")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{data}/conversations.parquet")
+    got = {(r["conv_id"], r["block"]) for r in runs.read_blocks(spark, str(data)).collect()}
+    assert {c for c, _ in got} == {*range(300), None} and len(list(at.rglob("part-*"))) <= 64
+
+
+def test_long_readers_stay_whole(spark):
+    at, n = str(folder() / "long"), 21_000_000
+    rows = spark.range(1).select(F.lit("r").alias("path"), F.concat(F.lit("abcd"), F.repeat(F.lit(" "), n), F.lit("\n\nzzzz")).alias("text"))
+    S.append_json_lines(rows, at)
+    assert S.json_lines(spark, at, "path string, text string").select(F.length("text")).first()[0] == n + 10
+
+
 def test_requests_are_planned_once(spark):
     rows = spark.createDataFrame([("a", i, f"text {i}") for i in range(8)] + [("a", 9, None), ("b", 0, "text 0")], "run string, i int, t string")
     plan = lambda ledger, cap=10.0: sorted(tuple(r) for r in chunks.requests(rows, spark.createDataFrame(ledger, "hash string, state string, cost double"), "run", "i", "t", model="m", cap=cap, price=(1e6, 0.0), out=0, size=3).select("run", "first", "last", "n", "worst", "allowed").collect())
