@@ -182,28 +182,40 @@ def parity(h: np.ndarray, sizes: np.ndarray, bits: int = PARITY_BITS) -> np.ndar
 def _marks(sets: DataFrame) -> DataFrame:
     """(doc, size, own, parity) of sets(doc, size, parity, grams): how many of a row's n-grams no other row has, and the parity
     of the others. What two rows have of their own differs for certain, and so do as many of the others as their parities
-    tell. Of a key with several texts none are taken for its own."""
+    tell. Of a key with several texts none are taken for its own.
 
-    def unpack(batches):
+    One half of the hashes is counted after the other, so no more than half of the n-grams lie shuffled at a time, and a row's own
+    ones are told by their number and parity alone."""
+    words = [f"w{i}" for i in range(MARK_BITS // 64)]
+    flip = F.expr("shiftleft(1L, cast(gram & 63 as int))")
+    flips = [F.coalesce(F.bit_xor(F.when(F.expr(f"shiftright(gram, 6) & {len(words) - 1}") == i, flip)), F.lit(0)).alias(w) for i, w in enumerate(words)]
+
+    def unpack(batches, below: bool):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 grams = [np.frombuffer(g, np.int64) for g in part.column("grams").to_pylist()]
+                grams = [g[(g < 0) == below] for g in grams]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.repeat(part.column("doc").to_numpy(), [len(g) for g in grams]))], names=["gram", "doc"])
 
     def mark(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                own = [np.array(x or [], np.int64).view(np.uint64) for x in part.column("own").to_pylist()]
-                k = np.array([len(x) for x in own], np.int64)
-                bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), np.uint8).reshape(len(k), -1) ^ parity(np.concatenate(own), k, MARK_BITS)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("size"), pa.array(k), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc", "size", "own", "parity"])
+                own = np.stack([part.column(w).to_numpy() for w in words], axis=1).astype("<i8").view(np.uint8)
+                bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), np.uint8).reshape(len(own), -1) ^ np.packbits(np.unpackbits(own, axis=1, bitorder="little"), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("size"), part.column("own"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc", "size", "own", "parity"])
 
-    held = sets.select("doc", "grams").mapInArrow(unpack, "gram long, doc long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
     several = sets.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
-    own = held.where("n = 1").groupBy("doc").agg(F.collect_list("gram").alias("own")).join(several, "doc", "left_anti")  # no longer than the row's own set
-    return sets.select("doc", "size", "parity").join(own, "doc", "left").mapInArrow(mark, "doc long, size long, own long, parity binary")
+    halves = []
+    for below in (True, False):
+        held = sets.select("doc", "grams").mapInArrow(lambda batches, below=below: unpack(batches, below), "gram long, doc long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
+        halves.append(materialize(held.where("n = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("own"), *flips), "own"))
+    own = halves[0].unionByName(halves[1]).groupBy("doc").agg(F.sum("own").alias("own"), *[F.bit_xor(w).alias(w) for w in words]).join(several, "doc", "left_anti")
+    known = sets.select("doc", "size", "parity").join(own, "doc", "left").select("doc", "size", "parity", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("own", *words)])
+    marks = materialize(known.mapInArrow(mark, "doc long, size long, own long, parity binary"), "marks")
+    discard(*halves)
+    return marks
 
 
 def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -392,8 +404,10 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     # equal sets are one row of the matrix; its name is the smallest key
     reps = _rows(slim, "_doc", "_text", n, num, den, sketch).where("size > 0 and doc is not null")
     reps = reps.groupBy("size", "s1", "s2").agg(F.min("doc").alias("doc"), F.min_by(F.struct("prefix", "parity"), "doc").alias("r"))
-    reps = materialize(reps.select("size", "s1", "s2", "doc", "r.prefix", "r.parity"), "rows")
-    every = materialize(_meetings(reps), "meetings")
+    whole = materialize(reps.select("size", "s1", "s2", "doc", "r.prefix", "r.parity"), "rows")
+    every = materialize(_meetings(whole), "meetings")
+    reps = materialize(whole.drop("prefix"), "rows")
+    discard(whole)
     meetings = materialize(_promising(every, num, den), "meetings")
     discard(every)
     marks = reps.select("doc", "size", F.lit(0).cast("long").alias("own"), "parity")  # two rows for a key with two texts: both are tried
@@ -410,7 +424,7 @@ def similar_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
                     yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array(marks, pa.binary()), pa.array(grams, pa.binary())], names=["doc", "size", "parity", "grams"])
 
     sets = materialize(slim.join(wanted, "_doc", "left_semi").select("_doc", "_text").mapInArrow(pack, "doc long, size long, parity binary, grams binary"), "sets")
-    marks = materialize(_marks(sets.where("size > 0")), "marks")
+    marks = _marks(sets.where("size > 0"))
     discard(near)
     open_ = meetings
     meetings = materialize(open_.join(marks.select("doc", "size", "own"), ["doc", "size"]).select("gram", "doc", "size", "own"), "meetings")

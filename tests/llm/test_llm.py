@@ -504,3 +504,31 @@ def test_chunk_maps_compose():
         assert (tokens.word_starts(classes, stops) == whole).all()
     finally:
         tokens.CHUNK = old
+
+
+def test_own_ngrams_lie_shuffled_by_halves(spark, monkeypatch):
+    from quotary.llm import ngram_join as J
+
+    rng, written, write = np.random.default_rng(8), [], J.materialize
+
+    def noted(df, tag):
+        back = write(df, tag)
+        written.append((tag, back.columns, back.agg(F.sum("own")).first()[0] if tag == "own" else None))
+        return back
+
+    monkeypatch.setattr(J, "materialize", noted)
+    pool = rng.integers(-(2**63), 2**63 - 1, 300)
+    texts = [(min(i, 38), np.unique(rng.choice(pool, 12))) for i in range(40)]  # the last two are one key's
+    h = lambda g: g.view(np.uint64)
+    rows = [(d, len(g), J.parity(h(g), np.array([len(g)]), J.MARK_BITS)[0].tobytes(), g.tobytes()) for d, g in texts]
+    got = {(r["doc"], r["size"]): (r["own"], bytes(r["parity"])) for r in J._marks(spark.createDataFrame(rows, "doc long, size long, parity binary, grams binary")).collect()}
+    uses, want = np.unique(np.concatenate([g for _, g in texts]), return_counts=True), {}
+    for d, g in texts:
+        own = np.isin(g, uses[0][uses[1] == 1]) & (d != 38)
+        want[d, len(g)] = (int(own.sum()), J.parity(h(g[~own]), np.array([(~own).sum()]), J.MARK_BITS)[0].tobytes())
+    assert got == want
+    halves = [(c, n) for tag, c, n in written if tag == "own"]
+    assert len(halves) == 2 and all(n > 0 and len(c) == 2 + J.MARK_BITS // 64 for c, n in halves)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert {r["component_id"] for r in J.similar_components(docs, n=3, num=1, den=2).collect()} == {0}
+    assert [("prefix" in c) for tag, c, _ in written if tag == "rows"] == [True, False]
