@@ -98,6 +98,67 @@ def tolerant_run(want: Column, have: Column, at: Column, skip: Column | int = 0)
     return F.coalesce(begins & let(count(kinds), good), F.lit(False))
 
 
+def edits(a: str, b: str, most: int) -> int:
+    """The edits between two words, most + 1 if they are more. A common beginning needs none."""
+    if a == b:
+        return 0
+    if not most or abs(len(a) - len(b)) > most:
+        return most + 1
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return 1 + min(edits(a[i + 1 :], b[i + 1 :], most - 1), edits(a[i + 1 :], b[i:], most - 1), edits(a[i:], b[i + 1 :], most - 1))
+
+
+class Hearing:
+    """`tolerant_run` over lists, for kernels; how alike two words are is kept for pairs that were met."""
+
+    #: Pairs that are kept, of words up to so many letters.
+    PAIRS, LETTERS = 200_000, 40
+
+    def __init__(self) -> None:
+        self.kinds: dict[tuple[str, str], int] = {}
+
+    def kind(self, w: str | None, g: str | None) -> int:
+        """0 where one is free to stand for the other, 1 for a near miss, far more for others."""
+        if w is None or g is None:
+            return 1
+        if w == g:
+            return 0
+        got = self.kinds.get((w, g))
+        if got is None:
+            e, most = edits(w, g, 2), max(len(w), len(g))
+            got = 1 << 20 if e > 2 else 0 if e == 1 and most >= 4 else 1
+            if most <= self.LETTERS:
+                if len(self.kinds) >= self.PAIRS:
+                    self.kinds.clear()
+                self.kinds[w, g] = got
+        return got
+
+    def stands(self, want: list, lo: int, hi: int, have: list, at: int) -> bool:
+        """Whether words lo to hi of `want` stand in `have` from word `at` on."""
+        n = hi - lo
+        if n <= 0 or at < 0 or at + n > len(have):
+            return False
+        wrong, most = 0, min(max(1, n // 4), n // 2)
+        for k in range(min(4, n)):
+            w, g = want[lo + k], have[at + k]
+            if w is None or g is None:
+                return False
+            if w != g:
+                wrong += self.kind(w, g)
+                if wrong >= 1 << 20:
+                    return False
+        if wrong > most:
+            return False
+        rest = want[lo + 4 : hi]
+        if rest == have[at + 4 : at + n] and None not in rest:
+            return True
+        for k, w in enumerate(rest, at + 4):
+            wrong += self.kind(w, have[k])
+            if wrong > most:
+                return False
+        return True
+
+
 def named(docs: DataFrame, by: DataFrame, doc: str) -> DataFrame:
     """docs that a row of `by` names. A filter of fixed size is asked where they are read, so that those and few others are shuffled."""
     bucket = F.pmod(F.xxhash64(doc), F.lit(FILTER)).alias("_b")

@@ -259,3 +259,42 @@ def test_documents_without_an_anchor_are_not_written(spark, monkeypatch):
     kept = quotes.drop_borrowed(spans, docs, canon, "doc", "text", LATIN)
     assert {(r["doc"], r["start"], r["end"]) for r in kept.collect()} == want
     assert written["judged"].count() == len(want)
+
+
+def test_labels_meet_their_passages_once(spark, monkeypatch):
+    written, write = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    monkeypatch.setattr(A, "TEXTS", 40)
+    text = {p: [f"{c}{p}{p}{p}" for c in "abcde"] for p in range(1, 200)}
+    canon = spark.createDataFrame([(1, p, w) for p, w in text.items()], "group int, passage int, words array<string>")
+    refs = spark.createDataFrame([(f"{p}:{i}", 1, p + i, text[p] + text[p + 1] + text.get(p + 2, [])[:4]) for p in range(1, 199) for i in (0, 1)] + [("none", 1, 500, ["a"]), ("no words", 1, 1, [])], "ref string, group int, passage int, words array<string>")
+    labels = A.range_labels(refs, canon, "ref")
+    assert {(r["ref"], r["first"], r["last"], r["n_words"]) for r in labels.collect()} == {(f"{p}:{i}", p, min(p + 2, 199), 14 if p < 198 else 10) for p in range(1, 199) for i in (0, 1)}
+    # one table, whatever the rounds of a step back and of steps ahead
+    assert written == ["labels"] and dict(labels.dtypes)["first"] == "int"
+
+
+def test_labels_go_on_beyond_a_shelf(spark, monkeypatch):
+    written, write, n = [], A.materialize, 1500
+    monkeypatch.setattr(A, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    same = ["abcdef", "uvwxyz", "ghijkl", "mnopqr"]
+    own = [[f"{c}{p}{c}{p}" for c in "abcd"] for p in range(n)]
+    canon = spark.createDataFrame([(1, p, same) for p in range(n)] + [(2, p, w) for p, w in enumerate(own)], "group long, passage long, words array<string>")
+    refs = spark.createDataFrame([(f"same {p}", 1, p, same * 2) for p in range(1, n)] + [("all", 2, 1, sum(own, [])), ("few", 2, 1023, own[1023] + own[1024] + ["x"])], "ref string, group long, passage long, words array<string>")
+    got = {r["ref"]: (r["first"], r["last"], r["n_words"]) for r in A.range_labels(refs, canon, "ref").collect()}
+    assert got == {f"same {p}": (0, 1, 8) for p in range(1, n)} | {"all": (0, n - 1, 4 * n), "few": (1023, 1024, 9)} and len(written) < 8
+
+
+def test_words_are_heard_in_lists_as_in_columns(spark):
+    import random
+
+    rng, hearing = random.Random(17), quotes.Hearing()
+    word = lambda: None if rng.random() < 0.03 else "".join(rng.choices("abé", k=rng.randint(0, 6)))
+    rows = []
+    for i in range(1500):
+        want = [word() for _ in range(rng.randint(0, 12))]
+        have = [word() for _ in range(rng.randint(0, 2))] + [w if w is None or rng.random() < 0.8 else w + rng.choice(["", "a", "ab"]) for w in want] + [word()]
+        rows.append((i, want, have, rng.randint(-1, 3), rng.randint(0, 2)))
+    df = spark.createDataFrame(rows, "i int, want array<string>, have array<string>, at int, skip int")
+    heard = {r["i"]: r["ok"] for r in df.select("i", quotes.tolerant_run(F.col("want"), F.col("have"), F.col("at"), F.col("skip")).alias("ok")).collect()}
+    assert heard == {i: hearing.stands(w, k, len(w), h, at) for i, w, h, at, k in rows} and 100 < sum(heard.values()) < 1400
