@@ -51,8 +51,8 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_lookups(spark: SparkSession, d: str) -> DataFrame:
     """Addresses are users, looked up 40 times a day at most and known for three days; errors aren't found."""
-    e = _events(S.with_disk_state(spark), d).withColumn("found", F.col("event_type") != "error")
-    r = S.run_to_end(S.lookups(e, "user_id", "found", most=40, span=86_400, keep=259_200), "append")
+    e = _events(spark, d).select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("found"))
+    r = S.run_lookups(e, "user_id", "found", most=40, span=86_400, keep=259_200)
     return r.groupBy("user_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 

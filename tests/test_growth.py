@@ -298,3 +298,66 @@ def test_words_are_heard_in_lists_as_in_columns(spark):
     df = spark.createDataFrame(rows, "i int, want array<string>, have array<string>, at int, skip int")
     heard = {r["i"]: r["ok"] for r in df.select("i", quotes.tolerant_run(F.col("want"), F.col("have"), F.col("at"), F.col("skip")).alias("ok")).collect()}
     assert heard == {i: hearing.stands(w, k, len(w), h, at) for i, w, h, at, k in rows} and 100 < sum(heard.values()) < 1400
+
+
+def _plain_lookups(batches, most, span, keep, late):
+    known, at, used, newest, out = {}, None, 0, None, []
+    for rows in batches:
+        rows = [r for r in rows if newest is None or r[1] > newest - late]
+        for i, t, a, f in sorted(rows, key=lambda r: (r[1], r[0], r[2], bool(r[3]))):
+            if known.get(a, t) > t:
+                out.append((i, t, a, "known"))
+                continue
+            at, used = (at, used) if t // span == at else (t // span, 0)
+            out.append((i, t, a, "looked up" if used < most else "refused"))
+            if used < most:
+                used += 1
+                if f:
+                    known[a] = t + keep
+        newest = max([r[1] for r in rows] + [newest or 0])
+    return sorted(out)
+
+
+def test_lookups_ask_only_what_may_be_looked_up(spark, monkeypatch, tmp_path):
+    import datetime
+    import random
+
+    from quotary.streaming import streams
+
+    rng, start, real, seen = random.Random(19), datetime.datetime(2024, 1, 1), streams._ask, tmp_path / "seen"
+    seen.mkdir()
+
+    def spy(*a):
+        run = real(*a)
+
+        def count(batches):
+            for b in batches:
+                with open(seen / "rows", "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield b
+
+        return lambda batches: run(count(batches))
+
+    monkeypatch.setattr(streams, "_ask", spy)
+    schema = "event_id int, ts timestamp, a string, found boolean"
+    for n, (most, span, keep, names, size) in enumerate([(2, 3000, 500, 6, 500), (2, 10_000, 40_000, 3, 900)]):
+        monkeypatch.setattr(streams, "ASKED", 3)
+        # in the second batch some rows are late; some rows are there twice
+        rows = sorted(((rng.randrange(20_000), i % 7, rng.choice("abc") + str(rng.randrange(names)), rng.choice([True, True, False, None])) for i in range(size)), key=lambda r: r[0])
+        parts = [rows[: size // 2] + rows[:20], rows[size // 2 :] + rows[size // 2 - 150 : size // 2]]
+        at = tmp_path / f"in{n}"
+        for p in parts:
+            spark.createDataFrame([(i, start + datetime.timedelta(seconds=t), a, f) for t, i, a, f in p], schema).coalesce(1).write.mode("append").parquet(str(at))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(at))
+        got = streams.run_lookups(stream, "a", "found", most=most, span=span, keep=keep, late="2 minutes").collect()
+        zero = int(start.timestamp())
+        want = _plain_lookups([[(i, t + zero, a, f) for t, i, a, f in p] for p in parts], most, span, keep, 120)
+        assert sorted((r["event_id"], int(r["ts"].timestamp()), r["a"], r["verdict"]) for r in got) == want and len({w[-1] for w in want}) == 3
+    # most rows of a span don't go through the one task
+    (seen / "rows").unlink()
+    monkeypatch.setattr(streams, "ASKED", 16)
+    many = [(i, start + datetime.timedelta(seconds=i % 3600), f"a{i}", True) for i in range(20_000)]
+    spark.createDataFrame(many, schema).coalesce(1).write.parquet(str(tmp_path / "many"))
+    got = streams.run_lookups(spark.readStream.schema(schema).parquet(str(tmp_path / "many")), "a", "found", most=5, span=3600, keep=60)
+    assert got.where("verdict = 'looked up'").count() == 5 and got.count() == 20_000
+    assert sum(map(int, (seen / "rows").read_text().split())) == 80
